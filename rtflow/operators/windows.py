@@ -128,7 +128,8 @@ def window_aggregate(
     key_columns = [F.expr(group).alias(key) for key, group in zip(keys, group_by)]
     if window.kind == SESSION and not keys:
         # Spark merges sessions only within a key.
-        keys, key_columns = ["__g"], [F.lit(0).alias("__g")]
+        df = df.withColumn("__g", F.lit(0))
+        keys, key_columns = ["__g"], [F.col("__g")]
 
     split = split_aggregates(aggregates) if having is None else None
     if split is not None and split.distinct is None and window.kind == SESSION and not df.isStreaming:

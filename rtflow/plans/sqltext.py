@@ -40,9 +40,29 @@ def _parts(attribute) -> list[str]:
     return [str(part) for part in _items(attribute.nameParts())]
 
 
-def _select_item(node) -> tuple[str, str]:
+def _text(node, sql: str, parser) -> str:
+    """The text of an expression: as the user wrote it, or else as Spark prints it.
+
+    Spark does not print everything (DISTINCT, for one) and does not record every position
+    exactly, so a text counts only if it parses to the very same expression.
+    """
+    origin = node.origin()
+    candidates = []
+    if origin.startIndex().isDefined() and origin.stopIndex().isDefined():
+        candidates.append(sql[origin.startIndex().get() : origin.stopIndex().get() + 1])
+    candidates.append(node.sql())
+    for text in candidates:
+        try:
+            if parser.parseExpression(text).equals(node):
+                return text
+        except ParseException:
+            continue
+    raise ValueError(f"cannot take {node.sql()} out of its statement: give the job in parts")
+
+
+def _select_item(node, sql: str, parser) -> tuple[str, str]:
     if _kind(node) == "Alias":
-        return node.child().sql(), str(node.name())
+        return _text(node.child(), sql, parser), str(node.name())
     if _kind(node) == "UnresolvedAlias":
         node = node.child()
     if _kind(node) == "UnresolvedAttribute":
@@ -97,18 +117,18 @@ def parse_select(spark: SparkSession, sql: str) -> Statement:
         raise ValueError(f"not a SELECT statement Spark can parse: {error}") from error
     statement = Statement()
     if _kind(node) == "UnresolvedHaving":
-        statement.having, node = node.havingCondition().sql(), node.child()
+        statement.having, node = _text(node.havingCondition(), sql, parser), node.child()
     if _kind(node) == "Aggregate":
-        statement.group_by = [group.sql() for group in _items(node.groupingExpressions())]
+        statement.group_by = [_text(group, sql, parser) for group in _items(node.groupingExpressions())]
         selected = node.aggregateExpressions()
     elif _kind(node) == "Project":
         selected = node.projectList()
     else:
         raise ValueError(f"only a plain SELECT is supported, not {_kind(node)}")
-    statement.select = [_select_item(item) for item in _items(selected)]
+    statement.select = [_select_item(item, sql, parser) for item in _items(selected)]
     node = node.child()
     if _kind(node) == "Filter":
-        statement.where, node = node.condition().sql(), node.child()
+        statement.where, node = _text(node.condition(), sql, parser), node.child()
     if _kind(node) == "Join":
         statement.join = _join(node)
     else:
