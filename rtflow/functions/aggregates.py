@@ -25,6 +25,8 @@ class SplitAggregates:
     partial: list[Column] = field(default_factory=list)
     #: aggregates of the second phase, over the columns of the first
     final: list[Column] = field(default_factory=list)
+    #: aggregates that combine columns of the first phase to columns of the same kind
+    merge: list[Column] = field(default_factory=list)
     #: argument of ``count(distinct ...)``; the first phase also groups by it, as ``__d``
     distinct: str | None = None
 
@@ -65,9 +67,11 @@ def split_aggregates(items: Sequence[tuple[str, str]]) -> SplitAggregates | None
         if name == "avg":
             number = f"CAST({argument} AS DOUBLE)"
             split.partial += [F.expr(f"sum({number})").alias(part), F.expr(f"count({argument})").alias(f"{part}n")]
+            split.merge += [F.sum(part).alias(part), F.sum(f"{part}n").alias(f"{part}n")]
             split.final.append(F.try_divide(F.sum(part), F.sum(f"{part}n")).alias(alias))
         else:
             split.partial.append(F.expr(f"{name}({argument})").alias(part))
             combine = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[name]
+            split.merge.append(combine(part).alias(part))
             split.final.append(combine(part).alias(alias))
     return split

@@ -14,7 +14,7 @@ import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rtflow.functions.aggregates import DISTINCT_KEY, SplitAggregates, is_distinct, split_aggregates
 from rtflow.operators.projection import Item, plain_column, select_items, time_columns
@@ -27,6 +27,9 @@ _KINDS = (NONE, TUMBLE, SLIDE, SESSION)
 #: From this many windows per row on, sliding aggregates first reduce rows to panes.
 PANES_FROM = 4
 
+#: How many gap-long panes a block has in which sessions without keys are merged first.
+SESSION_BLOCK = 1024
+
 
 @dataclass(frozen=True)
 class WindowSpec:
@@ -133,7 +136,9 @@ def window_aggregate(
 
     split = split_aggregates(aggregates) if having is None else None
     if split is not None and split.distinct is None and window.kind == SESSION and not df.isStreaming:
-        grouped = _session_from_panes(df, time, window, keys, key_columns, split)
+        grouped = _session_from_panes(df, time, window, keys, key_columns, split, keyed=bool(group_by))
+    elif window.kind == SESSION and not df.isStreaming:
+        grouped = _session_of_rows(df, time, window, keys, key_columns, aggregates, having)
     elif split is not None and split.distinct is None and _has_panes(window):
         grouped = _slide_from_panes(df, time, window, early, keys, key_columns, split)
     elif df.isStreaming and any(is_distinct(expression) for expression, _ in aggregates):
@@ -179,24 +184,79 @@ def _slide_from_panes(df, time, window, early, keys, key_columns, split: SplitAg
     return _assigned(panes, F.col("__t"), window, early).groupBy(WINDOW, *keys).agg(*_or_count(split.final))
 
 
-def _session_from_panes(df, time, window, keys, key_columns, split: SplitAggregates) -> DataFrame:
+def _with_pane(df, time, window) -> DataFrame:
+    """Number the gap-long pane of each row. Rows without a time are in no session."""
+    micros_now = F.unix_micros(time)
+    pane = micros_now - F.pmod(micros_now, F.lit(window.gap * 1_000_000))
+    return df.where(time.isNotNull()).withColumn("__p", pane)
+
+
+def _span(first: str, last: str, window) -> Column:
+    """The session window of rows known to belong together: from the first to a gap after the last."""
+    width = F.unix_micros(last) - F.unix_micros(first) + F.lit(window.gap * 1_000_000)
+    held = (width.cast("decimal(18,0)") * F.expr("0.000001BD")).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.session_window(first, F.make_interval(zero, zero, zero, zero, zero, zero, held))
+
+
+def _session_from_panes(df, time, window, keys, key_columns, split: SplitAggregates, keyed: bool) -> DataFrame:
     """Reduce rows to panes as long as the gap, then merge panes into sessions.
 
     The rows of a key within one pane are less than a gap apart, so they share a session whatever
     else there is. The first phase is a plain hash aggregation with a map-side part and spreads a
     hot key over its panes; the merge, which must see a key in one place, gets one row per pane.
     """
-    length = window.gap * 1_000_000
-    pane = F.unix_micros(time) - F.pmod(F.unix_micros(time), F.lit(length))
-    panes = df.groupBy(*key_columns, pane.alias("__p")).agg(
+    panes = _with_pane(df, time, window).groupBy(*key_columns, F.col("__p")).agg(
         F.min(time).alias("__first"), F.max(time).alias("__last"), *split.partial
     )
-    width = F.unix_micros("__last") - F.unix_micros("__first") + F.lit(length)
-    held = (width.cast("decimal(18,0)") * F.expr("0.000001BD")).cast("decimal(18,6)")
-    zero = F.lit(0)
-    gap = F.make_interval(zero, zero, zero, zero, zero, zero, held)
-    sessions = panes.groupBy(F.session_window("__first", gap).alias(WINDOW), *keys)
-    return sessions.agg(*_or_count(split.final))
+    if not keyed:
+        panes, keys = _merged_in_blocks(panes, window, keys, split), [*keys, "__b"]
+    return panes.groupBy(_span("__first", "__last", window).alias(WINDOW), *keys).agg(*_or_count(split.final))
+
+
+def _merged_in_blocks(panes, window, keys, split: SplitAggregates) -> DataFrame:
+    """Merge the panes of a table without keys in blocks of time, so that not all meet in one task.
+
+    A session that stays a gap away from both ends of its block is whole, and keeps the block as a
+    key of the final merge. The others, at most two per block, share one key and are merged there.
+    """
+    gap = window.gap * 1_000_000
+    length = SESSION_BLOCK * gap
+    block = F.col("__p") - F.pmod("__p", F.lit(length))
+    merged = panes.withColumn("__b", block).groupBy(
+        _span("__first", "__last", window).alias(WINDOW), *keys, F.col("__b")
+    )
+    sessions = merged.agg(F.min("__first").alias("__first"), F.max("__last").alias("__last"), *split.merge)
+    first, last = F.unix_micros("__first"), F.unix_micros("__last")
+    inside = (first - F.lit(gap) > F.col("__b")) & (last + F.lit(gap) < F.col("__b") + F.lit(length))
+    return sessions.drop(WINDOW).withColumn("__b", F.when(inside, F.col("__b")))
+
+
+def _session_of_rows(df, time, window, keys, key_columns, aggregates, having) -> DataFrame:
+    """Sessions for aggregates that cannot be split: find them on panes, then look them up by row.
+
+    No step has all rows of a key in one task: rows meet by key and pane, and once each knows its
+    session, the aggregation is an ordinary one.
+    """
+    rows = _with_pane(df.select("*", *key_columns) if "__g" not in df.columns else df, time, window)
+    panes = rows.groupBy(*keys, "__p").agg(F.min(time).alias("__first"), F.max(time).alias("__last"))
+    by_time = Window.partitionBy(*keys).orderBy("__p")
+    gap = F.expr(f"INTERVAL {window.gap} SECONDS")
+    begins = F.lag("__last").over(by_time).isNull() | (F.col("__first") > F.lag("__last").over(by_time) + gap)
+    panes = panes.withColumn("__start", F.when(begins, F.col("__first")))
+    panes = panes.withColumn("__start", F.max("__start").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    session = Window.partitionBy(*keys, "__start")
+    panes = panes.withColumn("__end", F.max("__last").over(session) + gap)
+    panes = panes.select(
+        F.struct(F.col("__start").alias("start"), F.col("__end").alias("end")).alias(WINDOW),
+        F.col("__p").alias("__q"),
+        *[F.col(key).alias(f"{key}q") for key in keys],
+    )
+    on = F.col("__p") == F.col("__q")
+    for key in keys:
+        on = on & F.col(key).eqNullSafe(F.col(f"{key}q"))
+    grouped = rows.join(panes, on).drop(*[f"{key}q" for key in keys])
+    return _one_phase(grouped, keys, key_columns, aggregates, having)
 
 
 def _streaming_distinct(df, time, window, early, keys, key_columns, split) -> DataFrame:
