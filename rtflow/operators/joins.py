@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rtflow.operators.projection import Item, plain_column, row_time_columns, select_items, time_columns
-from rtflow.operators.windows import micros, moved, seconds, with_window_input
+from rtflow.operators.batch_windows import bounds, with_start
+from rtflow.operators.stream_windows import moved, window_of, with_window_input
 from rtflow.schema import WINDOW
 from rtflow.table import FlowTable
 
@@ -72,22 +73,17 @@ def join_windowed(
             "run the data flow in materialised mode, which restarts the event time at every job"
         )
     _check_fill(null_fill)
-    if salt < 1:
-        raise ValueError("salt must be at least 1")
+    _check_salt(salt)
 
     sides = []
     for table, name, key, tag in ((left, spec.names[0], spec.left_key, "l"), (right, spec.names[1], spec.right_key, "r")):
-        df, time, early = with_window_input(table)
-        window = F.window(time, seconds(size), seconds(size), micros(-early))
-        if not table.streaming:
-            # Only state eviction needs the whole struct; a plain timestamp sorts and hashes faster.
-            window = window["start"]
-        sides.append(
-            df.alias(name)
-            .withColumn(f"__{tag}w", window)
-            .withColumn(f"__{tag}k", F.col(_quoted(name, key)))
-            .withColumn(f"__{tag}m", F.lit(True))
-        )
+        if table.streaming:
+            df, time = with_window_input(table.df, table.depth)
+            df = df.withColumn(f"__{tag}w", window_of(time, size, size, table.depth))
+        else:
+            df = with_start(table.df, size, f"__{tag}w")
+        df = df.alias(name).withColumn(f"__{tag}k", F.col(_quoted(name, key)))
+        sides.append(df.withColumn(f"__{tag}m", F.lit(True)))
     lhs, rhs = sides
     on = (F.col("__lw") == F.col("__rw")) & (F.col("__lk") == F.col("__rk"))
     if salt > 1:
@@ -99,10 +95,10 @@ def join_windowed(
 
     window = F.col("__rw" if spec.how == RIGHT else "__lw")
     if left.streaming:
-        start, end = moved(window["start"], early), moved(window["end"], early)
+        start, end = moved(window["start"], left.depth), moved(window["end"], left.depth)
         hidden = [window.alias(WINDOW)]
     else:
-        start, end = window, window + F.expr(f"INTERVAL {size} SECONDS")
+        start, end = bounds(window, size)
         hidden = []
     result = joined.select(
         *time_columns(end, start, end, offset_hours),
@@ -119,13 +115,14 @@ def join_static(
     select: Iterable[str | Item],
     where: str | None = None,
     null_fill: str = "sql",
+    salt: int = 1,
     offset_hours: int = 0,
 ) -> FlowTable:
     """Look every row of a stream up in a static table.
 
     There is no broadcast hint: Spark broadcasts the static side when its size is below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both sides, with AQE's skew handling,
-    when it is not.
+    when it is not. Where AQE is off, ``salt`` splits hot keys as in :func:`join_windowed`.
     """
     if stream.static or not static.static:
         raise ValueError("a static join needs a stream on the left and a static table on the right")
@@ -136,6 +133,10 @@ def join_static(
     lhs = stream.df.alias(left_name)
     rhs = static.df.alias(right_name).withColumn("__rm", F.lit(True))
     on = F.col(_quoted(left_name, spec.left_key)) == F.col(_quoted(right_name, spec.right_key))
+    _check_salt(salt)
+    if salt > 1:
+        lhs, rhs = _salted(lhs, rhs, salt, spec.how)
+        on = on & (F.col("__ls") == F.col("__rs"))
     joined = lhs.join(rhs, on, spec.how)
     if where:
         joined = joined.where(where)
@@ -154,6 +155,11 @@ def _check_fill(null_fill: str) -> None:
         raise ValueError(f"null_fill must be one of {_FILLS}")
 
 
+def _check_salt(salt: int) -> None:
+    if salt < 1:
+        raise ValueError("salt must be at least 1")
+
+
 def _salted(lhs: DataFrame, rhs: DataFrame, salt: int, how: str) -> tuple[DataFrame, DataFrame]:
     """Spread one side by a hash of its rows and repeat the other for every salt.
 

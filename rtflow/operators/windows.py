@@ -1,35 +1,27 @@
 """Tumbling, sliding and session window aggregation on event time.
 
 The event time of a windowed output is the end of its window, and the next job of a chain windows
-on that. A streaming query may only window on a column with a watermark, which after an
-aggregation is ``window_time(w)``: the window's end less one microsecond. So when streaming tables
-are chained, every window of the following job is laid out ``depth`` microseconds early, by the
-``startTime`` of Spark's ``window``, and its bounds are moved back for the output. The results are
-those of windowing the true event time, which is what a batch run does.
+on that. How rows get their windows differs between batch and stream, the results do not: see
+``batch_windows`` and ``stream_windows``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import functions as F
 
-from rtflow.functions.aggregates import DISTINCT_KEY, SplitAggregates, is_distinct, split_aggregates
+from rtflow.functions.aggregates import split_aggregates
+from rtflow.operators import batch_windows, stream_windows
+from rtflow.operators.grouping import Grouping
 from rtflow.operators.projection import Item, plain_column, select_items, time_columns
-from rtflow.schema import EVENT_TIME, WINDOW
+from rtflow.schema import WINDOW
 from rtflow.table import FlowTable
 
 NONE, TUMBLE, SLIDE, SESSION = "none", "tumble", "slide", "session"
 _KINDS = (NONE, TUMBLE, SLIDE, SESSION)
 
-#: From this many windows per row on, sliding aggregates first reduce rows to panes.
-PANES_FROM = 4
-
-#: How many gap-long panes a block has in which sessions without keys are merged first.
-SESSION_BLOCK = 1024
-
 
 @dataclass(frozen=True)
 class WindowSpec:
@@ -49,51 +41,19 @@ class WindowSpec:
             if not isinstance(value, int) or isinstance(value, bool) or value < 1:
                 raise ValueError(f"a {self.kind} window needs {name} in whole seconds, at least 1; got {value!r}")
 
+    @property
+    def step(self) -> int:
+        """Seconds from the start of one window to the start of the next."""
+        return self.slide if self.kind == SLIDE else self.size
+
     @property
     def gapped(self) -> bool:
+        """Windows are shorter than their distance: rows between them are in no window."""
         return self.kind == SLIDE and self.slide > self.size
 
-
-def seconds(n: int) -> str:
-    return f"{n} seconds"
-
-
-def micros(n: int) -> str:
-    return f"{n} microseconds"
-
-
-def moved(ts: Column, microseconds: int) -> Column:
-    return ts + F.expr(f"INTERVAL {microseconds} MICROSECONDS") if microseconds else ts
-
-
-def with_window_input(table: FlowTable, column: str = "__t") -> tuple[DataFrame, Column, int]:
-    """The table with the time column to window on, and how many microseconds early that is."""
-    if table.streaming and table.depth:
-        df = table.df.withColumn(column, F.window_time(WINDOW)).drop(WINDOW)
-        return df, F.col(column), table.depth
-    return table.df, F.col(EVENT_TIME), 0
-
-
-def _assigned(df: DataFrame, time: Column, window: WindowSpec, early: int) -> DataFrame:
-    """Add the window column; rows in no window are dropped."""
-    if window.kind == SESSION:
-        return df.withColumn(WINDOW, F.session_window(time, seconds(window.gap)))
-    if window.gapped:
-        # Tumbling windows of the slide length that end where the sampling windows end; the
-        # sampling window is the last ``size`` seconds of each. No row is ever duplicated.
-        start = micros(window.size * 1_000_000 - early)
-        tumbling = F.window(time, seconds(window.slide), seconds(window.slide), start)
-        covered = time >= F.col(f"{WINDOW}.end") - F.expr(f"INTERVAL {window.size} SECONDS")
-        return df.withColumn(WINDOW, tumbling).where(covered)
-    step = window.slide if window.kind == SLIDE else window.size
-    return df.withColumn(WINDOW, F.window(time, seconds(window.size), seconds(step), micros(-early)))
-
-
-def _bounds(window: WindowSpec, early: int) -> tuple[Column, Column]:
-    end = moved(F.col(f"{WINDOW}.end"), early)
-    if window.gapped:
-        return end - F.expr(f"INTERVAL {window.size} SECONDS"), end
-    return moved(F.col(f"{WINDOW}.start"), early), end
+    @property
+    def overlapping(self) -> bool:
+        return self.kind == SLIDE and self.slide < self.size
 
 
 def _same(a: str, b: str) -> bool:
@@ -124,152 +84,19 @@ def window_aggregate(
         name: key for expression, name in items for key, group in zip(keys, group_by) if _same(expression, group)
     }
     aggregates = [(expression, name) for expression, name in items if name not in key_of]
+    grouping = Grouping(
+        keys=dict(zip(keys, group_by)),
+        aggregates=aggregates,
+        having=having,
+        split=split_aggregates(aggregates) if having is None else None,
+    )
 
-    df, time, early = with_window_input(table)
-    if where:
-        df = df.where(where)
-    key_columns = [F.expr(group).alias(key) for key, group in zip(keys, group_by)]
-    if window.kind == SESSION and not keys:
-        # Spark merges sessions only within a key.
-        df = df.withColumn("__g", F.lit(0))
-        keys, key_columns = ["__g"], [F.col("__g")]
-
-    split = split_aggregates(aggregates) if having is None else None
-    if split is not None and split.distinct is None and window.kind == SESSION and not df.isStreaming:
-        grouped = _session_from_panes(df, time, window, keys, key_columns, split, keyed=bool(group_by))
-    elif window.kind == SESSION and not df.isStreaming:
-        grouped = _session_of_rows(df, time, window, keys, key_columns, aggregates, having)
-    elif split is not None and split.distinct is None and _has_panes(window):
-        grouped = _slide_from_panes(df, time, window, early, keys, key_columns, split)
-    elif df.isStreaming and any(is_distinct(expression) for expression, _ in aggregates):
-        grouped = _streaming_distinct(df, time, window, early, keys, key_columns, split)
+    df = table.df.where(where) if where else table.df
+    if df.isStreaming:
+        grouped, start, end = stream_windows.aggregate(df, table.depth, window, grouping)
     else:
-        grouped = _one_phase(_assigned(df, time, window, early), keys, key_columns, aggregates, having)
-
-    start, end = _bounds(window, early)
+        grouped, start, end = batch_windows.aggregate(df, window, grouping)
     columns = [F.col(key_of.get(name, f"`{name}`")).alias(name) for _, name in items]
     hidden = [F.col(WINDOW)] if df.isStreaming else []
     result = grouped.select(*time_columns(end, start, end, offset_hours), *columns, *hidden)
     return FlowTable(result, depth=table.depth + 1 if df.isStreaming else 0)
-
-
-def _one_phase(df, keys, key_columns, aggregates, having) -> DataFrame:
-    columns = [F.expr(expression).alias(name) for expression, name in aggregates]
-    if having:
-        columns.append(F.expr(having).alias("__h"))
-    grouping = df.groupBy(F.col(WINDOW), *key_columns)
-    # A job may ask for keys only; Spark's groupBy wants an aggregate.
-    grouped = grouping.agg(*columns) if columns else grouping.agg(F.count(F.lit(1)).alias("__n"))
-    return grouped.where("__h") if having else grouped
-
-
-def _has_panes(window: WindowSpec) -> bool:
-    """Whether a sliding window overlaps itself enough for panes to pay for their extra shuffle."""
-    return window.kind == SLIDE and window.size >= PANES_FROM * window.slide
-
-
-def _slide_from_panes(df, time, window, early, keys, key_columns, split: SplitAggregates) -> DataFrame:
-    """Reduce rows to panes, then copy panes, not rows, into the windows that hold them.
-
-    A pane is as long as the greatest common divisor of size and slide, so that no window ends
-    inside one. Its ``window_time`` lies within it, so later windows are laid out as if on rows.
-    """
-    length = math.gcd(window.size, window.slide)
-    panes = df.withColumn("__p", F.window(time, seconds(length), seconds(length), micros(-early)))
-    panes = panes.groupBy(F.col("__p"), *key_columns).agg(*_or_count(split.partial))
-    if df.isStreaming:
-        panes = panes.withColumn("__t", F.window_time("__p"))
-    else:
-        panes = panes.withColumn("__t", F.col("__p.start"))
-    return _assigned(panes, F.col("__t"), window, early).groupBy(WINDOW, *keys).agg(*_or_count(split.final))
-
-
-def _with_pane(df, time, window) -> DataFrame:
-    """Number the gap-long pane of each row. Rows without a time are in no session."""
-    micros_now = F.unix_micros(time)
-    pane = micros_now - F.pmod(micros_now, F.lit(window.gap * 1_000_000))
-    return df.where(time.isNotNull()).withColumn("__p", pane)
-
-
-def _span(first: str, last: str, window) -> Column:
-    """The session window of rows known to belong together: from the first to a gap after the last."""
-    width = F.unix_micros(last) - F.unix_micros(first) + F.lit(window.gap * 1_000_000)
-    held = (width.cast("decimal(18,0)") * F.expr("0.000001BD")).cast("decimal(18,6)")
-    zero = F.lit(0)
-    return F.session_window(first, F.make_interval(zero, zero, zero, zero, zero, zero, held))
-
-
-def _session_from_panes(df, time, window, keys, key_columns, split: SplitAggregates, keyed: bool) -> DataFrame:
-    """Reduce rows to panes as long as the gap, then merge panes into sessions.
-
-    The rows of a key within one pane are less than a gap apart, so they share a session whatever
-    else there is. The first phase is a plain hash aggregation with a map-side part and spreads a
-    hot key over its panes; the merge, which must see a key in one place, gets one row per pane.
-    """
-    panes = _with_pane(df, time, window).groupBy(*key_columns, F.col("__p")).agg(
-        F.min(time).alias("__first"), F.max(time).alias("__last"), *split.partial
-    )
-    if not keyed:
-        panes, keys = _merged_in_blocks(panes, window, keys, split), [*keys, "__b"]
-    return panes.groupBy(_span("__first", "__last", window).alias(WINDOW), *keys).agg(*_or_count(split.final))
-
-
-def _merged_in_blocks(panes, window, keys, split: SplitAggregates) -> DataFrame:
-    """Merge the panes of a table without keys in blocks of time, so that not all meet in one task.
-
-    A session that stays a gap away from both ends of its block is whole, and keeps the block as a
-    key of the final merge. The others, at most two per block, share one key and are merged there.
-    """
-    gap = window.gap * 1_000_000
-    length = SESSION_BLOCK * gap
-    block = F.col("__p") - F.pmod("__p", F.lit(length))
-    merged = panes.withColumn("__b", block).groupBy(
-        _span("__first", "__last", window).alias(WINDOW), *keys, F.col("__b")
-    )
-    sessions = merged.agg(F.min("__first").alias("__first"), F.max("__last").alias("__last"), *split.merge)
-    first, last = F.unix_micros("__first"), F.unix_micros("__last")
-    inside = (first - F.lit(gap) > F.col("__b")) & (last + F.lit(gap) < F.col("__b") + F.lit(length))
-    return sessions.drop(WINDOW).withColumn("__b", F.when(inside, F.col("__b")))
-
-
-def _session_of_rows(df, time, window, keys, key_columns, aggregates, having) -> DataFrame:
-    """Sessions for aggregates that cannot be split: find them on panes, then look them up by row.
-
-    No step has all rows of a key in one task: rows meet by key and pane, and once each knows its
-    session, the aggregation is an ordinary one.
-    """
-    rows = _with_pane(df.select("*", *key_columns) if "__g" not in df.columns else df, time, window)
-    panes = rows.groupBy(*keys, "__p").agg(F.min(time).alias("__first"), F.max(time).alias("__last"))
-    by_time = Window.partitionBy(*keys).orderBy("__p")
-    gap = F.expr(f"INTERVAL {window.gap} SECONDS")
-    begins = F.lag("__last").over(by_time).isNull() | (F.col("__first") > F.lag("__last").over(by_time) + gap)
-    panes = panes.withColumn("__start", F.when(begins, F.col("__first")))
-    panes = panes.withColumn("__start", F.max("__start").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    session = Window.partitionBy(*keys, "__start")
-    panes = panes.withColumn("__end", F.max("__last").over(session) + gap)
-    panes = panes.select(
-        F.struct(F.col("__start").alias("start"), F.col("__end").alias("end")).alias(WINDOW),
-        F.col("__p").alias("__q"),
-        *[F.col(key).alias(f"{key}q") for key in keys],
-    )
-    on = F.col("__p") == F.col("__q")
-    for key in keys:
-        on = on & F.col(key).eqNullSafe(F.col(f"{key}q"))
-    grouped = rows.join(panes, on).drop(*[f"{key}q" for key in keys])
-    return _one_phase(grouped, keys, key_columns, aggregates, having)
-
-
-def _streaming_distinct(df, time, window, early, keys, key_columns, split) -> DataFrame:
-    """Exact ``count(distinct x)`` on a stream: one state row per value first, then count them."""
-    if split is None or window.kind == SESSION:
-        raise ValueError(
-            "on a stream, count(distinct x) works in tumbling and sliding windows, for one x, next to plain "
-            "sum, min, max, count and avg and without HAVING; otherwise use approx_count_distinct(x)"
-        )
-    rows = _assigned(df, time, window, early)
-    values = rows.groupBy(F.col(WINDOW), *key_columns, F.expr(split.distinct).alias(DISTINCT_KEY))
-    return values.agg(*_or_count(split.partial)).groupBy(WINDOW, *keys).agg(*_or_count(split.final))
-
-
-def _or_count(columns: list[Column]) -> list[Column]:
-    return columns or [F.count(F.lit(1)).alias("__n")]

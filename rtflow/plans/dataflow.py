@@ -59,7 +59,9 @@ def apply_job(
         if right.static:
             if job.window.kind != NONE:
                 raise ValueError(f"job {job.output!r}: a join with a static table takes no window")
-            result = join_static(left, right, job.join, job.select, job.where, null_fill, offset_hours)
+            result = join_static(
+                left, right, job.join, job.select, job.where, null_fill, join_salt, offset_hours
+            )
         else:
             if job.window.kind != TUMBLE:
                 raise ValueError(f"job {job.output!r}: two streams are joined in a tumbling window")
