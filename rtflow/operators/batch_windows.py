@@ -19,7 +19,7 @@ if TYPE_CHECKING:
     from rtflow.operators.windows import WindowSpec
 
 MICROS = 1_000_000
-START = "__s"
+START, END = "__s", "__e"
 PANE = "__p"
 
 #: How many gap-long panes a block has in which sessions without keys are merged first.
@@ -45,10 +45,9 @@ def aggregate(df: DataFrame, window: WindowSpec, grouping: Grouping) -> tuple[Da
     """The grouped table, with the start and the end of each row's window."""
     if window.kind == "session":
         if grouping.splits:
-            sessions = _sessions_from_panes(df, window.gap, grouping)
-        else:
-            sessions = _sessions_of_rows(df, window.gap, grouping)
-        return sessions, F.col("__w.start"), F.col("__w.end")
+            return _sessions_from_panes(df, window.gap, grouping), F.col("__w.start"), F.col("__w.end")
+        sessions = _sessions_of_rows(df, window.gap, grouping)
+        return sessions, F.timestamp_micros(START), F.timestamp_micros(END)
     if window.overlapping:
         grouped = _overlapping(df, window, grouping)
     else:
@@ -141,11 +140,12 @@ def _sessions_of_rows(df: DataFrame, gap: int, grouping: Grouping) -> DataFrame:
     panes = panes.withColumn("__start", F.max("__start").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
     session = Window.partitionBy(*keys, "__start")
     panes = panes.select(
-        F.struct(F.col("__start").alias("start"), (F.max("__last").over(session) + wait).alias("end")).alias("__w"),
+        F.unix_micros("__start").alias(START),
+        F.unix_micros(F.max("__last").over(session) + wait).alias(END),
         F.col(PANE).alias("__q"),
         *[F.col(key).alias(f"{key}q") for key in keys],
     )
     on = F.col(PANE) == F.col("__q")
     for key in keys:
         on = on & F.col(key).eqNullSafe(F.col(f"{key}q"))
-    return grouping.in_one_phase(rows.join(panes, on), "__w")
+    return grouping.in_one_phase(rows.join(panes, on), START, END)
