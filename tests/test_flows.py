@@ -1,0 +1,271 @@
+import json
+
+import pytest
+
+import helpers
+from samples import job
+from rtflow import FlowTable, Job, JoinSpec, TableSpec, WindowSpec, build, load_jobs, load_tables
+from rtflow.plans import job_order
+from rtflow.plans.sqltext import parse_select
+from rtflow.sources import load, read_files
+from rtflow.streaming import run_batch, scratch_dir, start_materialised, topic_writer, write_topic
+
+COLUMNS = ("k string", "v bigint")
+
+
+def one(spark, sql, inputs=("t",), **config):
+    return load_jobs(spark, job("out", list(inputs), sql, **config))[0]
+
+
+# SQL text -------------------------------------------------------------------------------------
+
+
+def test_statement_parts(spark):
+    statement = parse_select(
+        spark,
+        "select k, count(distinct v) as n, max(v)-min(v) spread, count(*) filter (where v > 1) as `big ones` from t x "
+        "where not (k = 'it''s' or k like 'x%') and v not in (1, 2) group by k, upper( k ) having count(distinct v) > 2",
+    )
+    assert statement.select == [
+        ("k", "k"),
+        ("count(distinct v)", "n"),
+        ("max(v)-min(v)", "spread"),
+        ("count(*) filter (where v > 1)", "big ones"),
+    ]
+    assert (statement.table, statement.alias) == ("t", "x")
+    assert statement.where == "not (k = 'it''s' or k like 'x%') and v not in (1, 2)"
+    assert statement.group_by == ["k", "upper( k )"]
+    assert statement.having == "count(distinct v) > 2"
+
+
+@pytest.mark.parametrize("how,sql", [("inner", "join"), ("left", "left outer join"), ("right", "RIGHT JOIN")])
+def test_join_parts_with_swapped_sides(spark, how, sql):
+    statement = parse_select(spark, f"select `a`.`x`, b.y as z from `t` a {sql} u b on b.`i d` = a.k where b.y > 1")
+    assert statement.join == JoinSpec("t", "u", "k", "i d", how, "a", "b")
+    assert [name for _, name in statement.select] == ["x", "z"]
+    assert statement.where == "b.y > 1"
+
+
+@pytest.mark.parametrize(
+    "sql,message",
+    [
+        ("", "empty"),
+        ("  ", "empty"),
+        ("selec a", "cannot parse|can parse"),
+        ("delete from t", "plain SELECT"),
+        ("select * from t", r"SELECT \*"),
+        ("select t.* from t", r"SELECT \*"),
+        ("select max(v) from t", "alias"),
+        ("select a from t union select a from u", "plain SELECT"),
+        ("select a from t order by a", "plain SELECT"),
+        ("select a from t limit 1", "plain SELECT"),
+        ("select distinct a from t", "plain SELECT"),
+        ("with c as (select 1) select a from c", "plain SELECT"),
+        ("select a from (select a from t)", "FROM must name"),
+        ("select a from t, u", "exactly one equality"),
+        ("select a from t cross join u", "not supported"),
+        ("select t.a from t full join u on t.k = u.k", "not supported"),
+        ("select t.a from t left semi join u on t.k = u.k", "not supported"),
+        ("select t.a from t join u using (k)", "not supported"),
+        ("select t.a from t join u on t.k > u.k", "exactly one equality"),
+        ("select t.a from t join u on t.k = u.k and t.j = u.j", "exactly one equality"),
+        ("select t.a from t join u on t.k = t.j", "same table"),
+        ("select t.a from t join u on k = u.k", "written table.column"),
+        ("select t.a from t join u on t.k = u.k join w on t.k = w.k", "three and more"),
+        ("select a from t group by a with rollup", "in parts"),
+    ],
+)
+def test_refused_statements(spark, sql, message):
+    with pytest.raises(ValueError, match=message):
+        parse_select(spark, sql)
+
+
+# Job checks -----------------------------------------------------------------------------------
+
+
+def test_refused_jobs(spark):
+    cases = [
+        (lambda: one(spark, "select k from t", window="hop"), "unknown window type"),
+        (lambda: one(spark, "select k from t", window="tumble", size=0), "at least 1"),
+        (lambda: one(spark, "select count(*) as n from t group by k"), "need a window"),
+        (lambda: one(spark, "select k from u"), "the SQL reads"),
+        (lambda: one(spark, "select k from t", inputs=("t", "u")), "the SQL reads"),
+        (lambda: one(spark, "select a.k, b.k from t a join u b on a.k = b.k", ("t", "u")), "ambiguous output"),
+        (lambda: one(spark, "select a.k from t a join u b on a.k = b.k", ("t", "u"), window="slide", size=2, slide=1), "tumbling"),
+        (lambda: one(spark, "select a.k from t a join u b on a.k = b.k", ("t", "u"), window="session", gap=1), "tumbling"),
+        (lambda: one(spark, "select k, v as k from t"), "ambiguous output"),
+        (lambda: one(spark, "select k as window_end from t"), "cannot be selected"),
+        (lambda: Job("t", ["t"], ["k"]), "its own input"),
+        (lambda: Job("o", [], ["k"]), "one input"),
+        (lambda: Job("o", ["t", "u"], ["k"]), "need a join"),
+        (lambda: Job("o", ["t"], ["upper(k)"]), "alias"),
+        (lambda: Job("o", ["t"], []), "empty"),
+    ]
+    for make, message in cases:
+        with pytest.raises(ValueError, match=message):
+            make()
+
+
+def tables(spark, rows=((1, "a", 1), (2, "b", 2), (12, "a", 3))):
+    static = spark.createDataFrame([("a", 10)], "k string, size int")
+    return {"t": helpers.table(spark, rows, COLUMNS), "u": helpers.table(spark, rows, COLUMNS), "s": FlowTable(static, static=True)}
+
+
+def test_refused_flows(spark):
+    join = "select a.k, b.v from {} a {} join {} b on a.k = b.k"
+    cases = [
+        (one(spark, "select k from s", inputs=("s",)), "only be joined"),
+        (one(spark, join.format("s", "inner", "t"), ("s", "t")), "right side"),
+        (one(spark, "select a.k, b.size from t a right join s b on a.k = b.k", ("t", "s")), "right join"),
+        (one(spark, "select a.k, b.size from t a join s b on a.k = b.k", ("t", "s"), window="tumble", size=2), "no window"),
+        (one(spark, join.format("t", "inner", "u"), ("t", "u")), "tumbling window"),
+        (one(spark, "select k from missing", inputs=("missing",)), "unknown table"),
+    ]
+    for bad, message in cases:
+        with pytest.raises(ValueError, match=message):
+            build(spark, tables(spark), [bad])
+
+
+# Composition ----------------------------------------------------------------------------------
+
+
+def step(output, *inputs):
+    if len(inputs) == 1:
+        return Job(output, inputs, ["k", "v"])
+    join = JoinSpec(inputs[0], inputs[1], "k", "k")
+    return Job(output, inputs, [f"{inputs[0]}.k", f"{inputs[1]}.v"], WindowSpec("tumble", size=10), join=join)
+
+
+def test_jobs_run_after_all_their_parents(spark):
+    # "d" is one step from "a" on one path and three on the other
+    jobs = [step("d", "a", "c"), step("c", "b"), step("b", "a"), step("a", "t")]
+    order = [j.output for j in job_order(jobs, ["t"])]
+    assert sorted(order) == ["a", "b", "c", "d"]
+    for j in jobs:
+        assert all(order.index(i) < order.index(j.output) for i in j.inputs if i != "t")
+    flow = build(spark, tables(spark), jobs)
+    assert list(flow) == order
+    assert helpers.result(flow["d"].df, "k", "v") == [(10.0, "a", 1), (10.0, "b", 2), (20.0, "a", 3)]
+
+
+def test_bad_graphs(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        job_order([step("a", "b"), step("b", "c"), step("c", "a")], ["t"])
+    with pytest.raises(ValueError, match="two jobs"):
+        job_order([step("a", "t"), step("a", "t")], ["t"])
+    with pytest.raises(ValueError, match="input table"):
+        job_order([step("t", "u")], ["t", "u"])
+
+
+def test_declared_output_schema_and_qualifiers(spark):
+    record = job("out", ["t"], "select x.k, sum(x.v) as total from t x where x.v > 0 group by x.k", window="tumble", size=10)
+    names = ("event_time", "window_start", "window_end", "total", "k")
+    kinds = ("TIMESTAMP", "STRING", "STRING", "INT", "STRING")
+    record["schema"] = [{"field_name": n, "field_type": k} for n, k in zip(names, kinds)]
+    out = build(spark, tables(spark), load_jobs(spark, [record]))["out"].df
+    assert [f.dataType.simpleString() for f in out.schema][3] == "int"
+    assert helpers.result(out, "k", "total") == [(10.0, "a", 1), (10.0, "b", 2), (20.0, "a", 3)]
+    named = one(spark, "select t.k, t.v from t where t.v = 2")
+    assert helpers.result(build(spark, tables(spark), [named])["out"].df, "k") == [(2.0, "b")]
+
+
+def test_config_files(spark, tmp_path):
+    path = tmp_path / "flow.json"
+    path.write_text(json.dumps(job("o", ["t"], "select k from t")), encoding="utf-8")
+    assert [j.output for j in load_jobs(spark, path)] == ["o"]
+    path.write_text(json.dumps([job("o", ["t"], "select k from t"), job("p", ["o"], "select k from o")]), encoding="utf-8")
+    assert [j.inputs for j in load_jobs(spark, str(path))] == [("t",), ("o",)]
+
+
+def test_self_join(spark, tmp_path):
+    record = job("o", ["t"], "select a.k, a.v, b.v as w from t a join t b on a.k = b.k", window="tumble", size=20)
+    want = [(20.0, "a", 1, 1), (20.0, "a", 1, 3), (20.0, "a", 3, 1), (20.0, "a", 3, 3), (20.0, "b", 2, 2)]
+    assert helpers.result(build(spark, tables(spark), load_jobs(spark, record))["o"].df, "k", "v", "w") == want
+
+
+def test_written_flow_never_overwrites(spark, tmp_path):
+    jobs = [step("a", "t"), step("b", "a")]
+    written = run_batch(spark, tables(spark), jobs, str(tmp_path))
+    assert helpers.result(written["b"], "k", "v") == [(1.0, "a", 1), (12.0, "a", 3), (2.0, "b", 2)]
+    with pytest.raises(Exception, match="already exists"):
+        run_batch(spark, tables(spark), jobs, str(tmp_path))
+
+
+def test_materialised_streams_join_branches_of_different_depth(spark, tmp_path):
+    sums = Job("sums", ["t"], ["k", "sum(v) as v"], WindowSpec("tumble", size=5), group_by=["k"])
+    mixed = Job(
+        "mixed",
+        ["sums", "u"],
+        ["sums.k", ("sums.v", "total"), "u.v"],
+        WindowSpec("tumble", size=10),
+        join=JoinSpec("sums", "u", "k", "k"),
+    )
+    rows = [(1, "a", 1), (2, "a", 2), (6, "a", 3), (40, "b", 4)]
+    batch = build(spark, tables(spark, rows), [mixed, sums])
+    # sums end at 5 (in [0,10), with the rows at 1, 2, 6), at 10 and at 45 (in windows without other rows)
+    want = [(10.0, "a", 3, 1), (10.0, "a", 3, 2), (10.0, "a", 3, 3), (50.0, "b", 4, 4)]
+    assert helpers.result(batch["mixed"].df, "k", "total", "v") == want
+    streams = {n: helpers.as_stream(spark, tables(spark, rows)[n], tmp_path / n) for n in ("t", "u")}
+    with pytest.raises(ValueError, match="materialised"):
+        build(spark, streams, [mixed, sums])
+    start_materialised(spark, streams, [mixed, sums], str(tmp_path / "out"), available_now=True)
+    got = helpers.result(spark.read.parquet(f"{tmp_path}/out/tables/mixed"), "k", "total", "v")
+    assert got == want[:3]
+
+
+# Tables ---------------------------------------------------------------------------------------
+
+TIME = {"field_name": "event_time", "field_type": "TIMESTAMP"}
+KEY = {"field_name": "k", "field_type": "STRING"}
+
+
+def table_spec(kind, schema, storages, **options):
+    return {"table_id": "x", "table_type": kind, "schema": schema, "storages": storages, "options": options}
+
+
+def test_refused_tables(spark):
+    cases = [
+        (table_spec("stream", [KEY], {"kafka": {"topic": "x"}}), "first column"),
+        (table_spec("view", [TIME], {}), "table_type"),
+        (table_spec("stream", [TIME], {"kafka": {"topic": "x"}}), "bootstrap"),
+        (table_spec("stream", [TIME], {"mysql": {"table": "x"}}), "no usable storage"),
+        (table_spec("static", [KEY], {"kafka": {"topic": "x"}}), "no usable storage"),
+        (table_spec("static", [KEY], json.dumps({"mysql": {"table": "x"}})), "url"),
+    ]
+    for record, message in cases:
+        with pytest.raises(ValueError, match=message):
+            load(spark, record)
+    with pytest.raises(ValueError, match="read as a stream"):
+        load(spark, cases[2][0], streaming=False)
+    static = table_spec("static", [KEY], {"files": {"path": "/nowhere"}})
+    with pytest.raises(ValueError, match="static table cannot"):
+        FlowTable(helpers.stream_files(spark, "/tmp", TableSpec.from_dict(static).schema.add("event_time", "timestamp"), "parquet"), static=True)
+
+
+def test_topic_sinks_need_servers(spark, tmp_path):
+    df = tables(spark)["t"]
+    with pytest.raises(ValueError, match="bootstrap"):
+        write_topic(df, "x", {})
+    with pytest.raises(ValueError, match="bootstrap"):
+        topic_writer(helpers.as_stream(spark, df, tmp_path), "x", {})
+
+
+@pytest.mark.parametrize("fmt", ["json", "parquet", "csv"])
+def test_static_files(spark, tmp_path, fmt):
+    schema = [KEY, {"field_name": "n", "field_type": "INT"}]
+    spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int").write.format(fmt).save(str(tmp_path / "d"))
+    record = table_spec("static", schema, {"files": {"path": str(tmp_path / "d"), "format": fmt}})
+    loaded = load_tables(spark, [record])
+    assert loaded["x"].static
+    assert sorted(loaded["x"].df.collect()) == [("a", 1), ("b", 2)]
+    with pytest.raises(ValueError, match="twice"):
+        load_tables(spark, [record, record])
+    assert read_files(spark, str(tmp_path / "d"), fmt).count() == 2
+
+
+def test_scratch_dirs_lie_in_the_shared_folder(spark):
+    first, second = scratch_dir(spark), scratch_dir(spark)
+    assert first != second
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        assert first.startswith(shared)
