@@ -312,6 +312,11 @@ def oracle_sql() -> dict[str, str]:
         "slide_panes": panes,
         "slide_gap_max": gapped,
         "session_count": sessions,
+        "session_small_keys": _session(
+            "user_id, count(*) AS n, round(sum(value), 6) AS total, count(DISTINCT event_type) AS kinds",
+            600,
+            "user_id",
+        ),
         "session_other_aggs": _session(
             "user_id, count(DISTINCT event_type) AS kinds, round(max(value) - min(value), 6) AS spread",
             1800,

@@ -257,6 +257,7 @@ def queries() -> dict[str, Query]:
         "slide_panes": _flow(flows.SLIDE_PANES),
         "slide_gap_max": _flow(flows.SLIDE_GAP_MAX),
         "session_count": _flow(flows.SESSION_COUNT),
+        "session_small_keys": _flow(flows.SESSION_SMALL_KEYS),
         "session_other_aggs": _flow(flows.SESSION_OTHERS),
         "session_global": _flow(flows.SESSION_GLOBAL),
         "ss_join_inner": _flow(flows.stream_join("inner")),

@@ -19,7 +19,7 @@ if TYPE_CHECKING:
     from rtflow.operators.windows import WindowSpec
 
 MICROS = 1_000_000
-START, END = "__s", "__e"
+START, LAST = "__s", "__e"
 PANE = "__p"
 
 #: How many gap-long panes a block has in which sessions without keys are merged first.
@@ -44,10 +44,13 @@ def bounds(start: Column, length: int) -> tuple[Column, Column]:
 def aggregate(df: DataFrame, window: WindowSpec, grouping: Grouping) -> tuple[DataFrame, Column, Column]:
     """The grouped table, with the start and the end of each row's window."""
     if window.kind == "session":
-        if grouping.splits:
+        if grouping.keys and not window.hot_keys:
+            sessions = _sessions_in_key_order(df, window.gap, grouping)
+        elif grouping.splits:
             return _sessions_from_panes(df, window.gap, grouping), F.col("__w.start"), F.col("__w.end")
-        sessions = _sessions_of_rows(df, window.gap, grouping)
-        return sessions, F.timestamp_micros(START), F.timestamp_micros(END)
+        else:
+            sessions = _sessions_of_rows(df, window.gap, grouping)
+        return sessions, F.timestamp_micros(START), F.col(LAST) + F.expr(f"INTERVAL {window.gap} SECONDS")
     if window.overlapping:
         grouped = _overlapping(df, window, grouping)
     else:
@@ -131,21 +134,28 @@ def _sessions_of_rows(df: DataFrame, gap: int, grouping: Grouping) -> DataFrame:
     """
     keys = list(grouping.keys)
     rows = with_start(df, gap, PANE).select("*", *grouping.key_columns())
-    panes = rows.groupBy(PANE, *keys).agg(F.min(EVENT_TIME).alias("__first"), F.max(EVENT_TIME).alias("__last"))
-    by_time = Window.partitionBy(*keys).orderBy(PANE)
-    wait = F.expr(f"INTERVAL {gap} SECONDS")
-    before = F.lag("__last").over(by_time)
-    begins = before.isNull() | (F.col("__first") > before + wait)
-    panes = panes.withColumn("__start", F.when(begins, F.col("__first")))
-    panes = panes.withColumn("__start", F.max("__start").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    session = Window.partitionBy(*keys, "__start")
-    panes = panes.select(
-        F.unix_micros("__start").alias(START),
-        F.unix_micros(F.max("__last").over(session) + wait).alias(END),
-        F.col(PANE).alias("__q"),
-        *[F.col(key).alias(f"{key}q") for key in keys],
-    )
+    first, last = F.unix_micros(F.min(EVENT_TIME)).alias("__first"), F.unix_micros(F.max(EVENT_TIME)).alias("__last")
+    panes = _numbered(rows.groupBy(PANE, *keys).agg(first, last), gap, keys)
+    panes = panes.select(START, F.col(PANE).alias("__q"), *[F.col(key).alias(f"{key}q") for key in keys])
     on = F.col(PANE) == F.col("__q")
     for key in keys:
         on = on & F.col(key).eqNullSafe(F.col(f"{key}q"))
-    return grouping.in_one_phase(rows.join(panes, on), START, END)
+    return grouping.in_one_phase(rows.join(panes, on), START, extra=(F.max(EVENT_TIME).alias(LAST),))
+
+
+def _sessions_in_key_order(df: DataFrame, gap: int, grouping: Grouping) -> DataFrame:
+    """Sessions of keys that are all small enough to be sorted in one task."""
+    micros = F.unix_micros(EVENT_TIME)
+    rows = df.where(F.col(EVENT_TIME).isNotNull()).select("*", *grouping.key_columns())
+    rows = rows.withColumns({"__first": micros, "__last": micros})
+    rows = _numbered(rows, gap, list(grouping.keys))
+    return grouping.in_one_phase(rows, START, extra=(F.max(EVENT_TIME).alias(LAST),))
+
+
+def _numbered(spans: DataFrame, gap: int, keys: list[str]) -> DataFrame:
+    """Add the start of its session to each ``__first``..``__last``, in microseconds."""
+    by_time = Window.partitionBy(*keys).orderBy("__first")
+    before = F.lag("__last").over(by_time)
+    begins = F.when(before.isNull() | (F.col("__first") > before + F.lit(gap * MICROS)), F.col("__first"))
+    spans = spans.withColumn("__begins", begins)
+    return spans.withColumn(START, F.max("__begins").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))

@@ -32,12 +32,16 @@ class Grouping:
     def key_columns(self) -> list[Column]:
         return [F.expr(expression).alias(name) for name, expression in self.keys.items()]
 
-    def in_one_phase(self, df: DataFrame, *windows: Column | str) -> DataFrame:
+    def in_one_phase(self, df: DataFrame, *windows: Column | str, extra: tuple[Column, ...] = ()) -> DataFrame:
+        columns = [*extra, *self._one_phase_columns()]
+        grouped = df.groupBy(*windows, *self.key_columns()).agg(*or_count(columns))
+        return grouped.where("__h") if self.having else grouped
+
+    def _one_phase_columns(self) -> list[Column]:
         columns = [F.expr(expression).alias(name) for expression, name in self.aggregates]
         if self.having:
             columns.append(F.expr(self.having).alias("__h"))
-        grouped = df.groupBy(*windows, *self.key_columns()).agg(*or_count(columns))
-        return grouped.where("__h") if self.having else grouped
+        return columns
 
     def first_phase(self, df: DataFrame, *groups: Column | str, extra: tuple[Column, ...] = ()) -> DataFrame:
         columns = [*extra, *self.split.partial]

@@ -25,12 +25,18 @@ _KINDS = (NONE, TUMBLE, SLIDE, SESSION)
 
 @dataclass(frozen=True)
 class WindowSpec:
-    """A window type with its sizes in whole seconds. ``slide`` may be larger than ``size``."""
+    """A window type with its sizes in whole seconds. ``slide`` may be larger than ``size``.
+
+    ``hot_keys=False`` promises that no session key holds more rows than one task can sort. Batch
+    sessions then take one shuffle of the rows instead of two of their panes, which pays when most
+    sessions are short.
+    """
 
     kind: str = NONE
     size: int | None = None
     slide: int | None = None
     gap: int | None = None
+    hot_keys: bool = True
 
     def __post_init__(self):
         if self.kind not in _KINDS:

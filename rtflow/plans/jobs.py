@@ -68,14 +68,18 @@ class Job:
         """Read a job record, ``{name, input_table_list, output_table, process_config}``.
 
         ``process_config`` has ``window_type``, ``window_size``, ``slide_size``, ``session_gap``
-        and ``sql``. A record may add ``schema``, the declared schema of its output.
+        and ``sql``; it may have ``hot_keys``, see ``WindowSpec``. A record may add ``schema``, the declared schema of its output.
         """
         config = record["process_config"]
         output = record.get("output_table") or ""
         kind = config.get("window_type") or NONE
         try:
             window = WindowSpec(
-                kind, config.get("window_size"), config.get("slide_size"), config.get("session_gap")
+                kind,
+                config.get("window_size"),
+                config.get("slide_size"),
+                config.get("session_gap"),
+                config.get("hot_keys", True),
             )
             statement = parse_select(spark, config.get("sql") or "")
         except ValueError as error:

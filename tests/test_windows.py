@@ -49,13 +49,13 @@ def test_windows_against_model(spark, size, step, select, model):
 
 
 @pytest.mark.parametrize("gap", [1, 3, 17])
-@pytest.mark.parametrize("keyed", [True, False])
+@pytest.mark.parametrize("keyed,hot", [(True, True), (True, False), (False, True)])
 @pytest.mark.parametrize("select,model", [(PLAIN, MODEL), (OTHER, OTHER_MODEL)])
-def test_sessions_against_model(spark, monkeypatch, gap, keyed, select, model):
+def test_sessions_against_model(spark, monkeypatch, gap, keyed, hot, select, model):
     monkeypatch.setattr(batch_windows, "SESSION_BLOCK", 3)  # many block borders
     rows = random_rows(gap, n=150)
     table = FlowTable(helpers.table(spark, rows, COLUMNS))
-    window = WindowSpec("session", gap=gap)
+    window = WindowSpec("session", gap=gap, hot_keys=hot)
     if keyed:
         got = window_aggregate(table, window, select, ["k"]).df.withColumnRenamed("k", "key")
     else:
