@@ -32,6 +32,8 @@ class Job:
     alias: str | None = None
     #: declared output schema; by default the output is as Spark infers it
     schema: T.StructType | None = None
+    #: where a stream writes the output, as in a table spec; a topic of its name unless told otherwise
+    storages: Mapping | None = None
     name: str = ""
 
     def __post_init__(self):
@@ -46,6 +48,8 @@ class Job:
             fail(str(error))
         if not self.output:
             fail("it needs an output table")
+        if self.storages is None:
+            object.__setattr__(self, "storages", {"kafka": {"topic": self.output}})
         if not 1 <= len(self.inputs) <= 2:
             fail("it takes one input table, or two to join")
         if self.output in self.inputs:
@@ -68,7 +72,8 @@ class Job:
         """Read a job record, ``{name, input_table_list, output_table, process_config}``.
 
         ``process_config`` has ``window_type``, ``window_size``, ``slide_size``, ``session_gap``
-        and ``sql``; it may have ``hot_keys``, see ``WindowSpec``. A record may add ``schema``, the declared schema of its output.
+        and ``sql``; it may have ``hot_keys``, see ``WindowSpec``. A record may add ``schema``, the
+        declared schema of its output, and ``storages``, where a stream writes it.
         """
         config = record["process_config"]
         output = record.get("output_table") or ""
@@ -100,6 +105,7 @@ class Job:
             join=statement.join,
             alias=statement.alias,
             schema=to_struct(record["schema"]) if record.get("schema") else None,
+            storages=record.get("storages"),
             name=record.get("name", ""),
         )
 

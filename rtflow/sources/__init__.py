@@ -1,5 +1,6 @@
 from rtflow.sources.codec import decode_json
 from rtflow.sources.tables import (
+    WATERMARK_DELAY,
     TableSpec,
     load,
     load_tables,
@@ -11,6 +12,7 @@ from rtflow.sources.tables import (
 )
 
 __all__ = [
+    "WATERMARK_DELAY",
     "TableSpec",
     "decode_json",
     "load",

@@ -58,14 +58,22 @@ def with_event_time(df: DataFrame, time_column: str = EVENT_TIME, delay: str = W
 
 
 def stream_topic(
-    spark: SparkSession, topic: str, schema: SchemaLike, options: Mapping, delay: str = WATERMARK_DELAY
+    spark: SparkSession,
+    topic: str,
+    schema: SchemaLike,
+    options: Mapping,
+    delay: str = WATERMARK_DELAY,
+    streaming: bool = True,
 ) -> DataFrame:
-    """Read JSON records of a Kafka topic, from the earliest offset unless ``options`` say otherwise."""
+    """Read JSON records of a Kafka topic, from the earliest offset unless ``options`` say otherwise.
+
+    With ``streaming=False`` what the topic holds now is read as a batch.
+    """
     struct = check_stream_schema(to_struct(schema))
     if "kafka.bootstrap.servers" not in options:
         raise ValueError(f"topic {topic!r}: option kafka.bootstrap.servers is missing")
-    reader = spark.readStream.format("kafka").option("startingOffsets", "earliest").options(**options)
-    records = reader.option("subscribe", topic).load()
+    reader = (spark.readStream if streaming else spark.read).format("kafka")
+    records = reader.option("startingOffsets", "earliest").options(**options).option("subscribe", topic).load()
     return with_event_time(decode_json(records.select(F.col("value").cast("string")), struct), delay=delay)
 
 
@@ -135,7 +143,7 @@ def load(spark: SparkSession, spec: TableSpec | Mapping, delay: str = WATERMARK_
 
     ``storages`` has one of ``{"kafka": {"topic": T}}`` for streams, ``{"mysql": {"table": T}}`` or
     ``{"jdbc": {"table": T}}`` for static tables, or ``{"files": {"path": P, "format": F}}`` for
-    either. With ``streaming=False`` a file-backed stream is read once, as a batch.
+    either. With ``streaming=False`` a stream is read once, as a batch.
     """
     spec = spec if isinstance(spec, TableSpec) else TableSpec.from_dict(spec)
     files = spec.storages.get("files")
@@ -151,9 +159,8 @@ def load(spark: SparkSession, spec: TableSpec | Mapping, delay: str = WATERMARK_
             return stream_files(spark, files["path"], spec.schema, fmt, spec.options, delay=delay)
         return with_event_time(read_files(spark, files["path"], fmt, spec.schema, spec.options), delay=delay)
     elif "kafka" in spec.storages:
-        if not streaming:
-            raise ValueError(f"table {spec.table_id!r}: a topic is read as a stream")
-        return stream_topic(spark, spec.storages["kafka"]["topic"], spec.schema, spec.options, delay)
+        topic = spec.storages["kafka"]["topic"]
+        return stream_topic(spark, topic, spec.schema, spec.options, delay, streaming)
     raise ValueError(f"table {spec.table_id!r}: no usable storage in {sorted(spec.storages)} for a {spec.table_type} table")
 
 

@@ -1,15 +1,17 @@
 from rtflow.streaming.runner import (
     configure,
+    configured_sinks,
     run_available,
     run_batch,
     scratch_dir,
     start,
     start_materialised,
 )
-from rtflow.streaming.sinks import encode_json, file_writer, topic_writer, write_topic
+from rtflow.streaming.sinks import encode_json, file_writer, storage_writer, topic_writer, write_topic
 
 __all__ = [
     "configure",
+    "configured_sinks",
     "encode_json",
     "file_writer",
     "run_available",
@@ -17,6 +19,7 @@ __all__ = [
     "scratch_dir",
     "start",
     "start_materialised",
+    "storage_writer",
     "topic_writer",
     "write_topic",
 ]

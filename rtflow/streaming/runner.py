@@ -14,7 +14,7 @@ from rtflow.plans.dataflow import apply_job, job_order
 from rtflow.plans.jobs import Job
 from rtflow.schema import WINDOW
 from rtflow.sources.tables import WATERMARK_DELAY, stream_files
-from rtflow.streaming.sinks import file_writer
+from rtflow.streaming.sinks import file_writer, storage_writer
 from rtflow.table import FlowTable
 
 #: Fixed value: how often a running flow looks for input and checkpoints.
@@ -22,7 +22,8 @@ TRIGGER = "1 second"
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-SinkFactory = Callable[[str, DataFrame], DataStreamWriter]
+#: From an output's name and table to its writer, or ``None`` for an output without a sink.
+SinkFactory = Callable[[str, DataFrame], DataStreamWriter | None]
 
 
 def configure(spark: SparkSession, rocksdb: bool = True) -> None:
@@ -76,15 +77,23 @@ def start(
     """Start one query per output table of a built flow (*fused* mode).
 
     Each query runs the whole chain above its output, so event time is handed on inside one query
-    and nothing is written in between. Leave an output out of ``outputs`` to give it no sink.
+    and nothing is written in between.
     """
     queries = {}
     for name, table in outputs.items():
-        writer = sink(name, table.output).queryName(name).option("checkpointLocation", f"{checkpoints}/{name}")
-        queries[name] = _triggered(writer, available_now).start()
+        writer = sink(name, table.output)
+        if writer is not None:
+            writer = writer.queryName(name).option("checkpointLocation", f"{checkpoints}/{name}")
+            queries[name] = _triggered(writer, available_now).start()
     return queries
 
 
+def configured_sinks(jobs: Iterable[Job], options: Mapping | None = None, offset_hours: int = 0) -> SinkFactory:
+    """Sinks as the jobs' ``storages`` say; ``options`` go to the Kafka writers."""
+    storages = {job.output: job.storages for job in jobs}
+    return lambda name, df: storage_writer(df, storages[name], options, offset_hours)
+
+
 def _triggered(writer: DataStreamWriter, available_now: bool) -> DataStreamWriter:
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=TRIGGER)
 

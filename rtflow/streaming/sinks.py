@@ -53,3 +53,15 @@ def file_writer(df: DataFrame, path: str, fmt: str = "json", offset_hours: int =
         return encode_json(df, offset_hours).writeStream.outputMode("append").format("text").option("path", path)
     visible = df.drop(WINDOW) if WINDOW in df.columns else df
     return visible.writeStream.outputMode("append").format(fmt).option("path", path)
+
+
+def storage_writer(
+    df: DataFrame, storages: Mapping, options: Mapping | None = None, offset_hours: int = 0
+) -> DataStreamWriter | None:
+    """A writer to the first storage there is, ``kafka`` or ``files``; ``None`` if there is neither."""
+    if storages.get("kafka"):
+        return topic_writer(df, storages["kafka"]["topic"], options or {}, offset_hours)
+    if storages.get("files"):
+        files = storages["files"]
+        return file_writer(df, files["path"], files.get("format", "json"), offset_hours)
+    return None

@@ -7,6 +7,7 @@ import pytest
 
 import samples
 from rtflow import build, load_jobs, load_tables
+from rtflow.__main__ import main
 from rtflow.streaming import encode_json, file_writer, run_available, run_batch, start, start_materialised
 
 
@@ -123,3 +124,22 @@ def test_jobs_7_and_8(spark, inputs, tmp_path):
         for (start, end), count in closed.items()
     ]
     assert json_records(written) == multiset(want)
+
+
+@pytest.mark.parametrize("mode", ["fused", "materialised", "batch"])
+def test_command_line(spark, inputs, mode, tmp_path):
+    jobs = [dict(record) for record in samples.FLOW_1]
+    jobs[0]["storages"] = {}
+    for record in jobs[1:]:
+        record["storages"] = {"files": {"path": f"{tmp_path}/out/{record['output_table']}"}}
+    (tmp_path / "tables.json").write_text(json.dumps(specs(inputs)), encoding="utf-8")
+    (tmp_path / "jobs.json").write_text(json.dumps(jobs), encoding="utf-8")
+    command = ["--tables", f"{tmp_path}/tables.json", "--jobs", f"{tmp_path}/jobs.json", "--mode", mode]
+    main([*command, "--directory", f"{tmp_path}/work", "--available-now"])
+    if mode == "fused":
+        assert json_records(spark.read.text(f"{tmp_path}/out/zc_stream3")) == multiset(samples.GOLDEN["zc_stream3"])
+        assert not (tmp_path / "out" / "zc_stream1").exists()
+    else:
+        table = f"{tmp_path}/work/{'tables/' if mode == 'materialised' else ''}zc_stream2"
+        got = json_records(encode_json(spark.read.parquet(table)))
+        assert multiset(samples.GOLDEN["zc_stream2"]) <= got
