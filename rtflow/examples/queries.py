@@ -41,7 +41,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     table = spark.read.parquet(path)
-    if any(name.rstrip("/").endswith("/events.parquet") for name in table.inputFiles()[:1]):
+    sample = table.select("_metadata.file_path").first()
+    if sample is not None and sample.file_path.endswith("/events.parquet"):
         # One file: a stream follows its directory.
         path, options = sf_dir, {"pathGlobFilter": "events.parquet"}
     else:

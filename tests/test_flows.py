@@ -8,7 +8,7 @@ from rtflow import FlowTable, Job, JoinSpec, TableSpec, WindowSpec, build, load_
 from rtflow.plans import job_order
 from rtflow.plans.sqltext import parse_select
 from rtflow.sources import load, read_files
-from rtflow.streaming import run_batch, scratch_dir, start_materialised, topic_writer, write_topic
+from rtflow.streaming import run_available, run_batch, scratch_dir, start_materialised, topic_writer, write_topic
 
 COLUMNS = ("k string", "v bigint")
 
@@ -191,6 +191,28 @@ def test_written_flow_never_overwrites(spark, tmp_path):
         run_batch(spark, tables(spark), jobs, str(tmp_path))
 
 
+def test_chain_through_every_kind_of_job(spark, tmp_path):
+    record = job("third", ["second"], "select k, total * 2 as total, size from second where total > 1")
+    names = ("event_time", "window_start", "window_end", "k", "total", "size")
+    kinds = ("TIMESTAMP", "STRING", "STRING", "STRING", "INT", "BIGINT")
+    record["schema"] = [{"field_name": n, "field_type": k} for n, k in zip(names, kinds)]
+    jobs = [
+        job("first", ["t"], "select k, sum(v) as total from t group by k", window="slide", size=4, slide=1),
+        job("second", ["first", "s"], "select a.k, a.total, b.size from first a left join s b on a.k = b.k"),
+        record,
+        job("fourth", ["third"], "select count(*) as n, sum(total) as total, count(size) as m from third", window="tumble", size=8),
+    ]
+    jobs = load_jobs(spark, jobs)
+    rows = [(time, "ab"[time % 3 == 0], time) for time in range(60)]
+    given = tables(spark, rows)
+    batch = helpers.result(build(spark, given, jobs)["fourth"].df, "n", "total", "m")
+    given["t"] = helpers.as_stream(spark, given["t"], tmp_path / "t")
+    flow = build(spark, given, jobs)
+    assert [flow[name].depth for name in ("first", "second", "third", "fourth")] == [1, 1, 1, 2]
+    got = helpers.result(run_available(flow["fourth"].df, str(tmp_path / "run")), "n", "total", "m")
+    assert got == [row for row in batch if row[0] <= 57] and got
+
+
 def test_materialised_streams_join_branches_of_different_depth(spark, tmp_path):
     sums = Job("sums", ["t"], ["k", "sum(v) as v"], WindowSpec("tumble", size=5), group_by=["k"])
     mixed = Job(
