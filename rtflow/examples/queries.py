@@ -50,15 +50,22 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_files(spark, path, table.schema, "parquet", options, "ts")
 
 
-def _tables(spark: SparkSession, sf_dir: str, stream: bool, segments: bool) -> dict[str, FlowTable | DataFrame]:
+def _customer(spark: SparkSession, sf_dir: str, segments: bool) -> FlowTable:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    if segments:
-        customer = customer.where(F.col("c_mktsegment").isin(*SEGMENTS))
-    return {
-        "events": (event_stream if stream else events)(spark, sf_dir),
-        "customer": FlowTable(customer, static=True),
-        "orders": FlowTable(spark.read.parquet(f"{sf_dir}/orders.parquet"), static=True),
+    return FlowTable(customer.where(F.col("c_mktsegment").isin(*SEGMENTS)) if segments else customer, static=True)
+
+
+def _tables(
+    spark: SparkSession, sf_dir: str, config: list[dict], stream: bool, segments: bool
+) -> dict[str, FlowTable | DataFrame]:
+    """The tables that the jobs read."""
+    loaders = {
+        "events": lambda: (event_stream if stream else events)(spark, sf_dir),
+        "customer": lambda: _customer(spark, sf_dir, segments),
+        "orders": lambda: FlowTable(spark.read.parquet(f"{sf_dir}/orders.parquet"), static=True),
     }
+    read = {name for job in config for name in job["input_table_list"]}
+    return {name: load() for name, load in loaders.items() if name in read}
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -79,7 +86,7 @@ def _flow(config: list[dict], segments: bool = False, stream: bool = False, **op
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _session(spark)
-        tables = _tables(spark, sf_dir, stream, segments)
+        tables = _tables(spark, sf_dir, config, stream, segments)
         result = build(spark, tables, load_jobs(spark, config), **options)[config[-1]["output_table"]]
         return comparable(run_available(result.df) if stream else result.output)
 
@@ -98,7 +105,7 @@ def _union(outputs: dict[str, DataFrame]) -> DataFrame:
 def _dataflow(config: list[dict], names: list[str], segments: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _session(spark)
-        outputs = build(spark, _tables(spark, sf_dir, False, segments), load_jobs(spark, config), null_fill="text")
+        outputs = build(spark, _tables(spark, sf_dir, config, False, segments), load_jobs(spark, config), null_fill="text")
         return _union({name: outputs[name].output for name in names})
 
     return query
@@ -109,7 +116,7 @@ def _dataflow_written(config: list[dict], names: list[str], segments: bool = Fal
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _session(spark)
-        tables = _tables(spark, sf_dir, False, segments)
+        tables = _tables(spark, sf_dir, config, False, segments)
         outputs = run_batch(spark, tables, load_jobs(spark, config), scratch_dir(spark), null_fill="text")
         return _union({name: outputs[name] for name in names})
 
@@ -122,7 +129,7 @@ def _dataflow_materialised(config: list[dict], names: list[str]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _session(spark)
         root = scratch_dir(spark)
-        tables = _tables(spark, sf_dir, True, False)
+        tables = _tables(spark, sf_dir, config, True, False)
         start_materialised(spark, tables, load_jobs(spark, config), root, available_now=True)
         return _union({name: spark.read.parquet(f"{root}/tables/{name}") for name in names})
 
