@@ -10,11 +10,10 @@ from rtflow.examples import flows
 from rtflow.operators import WindowSpec
 from rtflow.plans import Job, build, load_jobs
 from rtflow.schema import EVENT_TIME, to_struct
-from rtflow.sources import decode_json, stream_files, with_event_time
+from rtflow.sources import decode_json, load, stream_files, with_event_time
 from rtflow.streaming import (
     configure,
     encode_json,
-    file_writer,
     run_available,
     run_batch,
     scratch_dir,
@@ -153,8 +152,6 @@ def tumble_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def static_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A static table as its declared schema says: ``select * from customer``."""
-    from rtflow.sources import load
-
     spec = {
         "table_id": "customer",
         "table_type": "static",

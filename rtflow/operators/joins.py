@@ -76,13 +76,14 @@ def join_windowed(
     _check_salt(salt)
 
     sides = []
-    for table, name, key, tag in ((left, spec.names[0], spec.left_key, "l"), (right, spec.names[1], spec.right_key, "r")):
+    keys = _keys(left.df, right.df, spec)
+    for table, name, key, tag in ((left, spec.names[0], keys[0], "l"), (right, spec.names[1], keys[1], "r")):
         if table.streaming:
             df, time = with_window_input(table.df, table.depth)
             df = df.withColumn(f"__{tag}w", window_of(time, size, size, table.depth))
         else:
             df = with_start(table.df, size, f"__{tag}w")
-        df = df.alias(name).withColumn(f"__{tag}k", F.col(_quoted(name, key)))
+        df = df.alias(name).withColumn(f"__{tag}k", key)
         sides.append(df.withColumn(f"__{tag}m", F.lit(True)))
     lhs, rhs = sides
     on = (F.col("__lw") == F.col("__rw")) & (F.col("__lk") == F.col("__rk"))
@@ -132,7 +133,8 @@ def join_static(
     left_name, right_name = spec.names
     lhs = stream.df.alias(left_name)
     rhs = static.df.alias(right_name).withColumn("__rm", F.lit(True))
-    on = F.col(_quoted(left_name, spec.left_key)) == F.col(_quoted(right_name, spec.right_key))
+    left_key, right_key = _keys(stream.df, static.df, spec)
+    on = left_key == right_key
     _check_salt(salt)
     if salt > 1:
         lhs, rhs = _salted(lhs, rhs, salt, spec.how)
@@ -150,6 +152,20 @@ def _quoted(table: str, column: str) -> str:
     return f"`{table}`.`{column}`"
 
 
+def _keys(left: DataFrame, right: DataFrame, spec: JoinSpec) -> tuple[Column, Column]:
+    """The key columns of both sides, compared as text if one is text and the other is not."""
+    columns = []
+    for df, name, key in ((left, spec.names[0], spec.left_key), (right, spec.names[1], spec.right_key)):
+        if key not in df.columns:
+            raise ValueError(f"join key {key!r} is not a column of {name!r}")
+        columns.append((F.col(_quoted(name, key)), df.schema[key].dataType))
+    (left_key, left_type), (right_key, right_type) = columns
+    if left_type != right_type and isinstance(left_type, T.StringType) != isinstance(right_type, T.StringType):
+        # Spark would cast the text, and fail on the first one that is no number.
+        left_key, right_key = left_key.cast("string"), right_key.cast("string")
+    return left_key, right_key
+
+
 def _check_fill(null_fill: str) -> None:
     if null_fill not in _FILLS:
         raise ValueError(f"null_fill must be one of {_FILLS}")

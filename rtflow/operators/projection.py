@@ -48,6 +48,8 @@ def select_items(select: Iterable[str | Item]) -> list[Item]:
     for name in names:
         if name in TIME_COLUMNS:
             raise ValueError(f"column {name!r} is added to every output and cannot be selected or used as an alias")
+        if name.startswith("__"):
+            raise ValueError(f"output column {name!r}: names beginning with two underscores are reserved")
         if names.count(name) > 1:
             raise ValueError(f"ambiguous output column {name!r}: give one of them another alias")
     if not items:

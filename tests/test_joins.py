@@ -160,3 +160,17 @@ def test_bad_joins(spark, tmp_path):
         join_windowed(FlowTable(a), FlowTable(b), spec("inner"), SELECT, 10, null_fill="zero")
     with pytest.raises(ValueError, match="salt"):
         join_windowed(FlowTable(a), FlowTable(b), spec("inner"), SELECT, 10, salt=0)
+
+
+def test_keys_of_different_types(spark):
+    a = helpers.table(spark, [(1, 7, 1), (2, 8, 2)], ("k bigint", "v bigint"))
+    b = helpers.table(spark, [(3, "7", "P", 1.0), (4, "seven", "Q", 2.0)], RIGHT)
+    got = join_windowed(FlowTable(a), FlowTable(b), spec("inner"), SELECT, 10).df
+    assert helpers.result(got, *COLUMNS) == [(10.0, 1, 7, "P", 1.0)]
+    static = FlowTable(b.drop("event_time"), static=True)
+    assert helpers.result(join_static(FlowTable(a), static, spec("left"), SELECT).df, *COLUMNS) == [
+        (1.0, 1, 7, "P", 1.0),
+        (2.0, 2, 8, None, None),
+    ]
+    with pytest.raises(ValueError, match="join key"):
+        join_static(FlowTable(a), static, JoinSpec("ta", "tb", "k", "nothing"), SELECT)
