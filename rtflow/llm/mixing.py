@@ -19,6 +19,8 @@ from rtflow.llm.common import SPACE, free_name, kept, text_of, uniform, words_be
 
 #: Weights of the sources in their order, repeating, and the most copies of a document.
 WEIGHTS, MOST_COPIES = (5, 2, 1), 3
+#: Documents of more than so many times their source's mean size are rounded before the others.
+LONG = 4
 #: Documents that are paired in one block at most.
 BLOCK = 128
 SEED = 20_240_601
@@ -125,26 +127,45 @@ def pivotal_copies(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> Da
         open_, level = left.select("src", "k1", "k2", "a", "m"), level + 1
 
 
+def _rounded(units: DataFrame, due: Column, seed: int) -> DataFrame:
+    """``units`` with ``copies``, ``due`` rounded so that the words of each source's units stay as due."""
+    units = units.withColumn("due", due).withColumn("whole", F.floor(F.col("due") + 1e-9))
+    units = units.withColumn("x", F.col("due") - F.col("whole"))
+    open_ = units.where((F.col("size") > 0) & (F.col("x") > 1e-9))
+    ups = pivotal_copies(open_.select("src", "k1", "k2", F.col("size").alias("a"), "x"), seed)
+    out = units.join(ups, ["k1", "k2"], "left").withColumn("copies", F.col("whole") + F.coalesce("up", F.lit(0)))
+    return out.drop("due", "whole", "x", "up")
+
+
 def mixed_copies(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """Copies for rows ``(k1, k2, source, size, *others)``; ``k1, k2`` tell different rows apart.
 
     Adds ``n`` (rows that share all values), ``source_size``, ``target`` and ``copies``, how often
     they are taken in all. Equal rows are one unit, however many there are: they get the whole part
     of what they are due together, and their fraction enters the rounding as one document's.
+
+    Documents of more than ``LONG`` times their source's mean are rounded first, and what they take
+    too much or too little is made up for by the others, so a source misses its target by no more
+    than one of those.
     """
     units = kept(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")))
-    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    targets = source_targets(sizes).withColumn("src", F.expr("row_number() over (order by source asc nulls last)"))
-    targets = kept(targets)
-    t = targets.select(F.col("source").alias("of"), "source_size", "target", "src")
-    units = units.join(t, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("n")).otherwise(F.lit(0.0))
-    whole = F.floor(due + 1e-9)
-    units = units.withColumn("whole", whole).withColumn("x", due - F.col("whole"))
-    open_ = units.where((F.col("size") > 0) & (F.col("x") > 1e-9))
-    ups = pivotal_copies(open_.select("src", "k1", "k2", F.col("size").alias("a"), "x"), seed)
-    out = units.join(ups, ["k1", "k2"], "left")
-    return out.withColumn("copies", F.col("whole") + F.coalesce("up", F.lit(0))).drop("src", "whole", "x", "up")
+    words = F.col("size") * F.col("n")
+    sizes = units.groupBy("source").agg(F.sum(words).alias("source_size"), F.sum("n").alias("rows"))
+    targets = source_targets(sizes.select("source", "source_size")).withColumnRenamed("source", "of")
+    numbered = F.expr("row_number() over (order by source asc nulls last)")
+    targets = targets.join(sizes.select("source", "rows"), F.col("of").eqNullSafe(F.col("source")))
+    targets = kept(targets.withColumn("src", numbered).drop("source"))
+    units = units.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    long = F.col("size") * F.col("rows") > LONG * F.col("source_size")
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    first = kept(_rounded(units.where(long), share * F.col("n"), seed))
+    used = first.groupBy("src").agg(F.sum(words).alias("their_size"), F.sum(F.col("size") * F.col("copies")).alias("their_words"))
+    rest = units.where(~long).join(used, "src", "left").fillna(0, ["their_size", "their_words"])
+    left = (F.col("target") - F.col("their_words")) / F.nullif(F.col("source_size") - F.col("their_size"), F.lit(0))
+    left = F.greatest(F.lit(0.0), F.least(F.coalesce(left, F.lit(0.0)), F.lit(float(MOST_COPIES))))
+    each = F.when(F.col("their_size") > 0, left).otherwise(share)
+    then = _rounded(rest, each * F.col("n"), seed + 7).drop("their_size", "their_words")
+    return first.unionByName(then).drop("src", "rows")
 
 
 def copies_of_row(place: Column, copies: Column, n: Column) -> Column:
