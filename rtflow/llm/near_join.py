@@ -67,12 +67,23 @@ def parity_bits(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _slots(found: list[np.ndarray]) -> np.ndarray:
+    slots = np.concatenate(found) & np.uint64((1 << COUNTERS) - 1)
+    return np.bincount(slots.astype(_INT), minlength=1 << COUNTERS)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << COUNTERS, _INT)
     for batch in batches:
+        held, size = [], 0
         for text in batch.column(0):
-            found = shingles(text.as_py())
-            np.add.at(counts, (found & np.uint64((1 << COUNTERS) - 1)).astype(_INT), 1)
+            held.append(shingles(text.as_py()))
+            size += len(held[-1])
+            if size > 1 << 18:
+                counts += _slots(held)
+                held, size = [], 0
+        if held:
+            counts += _slots(held)
     at = np.flatnonzero(counts)
     yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
 
@@ -208,13 +219,13 @@ def _near_pairs(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.
 
 
 def _candidates(cells: DataFrame, bits: DataFrame, across: bool) -> DataFrame:
-    """Distinct near pairs from regions ``(h, k1, k2, n, c, component)``."""
+    """Distinct near pairs from regions ``(pivot, k1, k2, n, c, component)``."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "k1"), blocks).cast("int")
     rows = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    rows = rows.join(bits, ["k1", "k2"]).select("h", "i", "j", "k1", "k2", "n", "bits", "component")
-    rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "k1", "k2")
+    rows = rows.join(bits, ["k1", "k2"]).select("pivot", "i", "j", "k1", "k2", "n", "bits", "component")
+    rows = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "n", "k1", "k2")
     return rows.mapInArrow(lambda batches: _near_pairs(batches, across), _PAIR).distinct()
 
 
@@ -298,7 +309,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     profiles = kept(_profiles(docs, frequency_levels(docs)))
     whole = profiles.where("bits is not null")
     cells = whole.select(F.explode("prefix").alias("h"), "k1", "k2", "n").repartition("h").distinct()
-    cells = kept(cells.withColumn("c", F.expr("count(*) over (partition by h)")).where("c > 1"))
+    cells = cells.withColumn("c", F.expr("count(*) over (partition by h)"))
+    cells = cells.withColumn("pivot", F.expr("min(k1) over (partition by h)")).where("c > 1")
+    # Shingles whose documents have the same least one make one region, around that document.
+    cells = cells.select("pivot", "k1", "k2", "n").repartition("pivot").distinct()
+    cells = kept(cells.withColumn("c", F.expr("count(*) over (partition by pivot)")))
     inside = cells.select("k1", "k2").distinct()
     bits = kept(whole.select("k1", "k2", "bits").join(inside, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
     pairs = kept(_candidates(cells.withColumn("component", F.lit(0).cast("bigint")), bits, False))
@@ -307,9 +322,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     stars = components(_verified(pairs, sets))
     # Regions of several components may hold further pairs; their documents are in ``sets`` already.
     labelled = cells.join(stars, F.col("k1") == F.col("node"), "left").withColumn("component", F.coalesce("root", "k1"))
-    open_ = labelled.withColumn("low", F.expr("min(component) over (partition by h)"))
-    open_ = open_.withColumn("high", F.expr("max(component) over (partition by h)")).where("low != high")
-    more = _verified(_candidates(open_.select("h", "k1", "k2", "n", "c", "component"), bits, True), sets)
+    open_ = labelled.withColumn("low", F.expr("min(component) over (partition by pivot)"))
+    open_ = open_.withColumn("high", F.expr("max(component) over (partition by pivot)")).where("low != high")
+    more = _verified(_candidates(open_.select("pivot", "k1", "k2", "n", "c", "component"), bits, True), sets)
     edges = more.union(stars.select("node", "root"))
     stars = components(edges)
     classes = profiles.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
