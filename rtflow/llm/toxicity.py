@@ -28,7 +28,7 @@ WIDTH, STATE, BUCKETS = 8, 8, 14
 #: Characters (bytes) of n-grams; a word stands between marks.
 GRAMS = (3, 4, 5, 6)
 #: Labelled documents to learn from at most, words of each that are used in training, and passes.
-SAMPLE, SAMPLE_WORDS, EPOCHS = 2500, 800, 6
+SAMPLE, SAMPLE_WORDS, EPOCHS = 2500, 400, 3
 THRESHOLD = 0.3
 SEED = 11
 
@@ -38,16 +38,26 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def grams_of(word: bytes) -> np.ndarray:
-    marked = np.frombuffer(b"\x02" + word[:64] + b"\x03", np.uint8).astype(np.uint64)
-    out = []
+def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of all words, word by word, and where each word's begin."""
+    marked = [b"\x02" + w[:64] + b"\x03" for w in words]
+    sizes = np.array([len(w) for w in marked])
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
+    raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    at = np.arange(len(raw))
+    ids, of = [], []
     for size in GRAMS:
-        if len(marked) >= size:
-            h = np.full(len(marked) - size + 1, size, np.uint64)
-            for k in range(size):
-                h = h * np.uint64(257) + marked[k : k + len(h)]
-            out.append(mixed(h) >> np.uint64(64 - BUCKETS))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(1, np.int64)
+        n = max(0, len(raw) - size + 1)
+        h = np.full(n, size, np.uint64)
+        for k in range(size):
+            h = h * np.uint64(257) + raw[k : k + n]
+        within = at[:n] + size <= ends[:n]
+        ids.append((mixed(h[within]) >> np.uint64(64 - BUCKETS)).astype(np.int64))
+        of.append(word[:n][within])
+    ids, of = np.concatenate(ids), np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return ids[order], np.searchsorted(of[order], np.arange(len(words)))
 
 
 def starts_of(n: int) -> range:
@@ -136,6 +146,13 @@ class Network:
         return g, dx
 
 
+def _summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sums of their rows."""
+    order = np.argsort(ids, kind="stable")
+    distinct, at = np.unique(ids[order], return_index=True)
+    return distinct, np.add.reduceat(rows[order], at, axis=0)
+
+
 def _windows(ids: np.ndarray, start: int) -> np.ndarray:
     part = ids[start : start + WINDOW]
     return part if len(part) == WINDOW else np.concatenate([part, np.full(WINDOW - len(part), -1, part.dtype)])
@@ -144,19 +161,19 @@ def _windows(ids: np.ndarray, start: int) -> np.ndarray:
 class Model:
     """A trained network with its words and calibration; small, and broadcast for scoring."""
 
-    def __init__(self, network: Network, codes: np.ndarray, slope: float, offset: float):
-        self.network, self.codes, self.slope, self.offset = network, codes, slope, offset
+    def __init__(self, network: Network, codes: np.ndarray, scale: np.ndarray):
+        self.network, self.codes, self.scale = network, codes, scale
 
     def __getstate__(self):
-        return {"p": self.network.p, "codes": self.codes, "slope": self.slope, "offset": self.offset}
+        return {"p": self.network.p, "codes": self.codes, "scale": self.scale}
 
     def __setstate__(self, state):
         self.network = Network.__new__(Network)
         self.network.p = state["p"]
-        self.codes, self.slope, self.offset = state["codes"], state["slope"], state["offset"]
+        self.codes, self.scale = state["codes"], state["scale"]
 
-    def probability(self, logit: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * logit + self.offset, -30, 30))))
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.scale, -30, 30)))
 
 
 class Scorer:
@@ -186,12 +203,11 @@ class Scorer:
             for at in first[new].tolist():
                 doc = int(np.searchsorted(ends, at, "right"))
                 i = at - (int(ends[doc - 1]) if doc else 0)
-                grams.append(grams_of(datas[doc][coded_[doc][1][i] : coded_[doc][2][i]]))
-            at = np.cumsum([0] + [len(x) for x in grams[:-1]])
+                grams.append(datas[doc][coded_[doc][1][i] : coded_[doc][2][i]])
             words = np.searchsorted(self.model.codes, distinct[new])
             words = np.minimum(words, len(self.model.codes) - 1)
             ids = np.where(self.model.codes[words] == distinct[new], words + 1, 0) if len(self.model.codes) else np.zeros(int(new.sum()), int)
-            rows = self.model.network.table(np.concatenate(grams), at, ids)
+            rows = self.model.network.table(*grams_of(grams), ids)
             order = np.argsort(all_ := np.concatenate([self.known, distinct[new]]))
             self.known = all_[order]
             for s in "fb":
@@ -200,28 +216,37 @@ class Scorer:
         return np.split(rows, np.cumsum([len(c[0]) for c in coded_])[:-1])
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        """The greatest calibrated score of each text's windows; of a text without words, that of an empty window."""
+        """The calibrated score of each text."""
+        return self.model.probability(self.evidence(texts)).tolist()
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """Per text: its windows' two greatest logits, the logarithm of their number, and 1.
+
+        The greatest of many is great by chance, so their number counts. A text without words has
+        the logit of nothing, and one of a single window has it twice.
+        """
         datas = [lowered(x) for x in texts]
         found = [coded(d, ALNUM) for d in datas]
         rows = self.places(datas, found) if any(len(c[0]) for c in found) else [np.empty(0, int)] * len(texts)
-        best = np.full(len(texts), -np.inf)
-        held, owner = [], []
-
-        def flush() -> None:
-            if held:
-                np.maximum.at(best, np.array(owner), self.logits(np.stack(held, 1)))
-                held.clear()
-                owner.clear()
-
+        held, owner, found = [], [], []
         for i, ids in enumerate(rows):
             for start in starts_of(len(ids)):
                 held.append(_windows(ids, start))
                 owner.append(i)
                 if len(held) == self.BATCH:
-                    flush()
-        flush()
-        nothing = float(self.model.network.p["o"][0])
-        return [self.model.probability(x if np.isfinite(x) else nothing) for x in best]
+                    found.append(self.logits(np.stack(held, 1)))
+                    held.clear()
+        if held:
+            found.append(self.logits(np.stack(held, 1)))
+        out = np.zeros((len(texts), 4))
+        out[:, :2], out[:, 3] = self.model.network.p["o"][0], 1
+        if owner:
+            owner, found = np.array(owner), np.concatenate(found)
+            order = np.lexsort((-found, owner))
+            has, first, n = np.unique(owner[order], return_index=True, return_counts=True)
+            found = found[order]
+            out[has, 0], out[has, 1], out[has, 2] = found[first], found[first + np.minimum(n - 1, 1)], np.log(n)
+        return out
 
     def logits(self, words: np.ndarray) -> np.ndarray:
         there = (words >= 0).astype(np.float32)
@@ -242,7 +267,8 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
         mean = float(y.mean()) if len(y) else 0.0
         flat = Network(1)
         flat.p["v"][:] = 0
-        return Model(flat, np.empty(0, np.uint64), 1.0, float(np.log((mean + 1e-3) / (1 - mean + 1e-3))))
+        scale = np.array([0, 0, 0, np.log((mean + 1e-3) / (1 - mean + 1e-3))])
+        return Model(flat, np.empty(0, np.uint64), scale)
     codes = np.concatenate([c[0] for c in found])
     distinct, first, inverse, counts = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
     common = distinct[counts >= 4]
@@ -253,9 +279,9 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     for at in first.tolist():
         doc = int(np.searchsorted(ends, at, "right"))
         i = at - (int(ends[doc - 1]) if doc else 0)
-        grams.append(grams_of(datas[doc][found[doc][1][i] : found[doc][2][i]]))
-    gram_at = np.cumsum([0] + [len(x) for x in grams[:-1]])
-    gram_ids, gram_ends = np.concatenate(grams), np.append(gram_at[1:], sum(map(len, grams)))
+        grams.append(datas[doc][found[doc][1][i] : found[doc][2][i]])
+    gram_ids, gram_at = grams_of(grams)
+    gram_ends = np.append(gram_at[1:], len(gram_ids))
     docs = np.split(inverse, ends[:-1])
     windows_, owner = [], []
     for i, ids in enumerate(docs):
@@ -263,11 +289,14 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
             windows_.append(_windows(ids, start))
             owner.append(i)
     windows_, owner = np.stack(windows_, 1), np.array(owner)
+    # A fifth of the documents only sets the scale, as logits of what has been learnt are too sure.
+    for_scale = rng.random(len(texts)) < 0.2
+    learnt = np.flatnonzero(~for_scale[owner])
     network = Network(len(common) + 1)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     step = 0
     for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(len(owner)), max(1, len(owner) // 256)):
+        for batch in np.array_split(rng.permutation(learnt), max(1, len(learnt) // 256)):
             step += 1
             words = windows_[:, batch]
             there = (words >= 0).astype(np.float32)
@@ -280,8 +309,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
             logit = network.logits(inputs, local.reshape(words.shape), there, keep)
             d = ((1 / (1 + np.exp(-logit)) - y[owner[batch]]) / len(batch)).astype(np.float32)
             g, dx = network.gradients(keep, there, d)
-            d_in = np.zeros_like(inputs)
-            np.add.at(d_in, local.reshape(-1), (dx * there[:, :, None]).reshape(-1, 2 * WIDTH))
+            _, d_in = _summed(local.reshape(-1), (dx * there[:, :, None]).reshape(-1, 2 * WIDTH))
             rows = {"words": (word_ids[used], d_in[:, :WIDTH]), "grams": (gram_ids[pick], np.repeat(d_in[:, WIDTH:] / sizes[:, None], sizes, 0))}
             for k, grad in g.items():
                 m, v = state[k]
@@ -289,23 +317,29 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
                 v += 0.01 * (grad * grad - v)
                 network.p[k] -= 0.01 * m / (np.sqrt(v) + 1e-6)
             for k, (ids, grad) in rows.items():
-                u, back = np.unique(ids, return_inverse=True)
-                total = np.zeros((len(u), WIDTH), np.float32)
-                np.add.at(total, back, grad)
+                u, total = _summed(ids, grad)
                 v = state[k][1]
                 v[u] += total * total
                 network.p[k][u] -= 0.1 * total / (np.sqrt(v[u]) + 1e-6)
-    model = Model(network, common, 1.0, 0.0)
-    scorer = Scorer(model)
-    best = np.array([np.log(s / (1 - s)) for s in np.clip(scorer.scores(texts), 1e-9, 1 - 1e-9)])
-    for _ in range(400):  # logistic regression in one variable
-        q = 1 / (1 + np.exp(-(model.slope * best + model.offset)))
-        w = q * (1 - q) + 1e-4
-        gradient = np.array([(q - y) @ best, (q - y).sum()])
-        hessian = np.array([[(w * best) @ best + 1, (w * best).sum()], [(w * best).sum(), w.sum() + 1e-3]])
-        move = np.linalg.solve(hessian, gradient)
-        model.slope, model.offset = model.slope - float(move[0]), model.offset - float(move[1])
-        if np.abs(move).max() < 1e-6:
+    model = Model(network, common, np.array([0.5, 0.5, 0.0, 0.0]))
+    if len(set(y[for_scale].tolist())) < 2:
+        for_scale[:] = True
+    chosen = np.flatnonzero(for_scale)
+    x, y = Scorer(model).evidence([texts[i] for i in chosen]), y[chosen]
+    prior, weight = model.scale.copy(), np.array([1.0, 1.0, 1.0, 1e-3])
+
+    def loss(scale: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ scale).sum() - y @ (x @ scale) + weight @ (scale - prior) ** 2 / 2)
+
+    for _ in range(100):  # logistic regression with a weak prior, by damped Newton steps
+        q = model.probability(x)
+        gradient = x.T @ (q - y) + weight * (model.scale - prior)
+        move = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(weight), gradient)
+        size, now = 1.0, loss(model.scale)
+        while size > 1e-6 and loss(model.scale - size * move) > now:
+            size /= 2
+        model.scale = model.scale - size * move
+        if np.abs(move).max() < 1e-6 or size <= 1e-6:
             break
     return model
 
