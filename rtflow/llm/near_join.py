@@ -337,6 +337,22 @@ def near_components(docs: DataFrame) -> DataFrame:
     return linked.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
 
 
+#: Ids that are broadcast at most.
+MOST_BROADCAST = 500_000
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """Of each component the document with the smallest id, with the columns they came with.
+
+    Documents without shingles and rows with a null id stay. Rows that share an id count as one
+    document. The ids that go are broadcast while they are few; beyond that the join shuffles.
+    """
+    found = near_components(docs)
+    gone = kept(found.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct())
+    few = gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op9_near_join(spark, sf_dir: str) -> DataFrame:
     """Each document's number of shingles and its component of near copies."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
