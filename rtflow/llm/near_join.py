@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BooleanType
 
 from rtflow.llm.common import kept, released
 from rtflow.llm.pywords import NONSPACE, coded, lowered, windows
@@ -257,7 +258,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
 
 
-@arrow_udf("boolean")
+@arrow_udf(BooleanType())
 def _links(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
     for x, y in zip(a, b, strict=True):
