@@ -192,12 +192,14 @@ def stream_join(how: str, size: int = 21600, where: str = "") -> list[dict]:
 
 
 def static_join(how: str, where: str = "") -> list[dict]:
+    """Look up customers; the left join does so by a key of which only some are customers."""
+    key = "event_id" if how == "left" else "user_id"
     return [
         job(
             "looked_up",
             ["events", "customer"],
             "select e.event_id, e.user_id, e.value, c.c_name, c.c_nationkey, c.c_acctbal "
-            f"from events e {how} join customer c on e.user_id = c.c_custkey {where}",
+            f"from events e {how} join customer c on e.{key} = c.c_custkey {where}",
         )
     ]
 

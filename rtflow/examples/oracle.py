@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rtflow.examples.queries import LATE_TYPE, SEGMENTS, SPLIT
+from rtflow.examples.queries import LATE_TYPE, SPLIT
 
 EVENTS = "(SELECT ts AS event_time, event_id, user_id, event_type, value, props FROM events)"
 
@@ -44,7 +44,9 @@ def _tumble(
     )
 
 
-def _slide(columns: str, size: int, step: int, keys: str = "", source: str = EVENTS) -> str:
+def _slide(
+    columns: str, size: int, step: int, keys: str = "", source: str = EVENTS, counted: str = "TRUE"
+) -> str:
     """Copy each row into the windows that hold it; with step > size that is one window or none."""
     copies = -(-size // step)
     latest = _bucket("event_time", step)
@@ -54,7 +56,7 @@ def _slide(columns: str, size: int, step: int, keys: str = "", source: str = EVE
     )
     end = f"(w + INTERVAL {size} SECOND)"
     return (
-        f"SELECT {_times('w', end)}, {columns} FROM {rows} AS e WHERE event_time < {end} "
+        f"SELECT {_times('w', end)}, {columns} FROM {rows} AS e WHERE event_time < {end} AND ({counted}) "
         f"GROUP BY w{', ' + keys if keys else ''}"
     )
 
@@ -109,11 +111,8 @@ def _closed_join(how: str) -> str:
     )
 
 
-def _static_join(how: str, segments: bool = False, fill: bool = False) -> str:
-    customer = "customer"
-    if segments:
-        names = ", ".join(f"'{name}'" for name in SEGMENTS)
-        customer = f"(SELECT * FROM customer WHERE c_mktsegment IN ({names}))"
+def _static_join(how: str, fill: bool = False) -> str:
+    key = "event_id" if how == "LEFT" else "user_id"
     columns = "c.c_name, c.c_nationkey, round(c.c_acctbal, 6) AS c_acctbal"
     if fill:
         missed = "CASE WHEN c.c_custkey IS NULL THEN {} ELSE {} END AS {}"
@@ -126,8 +125,8 @@ def _static_join(how: str, segments: bool = False, fill: bool = False) -> str:
         )
     return (
         f"SELECT {_times('e.event_time', 'e.event_time', 'e.event_time')}, e.event_id, e.user_id, "
-        f"round(e.value, 6) AS value, {columns} FROM {EVENTS} AS e {how} JOIN {customer} AS c "
-        "ON e.user_id = c.c_custkey"
+        f"round(e.value, 6) AS value, {columns} FROM {EVENTS} AS e {how} JOIN customer AS c "
+        f"ON e.{key} = c.c_custkey"
     )
 
 
@@ -217,7 +216,7 @@ def oracle_sql() -> dict[str, str]:
                 },
             ),
             "looked_up": (
-                _static_join("LEFT", segments=True, fill=True),
+                _static_join("LEFT", fill=True),
                 {
                     "event_id": "BIGINT",
                     "user_id": "BIGINT",
@@ -248,6 +247,9 @@ def oracle_sql() -> dict[str, str]:
     late_drop = _closed(
         _tumble(hourly, 3600, "event_type", f"(SELECT ts AS event_time, * FROM events WHERE {in_time})")
     )
+    on_time = f"event_time >= {split} OR event_type <> '{LATE_TYPE}' OR w + INTERVAL {{}} SECOND > {passed}"
+    late_slide = _closed(_slide(top, 3600, 1800, "event_type", counted=on_time.format(3600)))
+    late_slide_many = _closed(_slide(moving, 9000, 1800, "event_type", counted=on_time.format(9000)))
     whole_seconds = "(SELECT date_trunc('second', ts) AS event_time, * FROM events)"
 
     batch = {
@@ -290,6 +292,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '{{\"event_time\":\"' || {_text('ts')} || '\",\"event_id\":' || event_id || "
             "',\"user_id\":' || user_id || "
             "CASE WHEN event_type = 'error' THEN '' ELSE ',\"event_type\":\"' || event_type || '\"' END || "
+            "',\"value\":' || value || "
             "',\"props\":\"' || replace(props, '\"', '\\\"') || '\"}' AS value FROM events"
         ),
         "tumble_sum": tumble_sum,
@@ -330,11 +333,11 @@ def oracle_sql() -> dict[str, str]:
         "ss_join_salted": _stream_join("left"),
         "ss_join_where": _stream_join("left", where="a.value > 20 AND b.event_id IS NULL"),
         "static_join_inner": _static_join("INNER"),
-        "static_join_left": _static_join("LEFT", segments=True),
+        "static_join_left": _static_join("LEFT"),
         "static_join_many": _tumble(
             "o_orderpriority, count(*) AS n, round(sum(o_totalprice), 6) AS total", 86400, "o_orderpriority", many
         ),
-        "join_null_fill": _static_join("LEFT", segments=True, fill=True),
+        "join_null_fill": _static_join("LEFT", fill=True),
         "ss_join_null_fill": (
             "SELECT event_time, window_start, window_end, "
             "coalesce(user_id, 0) AS user_id, coalesce(purchase_id, 0) AS purchase_id, "
@@ -359,10 +362,12 @@ def oracle_sql() -> dict[str, str]:
         "sink_json": (
             f"SELECT '{{\"event_time\":\"' || {_text('event_time')} || '\",\"window_start\":\"' || "
             f"{_text('event_time')} || '\",\"window_end\":\"' || {_text('event_time')} || '\",\"event_id\":' || "
-            "event_id || ',\"user_id\":' || user_id || ',\"kind\":\"' || event_type || '\"}' AS value "
+            "event_id || ',\"user_id\":' || user_id || ',\"kind\":\"' || event_type || '\",\"value\":' || value || '}' AS value "
             f"FROM {whole_seconds} AS e WHERE value > 20 AND event_type <> 'error'"
         ),
         "late_drop": late_drop,
+        "late_slide": late_slide,
+        "late_slide_many": late_slide_many,
         "stream_tumble_sum": _closed(tumble_sum),
         "stream_tumble_count_all": _closed(tumble_count),
         "stream_tumble_distinct": _closed(distinct),
@@ -377,7 +382,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_join_right": _closed_join("right"),
         "stream_join_salted": _closed_join("right"),
         "stream_static_join_inner": _static_join("INNER"),
-        "stream_static_join_left": _static_join("LEFT", segments=True, fill=True),
+        "stream_static_join_left": _static_join("LEFT", fill=True),
         "stream_chain_tumble_tumble": _closed(two_hours),
         "stream_chain_tumble_slide_tumble": _closed(daily),
         "stream_chain_join_tumble": _closed(join_tops, _JOIN_WATERMARK),

@@ -23,9 +23,6 @@ from rtflow.table import FlowTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The customers that static left joins look up; users of other segments are misses.
-SEGMENTS = ("BUILDING", "MACHINERY")
-
 
 def _session(spark: SparkSession) -> None:
     # Zone-less table times are read as UTC; text times are compared in UTC.
@@ -49,18 +46,11 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_files(spark, path, table.schema, "parquet", options, "ts")
 
 
-def _customer(spark: SparkSession, sf_dir: str, segments: bool) -> FlowTable:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return FlowTable(customer.where(F.col("c_mktsegment").isin(*SEGMENTS)) if segments else customer, static=True)
-
-
-def _tables(
-    spark: SparkSession, sf_dir: str, config: list[dict], stream: bool, segments: bool
-) -> dict[str, FlowTable | DataFrame]:
+def _tables(spark: SparkSession, sf_dir: str, config: list[dict], stream: bool) -> dict[str, FlowTable | DataFrame]:
     """The tables that the jobs read."""
     loaders = {
         "events": lambda: (event_stream if stream else events)(spark, sf_dir),
-        "customer": lambda: _customer(spark, sf_dir, segments),
+        "customer": lambda: FlowTable(spark.read.parquet(f"{sf_dir}/customer.parquet"), static=True),
         "orders": lambda: FlowTable(spark.read.parquet(f"{sf_dir}/orders.parquet"), static=True),
     }
     read = {name for job in config for name in job["input_table_list"]}
@@ -80,12 +70,12 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def _flow(config: list[dict], segments: bool = False, stream: bool = False, **options) -> Query:
+def _flow(config: list[dict], stream: bool = False, **options) -> Query:
     """The output of the last job."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _session(spark)
-        tables = _tables(spark, sf_dir, config, stream, segments)
+        tables = _tables(spark, sf_dir, config, stream)
         result = build(spark, tables, load_jobs(spark, config), **options)[config[-1]["output_table"]]
         return comparable(run_available(result.df) if stream else result.output)
 
@@ -101,21 +91,21 @@ def _union(outputs: dict[str, DataFrame]) -> DataFrame:
     return comparable(result)
 
 
-def _dataflow(config: list[dict], names: list[str], segments: bool = False) -> Query:
+def _dataflow(config: list[dict], names: list[str]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _session(spark)
-        outputs = build(spark, _tables(spark, sf_dir, config, False, segments), load_jobs(spark, config), null_fill="text")
+        outputs = build(spark, _tables(spark, sf_dir, config, False), load_jobs(spark, config), null_fill="text")
         return _union({name: outputs[name].output for name in names})
 
     return query
 
 
-def _dataflow_written(config: list[dict], names: list[str], segments: bool = False) -> Query:
+def _dataflow_written(config: list[dict], names: list[str]) -> Query:
     """The same through written tables: each job runs once and reads what its parents wrote."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _session(spark)
-        tables = _tables(spark, sf_dir, config, False, segments)
+        tables = _tables(spark, sf_dir, config, False)
         outputs = run_batch(spark, tables, load_jobs(spark, config), scratch_dir(spark), null_fill="text")
         return _union({name: outputs[name] for name in names})
 
@@ -128,7 +118,7 @@ def _dataflow_materialised(config: list[dict], names: list[str]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _session(spark)
         root = scratch_dir(spark)
-        tables = _tables(spark, sf_dir, config, True, False)
+        tables = _tables(spark, sf_dir, config, True)
         start_materialised(spark, tables, load_jobs(spark, config), root, available_now=True)
         return _union({name: spark.read.parquet(f"{root}/tables/{name}") for name in names})
 
@@ -182,7 +172,7 @@ def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     _session(spark)
     rows = events(spark, sf_dir).select(
-        EVENT_TIME, "event_id", "user_id", F.nullif("event_type", F.lit("error")).alias("event_type"), "props"
+        EVENT_TIME, "event_id", "user_id", F.nullif("event_type", F.lit("error")).alias("event_type"), "value", "props"
     )
     return encode_json(rows)
 
@@ -213,7 +203,7 @@ def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     _session(spark)
     jobs = load_jobs(spark, flows.PROJECT_FILTER)
     result = build(spark, {"events": event_stream(spark, sf_dir)}, jobs)["picked"]
-    return run_available(result.output.drop("value"), fmt="json")
+    return run_available(result.output, fmt="json")
 
 
 #: The rows of ``late_drop`` arrive in three waves, told apart by this time and by their type.
@@ -221,23 +211,28 @@ SPLIT = "2024-01-16 00:00:00"
 LATE_TYPE = "error"
 
 
-def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _late(config: list[dict]) -> Query:
     """Rows of one type arrive after the watermark has passed most of their windows.
 
     First come the events before ``SPLIT`` but for the late type, then those of the late type, then
-    all others. Late rows count only in the window that is still open.
+    all others. Late rows count only in the windows that are still open.
     """
-    _session(spark)
-    root = scratch_dir(spark)
-    rows = events(spark, sf_dir)
-    early, late = F.col(EVENT_TIME) < F.lit(SPLIT).cast("timestamp"), F.col("event_type") == LATE_TYPE
-    jobs = load_jobs(spark, flows.TUMBLE_SUM)
-    result = None
-    for wave in (early & ~late, early & late, ~early):
-        rows.where(wave).write.mode("append").parquet(f"{root}/input")
-        stream = stream_files(spark, f"{root}/input", rows.schema, "parquet")
-        result = run_available(build(spark, {"events": stream}, jobs)["sums"].df, f"{root}/run")
-    return comparable(result)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _session(spark)
+        root = scratch_dir(spark)
+        rows = events(spark, sf_dir)
+        early, late = F.col(EVENT_TIME) < F.lit(SPLIT).cast("timestamp"), F.col("event_type") == LATE_TYPE
+        jobs = load_jobs(spark, config)
+        result = None
+        for wave in (early & ~late, early & late, ~early):
+            rows.where(wave).write.mode("append").parquet(f"{root}/input")
+            stream = stream_files(spark, f"{root}/input", rows.schema, "parquet")
+            (output,) = build(spark, {"events": stream}, jobs).values()
+            result = run_available(output.df, f"{root}/run")
+        return comparable(result)
+
+    return query
 
 
 def queries() -> dict[str, Query]:
@@ -271,23 +266,25 @@ def queries() -> dict[str, Query]:
         "ss_join_salted": _flow(flows.stream_join("left"), join_salt=4),
         "ss_join_where": _flow(flows.stream_join("left", where="where a.value > 20 and b.event_id is null")),
         "static_join_inner": _flow(flows.static_join("inner")),
-        "static_join_left": _flow(flows.static_join("left"), segments=True),
+        "static_join_left": _flow(flows.static_join("left")),
         "static_join_many": _flow(flows.STATIC_MANY),
-        "join_null_fill": _flow(flows.static_join("left"), segments=True, null_fill="text"),
+        "join_null_fill": _flow(flows.static_join("left"), null_fill="text"),
         "ss_join_null_fill": _flow(flows.stream_join("right"), null_fill="text"),
         "chain_tumble_tumble": _flow(flows.CHAIN_TUMBLE_TUMBLE),
         "chain_tumble_slide_tumble": _flow(flows.CHAIN_TUMBLE_SLIDE_TUMBLE),
         "chain_join_tumble": _flow(flows.CHAIN_JOIN_TUMBLE),
         "chain_session_tumble": _flow(flows.CHAIN_SESSION_TUMBLE),
         "dataflow_01": _dataflow(flows.DATAFLOW_1, ["strong", "strong_samples", "strong_sums"]),
-        "dataflow_02": _dataflow(flows.DATAFLOW_2, ["joined", "looked_up", "joined_tops"], segments=True),
+        "dataflow_02": _dataflow(flows.DATAFLOW_2, ["joined", "looked_up", "joined_tops"]),
         "dataflow_03": _dataflow(flows.DATAFLOW_3, ["kind_tops", "kind_counts"]),
         "dataflow_01_written": _dataflow_written(flows.DATAFLOW_1, ["strong", "strong_samples", "strong_sums"]),
     }
     streams = {
         "src_events_stream": src_events_stream,
         "sink_json": sink_json,
-        "late_drop": late_drop,
+        "late_drop": _late(flows.TUMBLE_SUM),
+        "late_slide": _late(flows.SLIDE_MAX),
+        "late_slide_many": _late(flows.SLIDE_PANES),
         "stream_tumble_sum": _flow(flows.TUMBLE_SUM, stream=True),
         "stream_tumble_count_all": _flow(flows.TUMBLE_COUNT, stream=True),
         "stream_tumble_distinct": _flow(flows.TUMBLE_DISTINCT, stream=True),
@@ -302,7 +299,7 @@ def queries() -> dict[str, Query]:
         "stream_join_right": _flow(flows.stream_join("right"), stream=True),
         "stream_join_salted": _flow(flows.stream_join("right"), stream=True, join_salt=4),
         "stream_static_join_inner": _flow(flows.static_join("inner"), stream=True),
-        "stream_static_join_left": _flow(flows.static_join("left"), segments=True, stream=True, null_fill="text"),
+        "stream_static_join_left": _flow(flows.static_join("left"), stream=True, null_fill="text"),
         "stream_chain_tumble_tumble": _flow(flows.CHAIN_TUMBLE_TUMBLE, stream=True),
         "stream_chain_tumble_slide_tumble": _flow(flows.CHAIN_TUMBLE_SLIDE_TUMBLE, stream=True),
         "stream_chain_join_tumble": _flow(flows.CHAIN_JOIN_TUMBLE, stream=True),

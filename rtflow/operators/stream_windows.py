@@ -9,7 +9,6 @@ windowing the true event time.
 
 from __future__ import annotations
 
-import math
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,10 +20,6 @@ from rtflow.schema import EVENT_TIME, WINDOW
 if TYPE_CHECKING:
     from rtflow.operators.windows import WindowSpec
 
-#: From this many windows per row on, sliding aggregates first reduce rows to panes, at the price
-#: of a second state store.
-PANES_FROM = 4
-
 
 def window_of(time: Column, size: int, step: int, early: int, offset: int = 0) -> Column:
     """Spark's window, starting ``offset`` seconds past the multiples of ``step``."""
@@ -54,9 +49,9 @@ def aggregate(
         grouping = Grouping({"__g": "__g"}, grouping.aggregates, grouping.having, grouping.split)
     if any(is_distinct(expression) for expression, _ in grouping.aggregates):
         grouped = _distinct(df, time, window, depth, grouping)
-    elif window.overlapping and window.size >= PANES_FROM * window.slide and grouping.splits:
-        grouped = _from_panes(df, time, window, depth, grouping)
     else:
+        # Rows, not panes of rows, meet the watermark: a late row counts in those of its windows that
+        # are still open, which its pane would not tell. The map side adds up each window first.
         grouped = grouping.in_one_phase(_assigned(df, time, window, depth), WINDOW)
     end = moved(F.col(f"{WINDOW}.end"), depth)
     start = end - F.expr(f"INTERVAL {window.size} SECONDS") if window.gapped else moved(F.col(f"{WINDOW}.start"), depth)
@@ -76,17 +71,6 @@ def _assigned(df: DataFrame, time: Column, window: WindowSpec, early: int) -> Da
     return df.withColumn(WINDOW, window_of(time, window.size, window.step, early))
 
 
-def _from_panes(df: DataFrame, time: Column, window: WindowSpec, early: int, grouping: Grouping) -> DataFrame:
-    """Reduce rows to panes, then copy panes, not rows, into the windows that hold them.
-
-    The ``window_time`` of a pane lies within it, so windows are laid out over panes as over rows.
-    """
-    length = math.gcd(window.size, window.slide)
-    panes = df.withColumn("__p", window_of(time, length, length, early))
-    panes = grouping.first_phase(panes, "__p").withColumn("__t", F.window_time("__p"))
-    return grouping.last_phase(_assigned(panes, F.col("__t"), window, early), WINDOW)
-
-
 def _distinct(df: DataFrame, time: Column, window: WindowSpec, early: int, grouping: Grouping) -> DataFrame:
     """Exact ``count(distinct x)`` on a stream: one state row per value first, then count them."""
     if grouping.split is None or window.kind == "session":

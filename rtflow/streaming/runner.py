@@ -20,24 +20,24 @@ from rtflow.table import FlowTable
 #: Fixed value: how often a running flow looks for input and checkpoints.
 TRIGGER = "1 second"
 
-_PARTITIONS, _SPARK_DEFAULT = "spark.sql.shuffle.partitions", "200"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 #: From an output's name and table to its writer, or ``None`` for an output without a sink.
 SinkFactory = Callable[[str, DataFrame], DataStreamWriter | None]
 
 
-def configure(spark: SparkSession, rocksdb: bool = True) -> None:
+def configure(spark: SparkSession, rocksdb: bool = True, state_partitions: int | None = None) -> None:
     """Session settings for flows, and for large streaming state above all.
 
     State is kept in RocksDB with changelog checkpoints rather than on the JVM heap, and session
     windows are merged within each map task first, so a hot key reaches its reducer as a few rows.
-    A stream keeps the number of shuffle partitions it starts with, as it is the number of its state
-    stores: where the session leaves it at Spark's fixed default, there will be one per core.
+    The number of shuffle partitions stays as the session has it. A stream keeps the number it starts
+    with, as it is the number of its state stores; ``state_partitions`` sets it, for the session.
     """
-    chosen = spark.sparkContext.getConf().contains(_PARTITIONS) or spark.conf.get(_PARTITIONS) != _SPARK_DEFAULT
-    if not chosen:
-        spark.conf.set(_PARTITIONS, spark.sparkContext.defaultParallelism)
+    if state_partitions is not None:
+        if state_partitions < 1:
+            raise ValueError("state_partitions must be at least 1")
+        spark.conf.set("spark.sql.shuffle.partitions", state_partitions)
     if rocksdb:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
         spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")

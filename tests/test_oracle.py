@@ -7,12 +7,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from rtflow.examples import oracle as oracle_sql
+from rtflow.examples import queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("events", "customer", "orders")
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+# Queries of the llm subpackage, which may be absent, have tests of their own.
+QUERIES = queries.queries()
+ORACLE = oracle_sql.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no sample tables here")
 
@@ -36,6 +39,8 @@ KINDS = {
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", QUERIES)
