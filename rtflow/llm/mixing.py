@@ -90,10 +90,19 @@ _FOLD = f"""aggregate(docs,
   (s, e) -> {_STEP})"""
 
 
-def _level(open_: DataFrame, level: int, seed: int, block: int) -> DataFrame:
+#: Sources whose table is broadcast at most; with more of them the joins shuffle by source.
+MOST_BROADCAST = 100_000
+
+
+def _by_source(table: DataFrame, sources: int) -> DataFrame:
+    """A table of one row per source, broadcast while it is small, so that a large source isn't one task."""
+    return F.broadcast(table) if sources <= MOST_BROADCAST else table
+
+
+def _level(open_: DataFrame, level: int, seed: int, block: int, sources: int) -> DataFrame:
     """Pair within blocks: ``(src, result)`` with the decided documents and the one left open."""
     counts = open_.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    dealt = open_.join(counts, "src").withColumn(
+    dealt = open_.join(_by_source(counts, sources), "src").withColumn(
         "bucket", F.pmod(F.xxhash64(F.lit(seed + level), "k1", "k2"), F.ceil(F.col("n") / block))
     )
     # A bucket has ``block`` documents on average; cut in chunks, no block has more.
@@ -104,7 +113,7 @@ def _level(open_: DataFrame, level: int, seed: int, block: int) -> DataFrame:
     return blocks.select("src", F.expr(_FOLD).alias("result"))
 
 
-def pivotal_copies(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def pivotal_copies(units: DataFrame, sources: int, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """``(k1, k2, up)``: whether each unit's fraction is rounded up.
 
     ``units`` are ``(src, k1, k2, a, x)``: source number, key, words (more than 0) and a probability
@@ -113,7 +122,7 @@ def pivotal_copies(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> Da
     open_ = units.select("src", "k1", "k2", F.col("a").cast("double").alias("a"), (F.col("x") * F.col("a")).alias("m"))
     decided, level = [], 0
     while True:
-        done = kept(_level(open_, level, seed, block))
+        done = kept(_level(open_, level, seed, block, sources))
         decided.append(done.select(F.inline("result.done")))
         left = done.where("result.open is not null").select("src", "result.open.*")
         most = left.groupBy("src").count().agg(F.max("count")).first()[0] or 0
@@ -127,12 +136,12 @@ def pivotal_copies(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> Da
         open_, level = left.select("src", "k1", "k2", "a", "m"), level + 1
 
 
-def _rounded(units: DataFrame, due: Column, seed: int) -> DataFrame:
+def _rounded(units: DataFrame, due: Column, sources: int, seed: int) -> DataFrame:
     """``units`` with ``copies``, ``due`` rounded so that the words of each source's units stay as due."""
     units = units.withColumn("due", due).withColumn("whole", F.floor(F.col("due") + 1e-9))
     units = units.withColumn("x", F.col("due") - F.col("whole"))
     open_ = units.where((F.col("size") > 0) & (F.col("x") > 1e-9))
-    ups = pivotal_copies(open_.select("src", "k1", "k2", F.col("size").alias("a"), "x"), seed)
+    ups = pivotal_copies(open_.select("src", "k1", "k2", F.col("size").alias("a"), "x"), sources, seed)
     out = units.join(ups, ["k1", "k2"], "left").withColumn("copies", F.col("whole") + F.coalesce("up", F.lit(0)))
     return out.drop("due", "whole", "x", "up")
 
@@ -155,16 +164,17 @@ def mixed_copies(rows: DataFrame, seed: int = SEED) -> DataFrame:
     numbered = F.expr("row_number() over (order by source asc nulls last)")
     targets = targets.join(sizes.select("source", "rows"), F.col("of").eqNullSafe(F.col("source")))
     targets = kept(targets.withColumn("src", numbered).drop("source"))
-    units = units.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    sources = targets.count()
+    units = units.join(_by_source(targets, sources), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     long = F.col("size") * F.col("rows") > LONG * F.col("source_size")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    first = kept(_rounded(units.where(long), share * F.col("n"), seed))
+    first = kept(_rounded(units.where(long), share * F.col("n"), sources, seed))
     used = first.groupBy("src").agg(F.sum(words).alias("their_size"), F.sum(F.col("size") * F.col("copies")).alias("their_words"))
-    rest = units.where(~long).join(used, "src", "left").fillna(0, ["their_size", "their_words"])
+    rest = units.where(~long).join(_by_source(used, sources), "src", "left").fillna(0, ["their_size", "their_words"])
     left = (F.col("target") - F.col("their_words")) / F.nullif(F.col("source_size") - F.col("their_size"), F.lit(0))
     left = F.greatest(F.lit(0.0), F.least(F.coalesce(left, F.lit(0.0)), F.lit(float(MOST_COPIES))))
     each = F.when(F.col("their_size") > 0, left).otherwise(share)
-    then = _rounded(rest, each * F.col("n"), seed + 7).drop("their_size", "their_words")
+    then = _rounded(rest, each * F.col("n"), sources, seed + 7).drop("their_size", "their_words")
     return first.unionByName(then).drop("src", "rows")
 
 

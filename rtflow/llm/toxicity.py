@@ -85,8 +85,8 @@ class Network:
     def side(self, s: str, projected: np.ndarray, there: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States (time, window, STATE) of one direction; ``projected`` (time, window, 3 STATE)."""
         u, c, n = self.p[f"U{s}"], self.p[f"c{s}"], STATE
-        h = np.zeros((projected.shape[1], n), np.float32)
-        out = np.empty((*projected.shape[:2], n), np.float32)
+        h = np.zeros((projected.shape[1], n), projected.dtype)
+        out = np.empty((*projected.shape[:2], n), projected.dtype)
         for t in range(len(projected)) if s == "f" else reversed(range(len(projected))):
             x, hu = projected[t] + c, h @ u
             gates = 0.5 * np.tanh(0.5 * (x[:, : 2 * n] + hu[:, : 2 * n])) + 0.5
