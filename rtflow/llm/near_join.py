@@ -62,8 +62,11 @@ def least_overlap(n: int) -> int:
 
 
 def parity_bits(found: np.ndarray) -> bytes:
-    """A bit for each class of codes: whether an odd number of the set is in it. As many bits as shingles, or up to twice."""
-    m = max(64, 1 << (len(found) - 1).bit_length())
+    """A bit for each class of codes: whether an odd number of the set is in it.
+
+    There are four bits for a shingle at least, so that few classes hold two that differ.
+    """
+    m = max(64, 1 << (4 * len(found) - 1).bit_length())
     odd = np.bincount((found & np.uint64(m - 1)).astype(_INT), minlength=m) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -160,19 +163,22 @@ class _Set:
         return np.concatenate(out) if out else others
 
 
-def _forest(region: _Set) -> list[tuple[int, int]]:
-    """Near pairs that connect whatever near pairs connect: each document is compared with those
-    not yet reached, and what it reaches hangs on it."""
+def _forest(region: _Set, component: np.ndarray) -> list[tuple[int, int]]:
+    """Near pairs that connect whatever components near pairs connect: each document is compared with
+    those of components not yet reached, and a component it reaches hangs on it by one pair."""
     left, out = np.arange(len(region.n)), []
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        same = component[left] == component[left[0]]
+        queue, left = left[same].tolist(), left[~same]
         while queue and len(left):
             i = queue.pop()
             got = region.near(i, left)
             if len(got):
-                out += [(i, int(j)) for j in got]
-                queue += got.tolist()
-                left = left[~np.isin(left, got, assume_unique=True)]
+                reached, first = np.unique(component[got], return_index=True)
+                out += [(i, int(j)) for j in got[first]]
+                moved = np.isin(component[left], reached)
+                queue += left[moved].tolist()
+                left = left[~moved]
     return out
 
 
@@ -199,7 +205,7 @@ def _near_pairs(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.
             return None
         k1, k2, n, bits, component = zip(*rows, strict=True)
         region = _Set(np.array(n, _INT), list(bits))
-        found = _between(region, np.array(component)) if across else _forest(region)
+        found = (_between if across else _forest)(region, np.array(component))
         if not found:
             return None
         ends = [sorted([(k1[i], k2[i]), (k1[j], k2[j])]) for i, j in found]
@@ -298,6 +304,14 @@ def components(edges: DataFrame) -> DataFrame:
         now, state = then, new
 
 
+def _several(cells: DataFrame, stars: DataFrame) -> DataFrame:
+    """The rows of regions that hold more than one component, with their components."""
+    named = cells.join(stars, F.col("k1") == F.col("node"), "left").withColumn("component", F.coalesce("root", "k1"))
+    named = named.withColumn("low", F.expr("min(component) over (partition by pivot)"))
+    named = named.withColumn("high", F.expr("max(component) over (partition by pivot)"))
+    return named.where("low != high").select("pivot", "k1", "k2", "n", "c", "component")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``.
 
@@ -317,15 +331,19 @@ def near_components(docs: DataFrame) -> DataFrame:
     cells = kept(cells.withColumn("c", F.expr("count(*) over (partition by pivot)")))
     inside = cells.select("k1", "k2").distinct()
     bits = kept(whole.select("k1", "k2", "bits").join(inside, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
-    pairs = kept(_candidates(cells.withColumn("component", F.lit(0).cast("bigint")), bits, False))
+    # First the region of each document's least pivot, then all regions for what that has left apart.
+    # Their pairs are not verified yet, which only decides what else is handed on to be verified.
+    apart = F.col("k1").alias("component")
+    home = cells.withColumn("home", F.expr("min(pivot) over (partition by k1, k2)")).where("pivot = home")
+    first = kept(_candidates(home.select("pivot", "k1", "k2", "n", "c", apart), bits, False))
+    guessed = components(first.select(F.col("a1").alias("u"), F.col("b1").alias("v")))
+    second = _candidates(_several(cells, guessed), bits, False)
+    pairs = kept(first.union(second).distinct())
     wanted = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
     sets = kept(_sets(docs, wanted))
     stars = components(_verified(pairs, sets))
     # Regions of several components may hold further pairs; their documents are in ``sets`` already.
-    labelled = cells.join(stars, F.col("k1") == F.col("node"), "left").withColumn("component", F.coalesce("root", "k1"))
-    open_ = labelled.withColumn("low", F.expr("min(component) over (partition by pivot)"))
-    open_ = open_.withColumn("high", F.expr("max(component) over (partition by pivot)")).where("low != high")
-    more = _verified(_candidates(open_.select("pivot", "k1", "k2", "n", "c", "component"), bits, True), sets)
+    more = _verified(_candidates(_several(cells, stars), bits, True), sets)
     edges = more.union(stars.select("node", "root"))
     stars = components(edges)
     classes = profiles.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
