@@ -156,7 +156,6 @@ SESSION_SMALL_KEYS = [
         "select user_id, count(*) as n, sum(value) as total, count(distinct event_type) as kinds "
         "from events group by user_id",
         **session(600),
-        hot_keys=False,
     )
 ]
 SESSION_OTHERS = [

@@ -1,20 +1,22 @@
 """Two-phase forms of the plain aggregates.
 
 Several window operators run cheaper, and without a hot task, when rows are first reduced on a
-finer grouping and the partial results are combined afterwards. That is possible for ``sum``,
-``min``, ``max``, ``count``, ``avg`` and for one ``count(distinct x)``; any other expression makes
-:func:`split_aggregates` return ``None`` and the caller aggregates in one phase.
+finer grouping and the partial results are combined afterwards. That is possible for calls of ``sum``,
+``min``, ``max``, ``count``, ``avg`` and for one ``count(distinct x)``. What is computed from such
+calls, HAVING included, is computed from the combined results. For any other expression
+:func:`split_aggregates` returns ``None`` and the caller aggregates in one phase.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, functions as F
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-_CALL = re.compile(r"\s*(sum|min|max|count|avg)\s*\((.*)\)\s*", re.IGNORECASE | re.DOTALL)
+_NAME = re.compile(r"(?<![\w.`])(sum|min|max|count|avg)\s*\(", re.IGNORECASE)
 _DISTINCT = re.compile(r"\s*distinct\b(.*)", re.IGNORECASE | re.DOTALL)
 DISTINCT_KEY = "__d"
 
@@ -27,6 +29,10 @@ class SplitAggregates:
     final: list[Column] = field(default_factory=list)
     #: aggregates that combine columns of the first phase to columns of the same kind
     merge: list[Column] = field(default_factory=list)
+    #: what is computed from the second phase's columns, by output name
+    outputs: dict[str, Column] = field(default_factory=dict)
+    #: the condition on the second phase's columns and the keys, if there is one
+    having: Column | None = None
     #: argument of ``count(distinct ...)``; the first phase also groups by it, as ``__d``
     distinct: str | None = None
 
@@ -35,43 +41,118 @@ def is_distinct(expression: str) -> bool:
     return bool(re.search(r"\(\s*distinct\b", expression, re.IGNORECASE))
 
 
-def _one_argument(text: str) -> bool:
-    """Whether ``text`` is a single call argument: brackets balanced, no top-level comma, no quotes."""
-    depth = 0
-    for char in text:
-        if char in "'\"":
-            return False
-        depth += (char == "(") - (char == ")")
-        if depth < 0 or (char == "," and depth == 0):
-            return False
-    return depth == 0 and bool(text.strip())
+def _end_of_call(text: str, start: int) -> int | None:
+    """The place of the bracket that closes a call with one argument, which begins at ``start``."""
+    depth, quote, at = 0, "", start
+    while at < len(text):
+        char = text[at]
+        if quote:
+            at += char == "\\" and quote != "`"
+            quote = "" if char == quote else quote
+        elif char in "'\"`":
+            quote = char
+        elif char == ")" and depth == 0:
+            return at if text[start:at].strip() else None
+        elif char == "," and depth == 0:
+            return None
+        else:
+            depth += (char == "(") - (char == ")")
+        at += 1
+    return None
+
+
+def _quoted_parts(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in re.finditer(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", text, re.DOTALL)]
+
+
+def _lifted(expression: str, calls: dict[tuple[str, str], str]) -> str | None:
+    """The expression with each plain call replaced by a column; ``calls`` collects those columns."""
+    out, at = [], 0
+    quoted = _quoted_parts(expression)
+    for found in _NAME.finditer(expression):
+        if found.start() < at or any(a <= found.start() < b for a, b in quoted):
+            continue
+        end = _end_of_call(expression, found.end())
+        if end is None:
+            return None
+        call = (found[1].lower(), expression[found.end() : end].strip())
+        out += [expression[at : found.start()], calls.setdefault(call, f"__c{len(calls)}")]
+        at = end + 1
+    return "".join([*out, expression[at:]])
+
+
+def _renamed(expression: str, column: str, name: str) -> str:
+    """The expression with a column renamed wherever it stands unqualified, outside of text."""
+    texts = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+    place = rf"(?<![\w.`])(?:`{column}`|{column}(?![\w`(.]))"
+    return re.sub(f"{texts}|{place}", lambda m: m[0] if m[0][0] in "'\"" else name, expression, flags=re.DOTALL)
+
 
+def _computed(expressions: Iterable[str], names: Iterable[T.StructField], df: DataFrame) -> bool:
+    """Whether the expressions need the given columns only, and no aggregate that was not split."""
+    empty = df.sparkSession.createDataFrame([], T.StructType(list(names)))
+    try:
+        for expression in expressions:
+            empty.where(F.expr(expression).isNotNull()).schema  # a condition can't hold aggregates
+    except (AnalysisException, ParseException):
+        return False
+    return True
 
-def split_aggregates(items: Sequence[tuple[str, str]]) -> SplitAggregates | None:
-    """Split ``(expression, alias)`` aggregates into a partial and a combining phase."""
+
+def split_aggregates(
+    df: DataFrame, items: Sequence[tuple[str, str]], having: str | None = None, keys: Sequence[tuple[str, str]] = ()
+) -> SplitAggregates | None:
+    """Split ``(expression, alias)`` aggregates over ``df`` into a partial and a combining phase.
+
+    ``keys`` are the ``(expression, name)`` that rows are grouped by: HAVING may use those that are
+    plain columns. Results have the types that Spark gives the expressions in one phase.
+    """
+    calls: dict[tuple[str, str], str] = {}
+    rests = [_lifted(expression, calls) for expression, _ in items]
+    condition = _lifted(having, calls) if having else None
+    if None in rests or (having and condition is None):
+        return None
     split = SplitAggregates()
-    for position, (expression, alias) in enumerate(items):
-        call = _CALL.fullmatch(expression)
-        if call is None or not _one_argument(call[2]):
+    if calls:
+        try:
+            typed = df.groupBy().agg(*[F.expr(f"{name}({argument})").alias(c) for (name, argument), c in calls.items()])
+            fields = list(typed.schema)
+        except (AnalysisException, ParseException):
             return None
-        name, argument = call[1].lower(), call[2].strip()
+    else:
+        fields = []
+    kinds = {f.name: f.dataType for f in fields}
+    for (name, argument), column in calls.items():
         distinct = _DISTINCT.fullmatch(argument)
         if distinct is not None:
             argument = distinct[1].strip()
             if name != "count" or split.distinct not in (None, argument):
                 return None
             split.distinct = argument
-            split.final.append(F.count(DISTINCT_KEY).alias(alias))
+            split.final.append(F.count(DISTINCT_KEY).alias(column))
             continue
-        part = f"__p{position}"
+        part, kind = f"__p{column[3:]}", kinds[column]
         if name == "avg":
-            number = f"CAST({argument} AS DOUBLE)"
+            if not isinstance(kind, (T.DoubleType, T.DecimalType)):  # averages of intervals
+                return None
+            number = f"CAST({argument} AS DOUBLE)" if isinstance(kind, T.DoubleType) else argument
             split.partial += [F.expr(f"sum({number})").alias(part), F.expr(f"count({argument})").alias(f"{part}n")]
             split.merge += [F.sum(part).alias(part), F.sum(f"{part}n").alias(f"{part}n")]
-            split.final.append(F.try_divide(F.sum(part), F.sum(f"{part}n")).alias(alias))
+            split.final.append(F.try_divide(F.sum(part), F.sum(f"{part}n")).cast(kind).alias(column))
         else:
             split.partial.append(F.expr(f"{name}({argument})").alias(part))
             combine = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[name]
-            split.merge.append(combine(part).alias(part))
-            split.final.append(combine(part).alias(alias))
+            split.merge.append(combine(part).cast(kind).alias(part))
+            split.final.append(combine(part).cast(kind).alias(column))
+    grouped = []
+    if having:
+        for expression, name in keys:
+            plain = re.fullmatch(r"\s*`?([^\W\d]\w*)`?\s*", expression)
+            if plain and plain[1] in df.columns:
+                condition = _renamed(condition, plain[1], name)
+                grouped.append(T.StructField(name, df.schema[plain[1]].dataType))
+    if not _computed(rests, fields, df) or (having and not _computed([condition], [*fields, *grouped], df)):
+        return None
+    split.outputs = {alias: F.expr(rest) for rest, (_, alias) in zip(rests, items)}
+    split.having = F.expr(condition) if having else None
     return split

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rtflow.operators.grouping import Grouping
 from rtflow.schema import EVENT_TIME
@@ -22,7 +22,7 @@ MICROS = 1_000_000
 START, LAST = "__s", "__e"
 PANE = "__p"
 
-#: How many gap-long panes a block has in which sessions without keys are merged first.
+#: How many gap-long panes a block has in which sessions are merged first.
 SESSION_BLOCK = 1024
 
 
@@ -44,9 +44,7 @@ def bounds(start: Column, length: int) -> tuple[Column, Column]:
 def aggregate(df: DataFrame, window: WindowSpec, grouping: Grouping) -> tuple[DataFrame, Column, Column]:
     """The grouped table, with the start and the end of each row's window."""
     if window.kind == "session":
-        if grouping.keys and not window.hot_keys:
-            sessions = _sessions_in_key_order(df, window.gap, grouping)
-        elif grouping.splits:
+        if grouping.splits:
             return _sessions_from_panes(df, window.gap, grouping), F.col("__w.start"), F.col("__w.end")
         else:
             sessions = _sessions_of_rows(df, window.gap, grouping)
@@ -88,9 +86,9 @@ def _copied(df: DataFrame, micros: Column, window: WindowSpec) -> DataFrame:
 #
 # A pane is as long as the session gap. The rows of a key within one pane are less than a gap
 # apart, so they share a session whatever else there is. Reducing rows to panes is a plain hash
-# aggregation with a map-side part, and it spreads a hot key over its panes. Finding the sessions,
-# which must see a key in one place, then gets one row per pane: no more than the time covered
-# has gaps, however many rows there are.
+# aggregation with a map-side part, and it spreads a hot key over its panes. Panes are merged to
+# sessions in blocks of time, which spreads a hot key, or a table without keys, over its blocks;
+# then only sessions on the edges of blocks are left to be merged with each other.
 
 
 def _span(gap: int) -> Column:
@@ -102,24 +100,23 @@ def _span(gap: int) -> Column:
 
 
 def _sessions_from_panes(df: DataFrame, gap: int, grouping: Grouping) -> DataFrame:
-    extent = (F.min(EVENT_TIME).alias("__first"), F.max(EVENT_TIME).alias("__last"))
-    panes = grouping.first_phase(with_start(df, gap, PANE), PANE, extra=extent)
-    if grouping.keys:
-        return grouping.last_phase(panes, _span(gap))
-    return grouping.last_phase(_merged_in_blocks(panes, gap, grouping), _span(gap), "__b")
+    panes = grouping.first_phase(with_start(df, gap, PANE), PANE, extra=_extent(EVENT_TIME, EVENT_TIME))
+    return grouping.last_phase(_merged_in_blocks(panes, gap, list(grouping.keys), grouping.split.merge), _span(gap), "__b")
 
 
-def _merged_in_blocks(panes: DataFrame, gap: int, grouping: Grouping) -> DataFrame:
-    """Merge the panes of a table without keys in blocks of time, so that not all meet in one task.
+def _extent(first: str, last: str) -> tuple[Column, Column]:
+    return F.min(first).alias("__first"), F.max(last).alias("__last")
+
+
+def _merged_in_blocks(panes: DataFrame, gap: int, keys: list[str], merge: list[Column]) -> DataFrame:
+    """Merge panes in blocks of time, so that not all of a key meet in one task.
 
     A session that stays a gap away from both ends of its block is whole, and keeps the block as a
-    key of the final merge. The others, at most two per block, are merged there under one key.
+    key of the final merge. The others, at most two per key and block, are merged there under one.
     """
     length = SESSION_BLOCK * gap * MICROS
-    blocks = panes.withColumn("__b", aligned(F.col(PANE), length)).groupBy(_span(gap), "__b")
-    sessions = blocks.agg(
-        F.min("__first").alias("__first"), F.max("__last").alias("__last"), *grouping.split.merge
-    ).drop("__w")
+    blocks = panes.withColumn("__b", aligned(F.col(PANE), length)).groupBy(_span(gap), "__b", *keys)
+    sessions = blocks.agg(*_extent("__first", "__last"), *merge).drop("__w")
     first, last = F.unix_micros("__first"), F.unix_micros("__last")
     margin = F.lit(gap * MICROS)
     inside = (first - margin >= F.col("__b")) & (last + margin < F.col("__b") + F.lit(length))
@@ -129,33 +126,18 @@ def _merged_in_blocks(panes: DataFrame, gap: int, grouping: Grouping) -> DataFra
 def _sessions_of_rows(df: DataFrame, gap: int, grouping: Grouping) -> DataFrame:
     """Sessions for aggregates that cannot be split: find them on panes, then look them up by row.
 
-    Rows meet by key and pane, and once each knows its session the aggregation is an ordinary one,
-    so no step has all rows of a key in one task.
+    A session has rows in all panes from its first row's to its last row's, and no other session of
+    its key has any there. Rows meet their session by key and pane, and once each knows its session
+    the aggregation is an ordinary one.
     """
     keys = list(grouping.keys)
     rows = with_start(df, gap, PANE).select("*", *grouping.key_columns())
-    first, last = F.unix_micros(F.min(EVENT_TIME)).alias("__first"), F.unix_micros(F.max(EVENT_TIME)).alias("__last")
-    panes = _numbered(rows.groupBy(PANE, *keys).agg(first, last), gap, keys)
-    panes = panes.select(START, F.col(PANE).alias("__q"), *[F.col(key).alias(f"{key}q") for key in keys])
+    panes = rows.groupBy(PANE, *keys).agg(*_extent(EVENT_TIME, EVENT_TIME))
+    sessions = _merged_in_blocks(panes, gap, keys, []).groupBy(_span(gap), "__b", *keys).agg(*_extent("__first", "__last"))
+    first, last, step = F.unix_micros("__first"), F.unix_micros("__last"), gap * MICROS
+    covered = F.sequence(aligned(first, step), aligned(last, step), F.lit(step).cast("bigint"))
+    panes = sessions.select(first.alias(START), F.explode(covered).alias("__q"), *[F.col(key).alias(f"{key}q") for key in keys])
     on = F.col(PANE) == F.col("__q")
     for key in keys:
         on = on & F.col(key).eqNullSafe(F.col(f"{key}q"))
     return grouping.in_one_phase(rows.join(panes, on), START, extra=(F.max(EVENT_TIME).alias(LAST),))
-
-
-def _sessions_in_key_order(df: DataFrame, gap: int, grouping: Grouping) -> DataFrame:
-    """Sessions of keys that are all small enough to be sorted in one task."""
-    micros = F.unix_micros(EVENT_TIME)
-    rows = df.where(F.col(EVENT_TIME).isNotNull()).select("*", *grouping.key_columns())
-    rows = rows.withColumns({"__first": micros, "__last": micros})
-    rows = _numbered(rows, gap, list(grouping.keys))
-    return grouping.in_one_phase(rows, START, extra=(F.max(EVENT_TIME).alias(LAST),))
-
-
-def _numbered(spans: DataFrame, gap: int, keys: list[str]) -> DataFrame:
-    """Add the start of its session to each ``__first``..``__last``, in microseconds."""
-    by_time = Window.partitionBy(*keys).orderBy("__first")
-    before = F.lag("__last").over(by_time)
-    begins = F.when(before.isNull() | (F.col("__first") > before + F.lit(gap * MICROS)), F.col("__first"))
-    spans = spans.withColumn("__begins", begins)
-    return spans.withColumn(START, F.max("__begins").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))

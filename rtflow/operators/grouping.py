@@ -48,4 +48,7 @@ class Grouping:
         return df.groupBy(*groups, *self.key_columns()).agg(*or_count(columns))
 
     def last_phase(self, df: DataFrame, *groups: Column | str) -> DataFrame:
-        return df.groupBy(*groups, *self.keys).agg(*or_count(self.split.final))
+        grouped = df.groupBy(*groups, *self.keys).agg(*or_count(self.split.final))
+        if self.split.having is not None:
+            grouped = grouped.where(self.split.having)
+        return grouped.withColumns(self.split.outputs) if self.split.outputs else grouped

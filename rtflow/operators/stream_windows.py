@@ -47,7 +47,7 @@ def aggregate(
         # Spark merges the sessions of a stream only within a key.
         df = df.withColumn("__g", F.lit(0))
         grouping = Grouping({"__g": "__g"}, grouping.aggregates, grouping.having, grouping.split)
-    if any(is_distinct(expression) for expression, _ in grouping.aggregates):
+    if any(is_distinct(expression) for expression in (*(e for e, _ in grouping.aggregates), grouping.having or "")):
         grouped = _distinct(df, time, window, depth, grouping)
     else:
         # Rows, not panes of rows, meet the watermark: a late row counts in those of its windows that
@@ -76,7 +76,7 @@ def _distinct(df: DataFrame, time: Column, window: WindowSpec, early: int, group
     if grouping.split is None or window.kind == "session":
         raise ValueError(
             "on a stream, count(distinct x) works in tumbling and sliding windows, for one x, next to plain "
-            "sum, min, max, count and avg and without HAVING; otherwise use approx_count_distinct(x)"
+            "sum, min, max, count and avg; otherwise use approx_count_distinct(x)"
         )
     value = F.expr(grouping.split.distinct).alias(DISTINCT_KEY)
     values = _assigned(df, time, window, early).groupBy(WINDOW, *grouping.key_columns(), value)

@@ -25,18 +25,12 @@ _KINDS = (NONE, TUMBLE, SLIDE, SESSION)
 
 @dataclass(frozen=True)
 class WindowSpec:
-    """A window type with its sizes in whole seconds. ``slide`` may be larger than ``size``.
-
-    ``hot_keys=False`` promises that no session key holds more rows than one task can sort. Batch
-    sessions then take one shuffle of the rows instead of two of their panes, which pays when most
-    sessions are short.
-    """
+    """A window type with its sizes in whole seconds. ``slide`` may be larger than ``size``."""
 
     kind: str = NONE
     size: int | None = None
     slide: int | None = None
     gap: int | None = None
-    hot_keys: bool = True
 
     def __post_init__(self):
         if self.kind not in _KINDS:
@@ -90,14 +84,14 @@ def window_aggregate(
         name: key for expression, name in items for key, group in zip(keys, group_by) if _same(expression, group)
     }
     aggregates = [(expression, name) for expression, name in items if name not in key_of]
+    df = table.df.where(where) if where else table.df
     grouping = Grouping(
         keys=dict(zip(keys, group_by)),
         aggregates=aggregates,
         having=having,
-        split=split_aggregates(aggregates) if having is None else None,
+        split=split_aggregates(df, aggregates, having, list(zip(group_by, keys))),
     )
 
-    df = table.df.where(where) if where else table.df
     if df.isStreaming:
         grouped, start, end = stream_windows.aggregate(df, table.depth, window, grouping)
     else:

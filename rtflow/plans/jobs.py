@@ -72,8 +72,8 @@ class Job:
         """Read a job record, ``{name, input_table_list, output_table, process_config}``.
 
         ``process_config`` has ``window_type``, ``window_size``, ``slide_size``, ``session_gap``
-        and ``sql``; it may have ``hot_keys``, see ``WindowSpec``. A record may add ``schema``, the
-        declared schema of its output, and ``storages``, where a stream writes it.
+        and ``sql``. A record may add ``schema``, the declared schema of its output, and ``storages``,
+        where a stream writes it.
         """
         config = record["process_config"]
         output = record.get("output_table") or ""
@@ -84,7 +84,6 @@ class Job:
                 config.get("window_size"),
                 config.get("slide_size"),
                 config.get("session_gap"),
-                config.get("hot_keys", True),
             )
             statement = parse_select(spark, config.get("sql") or "")
         except ValueError as error:

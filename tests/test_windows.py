@@ -49,13 +49,13 @@ def test_windows_against_model(spark, size, step, select, model):
 
 
 @pytest.mark.parametrize("gap", [1, 3, 17])
-@pytest.mark.parametrize("keyed,hot", [(True, True), (True, False), (False, True)])
+@pytest.mark.parametrize("keyed", [True, False])
 @pytest.mark.parametrize("select,model", [(PLAIN, MODEL), (OTHER, OTHER_MODEL)])
-def test_sessions_against_model(spark, monkeypatch, gap, keyed, hot, select, model):
+def test_sessions_against_model(spark, monkeypatch, gap, keyed, select, model):
     monkeypatch.setattr(batch_windows, "SESSION_BLOCK", 3)  # many block borders
     rows = random_rows(gap, n=150)
     table = FlowTable(helpers.table(spark, rows, COLUMNS))
-    window = WindowSpec("session", gap=gap, hot_keys=hot)
+    window = WindowSpec("session", gap=gap)
     if keyed:
         got = window_aggregate(table, window, select, ["k"]).df.withColumnRenamed("k", "key")
     else:
@@ -137,12 +137,64 @@ def test_distinct_counts_on_streams(spark, tmp_path):
     for window, select in (
         (WindowSpec("session", gap=3), ["count(distinct v) as n"]),
         (WindowSpec("tumble", size=3), ["count(distinct v) as n", "count(distinct k) as m"]),
-        (WindowSpec("tumble", size=3), ["count(distinct v) + 1 as n"]),
+        (WindowSpec("tumble", size=3), ["count(distinct v) as n", "collect_set(k) as ks"]),
     ):
         with pytest.raises(ValueError, match="approx_count_distinct"):
             window_aggregate(stream, window, select)
 
 
+def test_distinct_counts_with_having_on_streams(spark, tmp_path):
+    rows = random_rows(5, span=60, keys=("a", "b", "c"))
+    df = helpers.table(spark, [row for row in rows if row[0] is None or row[0] >= 0], COLUMNS)
+    window, select = WindowSpec("slide", size=12, slide=4), ["k", "count(distinct v) + 1 as n"]
+    having = "count(distinct v) > 3 and k <> 'b' and max(v) > 50"
+    batch = helpers.result(window_aggregate(FlowTable(df), window, select, ["k"], having=having).df, "k", "n")
+    stream = FlowTable(helpers.as_stream(spark, df, tmp_path / "in"))
+    got = run_available(window_aggregate(stream, window, select, ["k"], having=having).df, str(tmp_path / "run"))
+    found = helpers.result(got, "k", "n")
+    assert found and found == [row for row in batch if row[0] <= found[-1][0] or row in found]
+
+
+WINDOWS = [
+    WindowSpec("tumble", size=10),
+    WindowSpec("slide", size=12, slide=4),
+    WindowSpec("slide", size=5, slide=9),
+    WindowSpec("session", gap=7),
+]
+
+
+def test_types_and_results_do_not_depend_on_the_plan(spark):
+    df = helpers.table(spark, random_rows(8), COLUMNS).selectExpr("event_time", "k", "v", "cast(v / 7 as decimal(10,2)) as d")
+    select = ["k", "sum(d) as s", "avg(d) as m", "max(v) - min(v) as spread", "sum(if(k = 'a, (', 1, 2)) as q"]
+    kinds = set()
+    for window in WINDOWS:
+        for having in (None, "count(*) > 0 and (k = 'a' or k is null or sum(d) is not null)"):
+            split = window_aggregate(FlowTable(df), window, select, ["k"], having=having).df
+            # a list is no plain aggregate, so these are computed in one phase
+            whole = window_aggregate(FlowTable(df), window, [*select, "collect_list(v) as l"], ["k"], having=having).df
+            kinds |= {str(split.dtypes), str(whole.drop("l").dtypes)}
+            names = ("k", "window_start", "s", "m", "spread", "q")
+            assert helpers.result(split, *names) == helpers.result(whole, *names)
+    assert len(kinds) == 1
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+@pytest.mark.parametrize("select", [["count(*) as n"], ["count(distinct v) as n", "max(v) - min(v) as w"]])
+def test_no_step_of_sessions_has_a_whole_key(spark, keyed, select):
+    df = helpers.table(spark, random_rows(9), COLUMNS)
+    out = window_aggregate(FlowTable(df), WindowSpec("session", gap=3), select, ["k"] if keyed else [], having="count(*) > 1").df
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window [" not in plan
+
+
+def test_having_keeps_panes(spark):
+    df = helpers.table(spark, random_rows(10), COLUMNS)
+    window = WindowSpec("slide", size=60, slide=4)
+    out = window_aggregate(FlowTable(df), window, ["k", "sum(v) / count(*) as r"], ["k"], having="sum(v) > 10 or k = 'a'").df
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate [") > plan.index("Generate explode") > plan.index("Aggregate [")
+
+
 @pytest.mark.parametrize(
     "kind,sizes",
     [
