@@ -169,6 +169,51 @@ SESSION_OTHERS = [
 ]
 SESSION_GLOBAL = [job("bursts", ["events"], "select count(*) as n, avg(value) as mean from events", **session(300))]
 
+SLIDE_HAVING = [
+    job(
+        "busy",
+        ["events"],
+        "select event_type, sum(value) / count(*) as mean, max(value) - min(value) as spread from events "
+        "group by event_type having count(*) > 3 and event_type <> 'error'",
+        **slide(9000, 1800),
+    )
+]
+SLIDE_DECIMAL = [
+    job("prices", ["events"], "select event_type, cast(value as decimal(10,2)) as price from events"),
+    job(
+        "price_sums",
+        ["prices"],
+        "select event_type, cast(sum(price) as string) as total, cast(max(price) as string) as top from prices "
+        "group by event_type",
+        **slide(9000, 1800),
+    ),
+]
+SESSION_HAVING = [
+    job(
+        "long_sessions",
+        ["events"],
+        "select user_id, sum(value) / count(*) as mean from events group by user_id having count(*) > 1",
+        **session(1800),
+    )
+]
+SESSION_GLOBAL_DISTINCT = [
+    job(
+        "crowds",
+        ["events"],
+        "select count(distinct user_id) as users, max(value) - min(value) as spread from events having count(*) > 1",
+        **session(300),
+    )
+]
+DISTINCT_HAVING = [
+    job(
+        "many_users",
+        ["events"],
+        "select event_type, count(distinct user_id) as users from events group by event_type "
+        "having count(distinct user_id) > 3",
+        **tumble(21600),
+    )
+]
+
 # Joins ----------------------------------------------------------------------------------------
 
 SIDES = [

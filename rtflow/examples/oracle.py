@@ -169,6 +169,18 @@ def oracle_sql() -> dict[str, str]:
     )
     panes = _slide(moving, 9000, 1800, "event_type")
     gapped = _slide(top, 3600, 5400, "event_type")
+    spread = "round(max(value) - min(value), 6) AS spread"
+    mean = "round(sum(value) / count(*), 6) AS mean"
+    busy = _slide(f"event_type, {mean}, {spread}", 9000, 1800, "event_type")
+    busy += " HAVING count(*) > 3 AND event_type <> 'error'"
+    prices = "(SELECT event_time, event_type, CAST(value AS DECIMAL(10,2)) AS price FROM " + EVENTS + " AS p)"
+    whole_prices = f"(SELECT date_trunc('second', event_time) AS event_time, event_type, price FROM {prices} AS w)"
+    price_sums = _slide(
+        "event_type, CAST(sum(price) AS VARCHAR) AS total, CAST(max(price) AS VARCHAR) AS top", 9000, 1800, "event_type", whole_prices
+    )
+    many_users = _tumble(
+        "event_type, count(DISTINCT user_id) AS users", 21600, "event_type", having="count(DISTINCT user_id) > 3"
+    )
     per_user = "user_id, count(*) AS n, round(sum(value), 6) AS total, min(value) AS low, max(value) AS top"
     sessions = _session(per_user, 600, "user_id")
     bursts = _session("count(*) AS n, round(avg(value), 6) AS mean", 300)
@@ -327,6 +339,10 @@ def oracle_sql() -> dict[str, str]:
             "count(*) > 1",
         ),
         "session_global": bursts,
+        "slide_having": busy,
+        "slide_decimal": price_sums,
+        "session_having": _session(f"user_id, {mean}", 1800, "user_id", "count(*) > 1"),
+        "session_global_distinct": _session(f"count(DISTINCT user_id) AS users, {spread}", 300, having="count(*) > 1"),
         "ss_join_inner": _stream_join("inner"),
         "ss_join_left": _stream_join("left"),
         "ss_join_right": _stream_join("right"),
@@ -372,6 +388,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_tumble_count_all": _closed(tumble_count),
         "stream_tumble_distinct": _closed(distinct),
         "stream_tumble_having": _closed(having, _watermark("events WHERE value > 1")),
+        "stream_distinct_having": _closed(many_users),
+        "stream_slide_having": _closed(busy),
         "stream_slide_max": _closed(slide_max),
         "stream_slide_panes": _closed(panes),
         "stream_slide_gap_max": _closed(gapped),

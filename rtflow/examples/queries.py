@@ -260,6 +260,10 @@ def queries() -> dict[str, Query]:
         "session_small_keys": _flow(flows.SESSION_SMALL_KEYS),
         "session_other_aggs": _flow(flows.SESSION_OTHERS),
         "session_global": _flow(flows.SESSION_GLOBAL),
+        "slide_having": _flow(flows.SLIDE_HAVING),
+        "slide_decimal": _flow(flows.SLIDE_DECIMAL),
+        "session_having": _flow(flows.SESSION_HAVING),
+        "session_global_distinct": _flow(flows.SESSION_GLOBAL_DISTINCT),
         "ss_join_inner": _flow(flows.stream_join("inner")),
         "ss_join_left": _flow(flows.stream_join("left")),
         "ss_join_right": _flow(flows.stream_join("right")),
@@ -289,6 +293,8 @@ def queries() -> dict[str, Query]:
         "stream_tumble_count_all": _flow(flows.TUMBLE_COUNT, stream=True),
         "stream_tumble_distinct": _flow(flows.TUMBLE_DISTINCT, stream=True),
         "stream_tumble_having": _flow(flows.TUMBLE_HAVING, stream=True),
+        "stream_distinct_having": _flow(flows.DISTINCT_HAVING, stream=True),
+        "stream_slide_having": _flow(flows.SLIDE_HAVING, stream=True),
         "stream_slide_max": _flow(flows.SLIDE_MAX, stream=True),
         "stream_slide_panes": _flow(flows.SLIDE_PANES, stream=True),
         "stream_slide_gap_max": _flow(flows.SLIDE_GAP_MAX, stream=True),

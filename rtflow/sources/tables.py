@@ -119,11 +119,17 @@ def read_files(
 def read_jdbc(spark: SparkSession, table: str, schema: SchemaLike | None, options: Mapping) -> DataFrame:
     """``select * from table`` over JDBC.
 
-    For a large table pass ``partitionColumn``, ``lowerBound``, ``upperBound`` and
-    ``numPartitions``; otherwise one task reads it all. Filters are pushed to the database.
+    Pass ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``, or say with
+    ``numPartitions`` 1 that one task may read the whole table. Filters are pushed to the database.
     """
     if "url" not in options:
         raise ValueError(f"static table {table!r}: JDBC option url is missing")
+    named = {name.lower(): str(value) for name, value in options.items()}
+    if "partitioncolumn" not in named and named.get("numpartitions") != "1":
+        raise ValueError(
+            f"static table {table!r}: pass partitionColumn, lowerBound, upperBound and numPartitions, "
+            "or numPartitions=1 to read it in one task"
+        )
     df = spark.read.format("jdbc").options(**options).option("dbtable", table).load()
     if schema is None:
         return df

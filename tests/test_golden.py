@@ -14,11 +14,11 @@ from rtflow.streaming import encode_json, file_writer, run_available, run_batch,
 @pytest.fixture(scope="module")
 def inputs(tmp_path_factory):
     root = tmp_path_factory.mktemp("inputs")
-    for name, lines in (("wb", samples.web_log_lines()), ("ip", samples.ip_stream_lines())):
+    for name, lines in (("wb", samples.WEB_LOG), ("ip", samples.IP_STREAM)):
         (root / name).mkdir()
-        (root / name / "part-0.json").write_text("\n".join(lines) + "\n", encoding="utf-8")
+        (root / name / "part-0.json").write_text(lines, encoding="utf-8")
     (root / "table").mkdir()
-    rows = [json.dumps({"id": i, "ip": samples.ip(host), "city": city}) for i, host, city in samples.IP_TABLE]
+    rows = [json.dumps({"id": i, "ip": ip, "city": city}) for i, ip, city in samples.IP_TABLE]
     (root / "table" / "part-0.json").write_text("\n".join(rows), encoding="utf-8")
     return root
 

@@ -2,6 +2,7 @@ import pytest
 
 import helpers
 from rtflow import FlowTable, JoinSpec, WindowSpec, join_static, join_windowed, window_aggregate
+from rtflow.sources import read_jdbc
 from rtflow.streaming import run_available
 
 LEFT = ("k string", "v bigint")
@@ -174,3 +175,17 @@ def test_keys_of_different_types(spark):
     ]
     with pytest.raises(ValueError, match="join key"):
         join_static(FlowTable(a), static, JoinSpec("ta", "tb", "k", "nothing"), SELECT)
+
+
+def test_salting_reads_no_further_columns(spark, tmp_path):
+    helpers.table(spark, [(1, 1, "x", "long")], ("k bigint", "v string", "unused string")).write.parquet(str(tmp_path / "t"))
+    a, b = (FlowTable(spark.read.parquet(str(tmp_path / "t"))) for _ in "ab")
+    join = JoinSpec("a", "b", "k", "k", "left")
+    out = join_windowed(a, b, join, ["a.k", "b.v"], 10, salt=4).df
+    assert "unused" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_table_is_not_read_over_jdbc_in_one_task_unasked(spark):
+    for options in ({}, {"numPartitions": "8"}):
+        with pytest.raises(ValueError, match="partitionColumn"):
+            read_jdbc(spark, "t", None, {"url": "jdbc:mysql://nowhere/x", **options})
