@@ -36,6 +36,8 @@ COUNTERS = 17
 BLOCK = 2048
 #: log2 of the bits of the filter for documents whose sets are asked for; fixed as well.
 FILTER = 24
+#: Links, or a batch more, that a task contracts at a time.
+CHUNK = 1 << 18
 #: Shingles are 58-bit codes; six bits above them are for their order.
 _LOW = np.uint64((1 << 58) - 1)
 _INT = np.int64
@@ -282,16 +284,49 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(_links("a", "b")).select(F.col("a1").alias("u"), F.col("b1").alias("v"))
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links ``(u, v)`` of each chunk as stars around the smallest nodes: connected alike, in fewer steps."""
+
+    def stars(links: list[pa.RecordBatch]) -> pa.RecordBatch:
+        up: dict[int, int] = {}  # of every node that isn't the smallest of its component so far
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for batch in links:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, v = root(u), root(v)
+                if u != v:
+                    up[max(u, v)] = min(u, v)
+        return pa.record_batch([pa.array(list(up), pa.int64()), pa.array([root(x) for x in list(up)], pa.int64())], ["u", "v"])
+
+    links, n = [], 0
+    for batch in batches:
+        links.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield stars(links)
+            links, n = [], 0
+    if n:
+        yield stars(links)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for all nodes of ``(u, v)`` but the roots, the smallest nodes of components.
 
     Large-star and small-star steps in turn until nothing changes; each step is an aggregation and a
-    join on nodes, so no component meets in one task.
+    join on nodes, so no component meets in one task. Before each, tasks contract what they read,
+    which shortens long chains of links; on stars that changes nothing.
     """
-    now = kept(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pair = "u bigint, v bigint"
+    now = kept(edges.select("u", "v").mapInArrow(_contracted, pair))
     state = None
     while True:
-        both = now.union(now.select("v", "u"))
+        links = now.mapInArrow(_contracted, pair)
+        both = links.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -307,9 +342,9 @@ def components(edges: DataFrame) -> DataFrame:
 def _several(cells: DataFrame, stars: DataFrame) -> DataFrame:
     """The rows of regions that hold more than one component, with their components."""
     named = cells.join(stars, F.col("k1") == F.col("node"), "left").withColumn("component", F.coalesce("root", "k1"))
-    named = named.withColumn("low", F.expr("min(component) over (partition by pivot)"))
-    named = named.withColumn("high", F.expr("max(component) over (partition by pivot)"))
-    return named.where("low != high").select("pivot", "k1", "k2", "n", "c", "component")
+    mixed = named.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    named = named.join(mixed.where("low != high").select("pivot"), "pivot", "left_semi")
+    return named.select("pivot", "k1", "k2", "n", "c", "component")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -327,8 +362,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     cells = cells.withColumn("c", F.expr("count(*) over (partition by h)"))
     cells = cells.withColumn("pivot", F.expr("min(k1) over (partition by h)")).where("c > 1")
     # Shingles whose documents have the same least one make one region, around that document.
-    cells = cells.select("pivot", "k1", "k2", "n").repartition("pivot").distinct()
-    cells = kept(cells.withColumn("c", F.expr("count(*) over (partition by pivot)")))
+    cells = kept(cells.select("pivot", "k1", "k2", "n").distinct())
+    cells = kept(cells.join(cells.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")), "pivot"))
     inside = cells.select("k1", "k2").distinct()
     bits = kept(whole.select("k1", "k2", "bits").join(inside, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
     # First the region of each document's least pivot, then all regions for what that has left apart.

@@ -403,3 +403,12 @@ def test_odd_documents(odd, none, clashing, spark):
         assert near_join.without_near_copies(df).columns == df.columns
         assert licenses.license_report(df, "doc_id").count() == df.count()
         assert line_dedup.without_repeated_lines(df).count() == df.count()
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "CHUNK", 5)
+    links = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (200, 200)] + [(50 + i, 50) for i in range(1, 9)]
+    random.Random(3).shuffle(links)
+    df = spark.createDataFrame(links, "u bigint, v bigint").repartition(4)
+    got = {tuple(r) for r in near_join.components(df).collect()}
+    assert got == {(i, 0) for i in range(1, 41)} | {(101, 100), (103, 100)} | {(50 + i, 50) for i in range(1, 9)}
