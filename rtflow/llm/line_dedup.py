@@ -6,16 +6,22 @@ the name n lines further on. Suffixes whose name occurs once are sorted already
 doubling, so its tables shrink to what is repeated. Suffixes that share a name form an interval of
 common prefixes; runs of a length between two powers are named by two overlapping names. In each
 interval the earliest copy stays, and the lines of the others go.
+
+A run goes if it is long in lines or in words. Whatever is repeated within a later copy is a later
+copy itself, so the shortest runs that are long enough cover the lines of all longer ones, and
+doubling ends at ``min_lines``: maximal runs would delete the same lines.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rtflow.llm.common import SPACE, free_name, kept, text_of, words_between
 
-#: A run is deleted from this many lines on, or if it is one line of so many words.
+#: A run is deleted from this many lines on, or from so many words in all its lines together.
 MIN_LINES, MIN_WORDS = 3, 50
 
 
@@ -33,9 +39,12 @@ def _repeated(names: DataFrame) -> DataFrame:
 def _joined(names: DataFrame, ahead: int) -> DataFrame:
     """Each suffix's name joined with the one ``ahead`` lines further on, if that is repeated as well."""
     frame = f"over (partition by k1, k2 order by i range between {ahead} following and {ahead} following)"
-    both = names.withColumn("m1", F.expr(f"max(n1) {frame}")).withColumn("m2", F.expr(f"max(n2) {frame}")).where("m1 is not null")
+    both = names.withColumn("m1", F.expr(f"max(n1) {frame}")).withColumn("m2", F.expr(f"max(n2) {frame}"))
+    # All places in between are there if the whole run is repeated, and else the run leaves the doubling.
+    front = f"sum(words) over (partition by k1, k2 order by i range between current row and {ahead - 1} following)"
+    both = both.withColumn("total", F.expr(f"{front} + max(total) {frame}")).where("m1 is not null")
     new = [F.xxhash64("n1", "m1", F.lit(ahead)).alias("n1"), F.xxhash64(F.lit(ahead), "n2", "m2").alias("n2")]
-    return both.select("k1", "k2", "order", "i", *new)
+    return both.select("k1", "k2", "order", "i", *new, "words", "total")
 
 
 def _later(names: DataFrame) -> DataFrame:
@@ -52,18 +61,19 @@ def repeated_lines(keyed: DataFrame, order: str, min_lines: int = MIN_LINES, min
     first), then of the keys; rows with equal keys are one document.
     """
     lines = keyed.select("k1", "k2", F.col(order).alias("order"), F.posexplode(_lines()).alias("i", "line"))
+    words = F.size(words_between(F.col("line"), SPACE)).cast("bigint")
     letters = lines.select(
         "k1", "k2", "order", "i", F.xxhash64("line").alias("n1"), F.xxhash64(F.lit(1), "line").alias("n2"),
-        (F.size(words_between(F.col("line"), SPACE)) >= min_words).alias("long"),
+        words.alias("words"), words.alias("total"),
     )
-    names = kept(_repeated(letters))
-    gone = _later(names.where("long")).select("k1", "k2", "i", F.lit(1).alias("run"))
-    length, names = 1, names.drop("long")
-    while 2 * length <= min_lines:
-        names, length = kept(_repeated(_joined(names, length))), 2 * length
-    if length < min_lines:
-        names = kept(_repeated(_joined(names, min_lines - length)))
-    gone = gone.union(_later(names).select("k1", "k2", "i", F.lit(min_lines).alias("run")))
+    names, length, found = kept(_repeated(letters)), 1, []
+    for run in range(1, min_lines + 1):
+        now = names if run == 1 else kept(_repeated(_joined(names, run - length)))
+        long = now if run == min_lines else now.where(F.col("total") >= min_words)
+        found.append(_later(long).select("k1", "k2", "i", F.lit(run).alias("run")))
+        if run == 2 * length:
+            names, length = now, run
+    gone = reduce(DataFrame.union, found)
     each = gone.select("k1", "k2", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("run") - 1)).alias("i"))
     return each.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("i")).alias("gone"))
 

@@ -70,6 +70,25 @@ def test_line_dedup(spark, min_lines):
             assert got[i][2] == dict(docs)[i]
 
 
+@pytest.mark.parametrize("min_lines", [1, 3, 5])
+def test_runs_count_the_words_of_all_their_lines(spark, min_lines):
+    rng = random.Random(min_lines)
+    lines = [" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 30), ("b", 21), ("c", 20), ("d", 15), ("e", 8), ("f", 52))]
+    docs = [(0, f"{lines[0]}\n{lines[1]}"), (1, f"{lines[0]}\n \n{lines[1]}"), (2, f"{lines[0]}\n{lines[2]}\nnew"), (3, f"x\n{lines[0]}\n{lines[2]}")]
+    docs += [(i, "\n".join(rng.choice(lines) if rng.random() < 0.8 else str(rng.random()) for _ in range(rng.randrange(12)))) for i in range(4, 40)]
+    first, want = {}, defaultdict(set)
+    for i, text in docs:
+        found = [y for y in text.split("\n") if y.strip(" ")]
+        for j in range(len(found)):
+            for k in range(j + 1, len(found) + 1):  # all runs, of any length
+                if k - j >= min_lines or sum(len(y.split()) for y in found[j:k]) >= 50:
+                    if first.setdefault(tuple(found[j:k]), (i, j)) != (i, j):
+                        want[i] |= set(range(j, k))
+    assert want[1] == {0, 1} and (min_lines == 1 or not want[2]) and want[3] >= {1, 2}
+    out = line_dedup.without_repeated_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), min_lines=min_lines)
+    assert {r.doc_id: r.gone_lines for r in out.collect()} == {i: sorted(want[i]) for i, _ in docs}
+
+
 # --- licenses
 
 
