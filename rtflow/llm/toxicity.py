@@ -27,8 +27,8 @@ WINDOW, STRIDE = 24, 16
 WIDTH, STATE, BUCKETS = 8, 8, 14
 #: Characters (bytes) of n-grams; a word stands between marks.
 GRAMS = (3, 4, 5, 6)
-#: Labelled documents to learn from at most, words of each that are used in training, and passes.
-SAMPLE, SAMPLE_WORDS, EPOCHS = 2500, 400, 3
+#: Labelled documents to learn from at most, each with its whole text, and passes.
+SAMPLE, EPOCHS = 2500, 3
 THRESHOLD = 0.3
 SEED = 11
 
@@ -261,7 +261,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     """Learn from documents' labels: a document's windows share its label, and the scale is set afterwards."""
     rng = np.random.default_rng(SEED)
     datas = [lowered(x) for x in texts]
-    found = [tuple(x[:SAMPLE_WORDS] for x in coded(d, ALNUM)) for d in datas]
+    found = [coded(d, ALNUM) for d in datas]
     y = np.array(toxic, np.float32)
     if not len(y) or y.min() == y.max() or not sum(len(c[0]) for c in found):
         mean = float(y.mean()) if len(y) else 0.0

@@ -338,6 +338,19 @@ def test_toxicity_learns_and_is_stable(spark, odd, none):
     assert toxicity.without_toxic(none, df, known).columns == none.columns
 
 
+def test_toxicity_learns_from_whole_texts():
+    rng = random.Random(8)
+    plain = lambda n: [rng.choice(["sun", "tree", "river", "stone", "cloud", "field"]) for _ in range(n)]
+    texts, labels = [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        texts.append(" ".join(plain(450) + (["nasty", "vile"] if bad else []) * 4 + plain(rng.randrange(20))))
+        labels.append(int(bad))
+    model = toxicity.train(texts[:200], labels[:200])
+    right = sum((s >= 0.3) == y for s, y in zip(toxicity.Scorer(model).scores(texts[200:]), labels[200:]))
+    assert right >= 95
+
+
 def test_gradients_are_those_of_the_loss():
     network = toxicity.Network(3)
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
