@@ -10,6 +10,7 @@ documents are.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ WINDOW, STRIDE = 24, 16
 WIDTH, STATE, BUCKETS = 8, 8, 14
 #: Characters (bytes) of n-grams; a word stands between marks.
 GRAMS = (3, 4, 5, 6)
+#: Runs of more bytes than this are words of pieces of so many bytes, neighbours sharing so many.
+LONGEST, PIECE, SHARED = 64, 24, GRAMS[-1] - 1
 #: Labelled documents to learn from at most, each with its whole text, and passes.
 SAMPLE, EPOCHS = 2500, 3
 THRESHOLD = 0.3
@@ -40,7 +43,7 @@ def held_out(doc_id: Column) -> Column:
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of all words, word by word, and where each word's begin."""
-    marked = [b"\x02" + w[:64] + b"\x03" for w in words]
+    marked = [b"\x02" + w + b"\x03" for w in words]
     sizes = np.array([len(w) for w in marked])
     ends = np.repeat(np.cumsum(sizes), sizes)
     word = np.repeat(np.arange(len(words)), sizes)
@@ -60,6 +63,40 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], np.searchsorted(of[order], np.arange(len(words)))
 
 
+_LONG = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]{%d,}" % (LONGEST + 1))
+
+
+def _pieces(run: re.Match) -> bytes:
+    """A long run in pieces of whole characters, separated by blanks; each n-gram is in one of them."""
+    data, out, start = run[0], [], 0
+
+    def character(i: int) -> int:
+        while i < len(data) and data[i] & 0xC0 == 0x80:
+            i -= 1
+        return min(i, len(data))
+
+    while True:
+        end = character(start + PIECE)
+        out.append(data[start:end])
+        if end == len(data):
+            return b" ".join(out)
+        start = character(end - SHARED)
+
+
+def words_of(text: str | None) -> tuple[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The text as bytes, and the codes, starts and ends of its words in them.
+
+    Writing without blanks makes runs of any length; long ones are taken in pieces, so that they
+    spread over windows as other texts do.
+    """
+    data = lowered(text)
+    found = coded(data, ALNUM)
+    if len(found[0]) and (found[2] - found[1]).max() > LONGEST:
+        data = _LONG.sub(_pieces, data)
+        found = coded(data, ALNUM)
+    return data, found
+
+
 def starts_of(n: int) -> range:
     """Where windows start in a text of n words: the last one reaches the end."""
     return range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else range(0)
@@ -225,8 +262,7 @@ class Scorer:
         The greatest of many is great by chance, so their number counts. A text without words has
         the logit of nothing, and one of a single window has it twice.
         """
-        datas = [lowered(x) for x in texts]
-        found = [coded(d, ALNUM) for d in datas]
+        datas, found = zip(*map(words_of, texts), strict=True) if texts else ((), ())
         rows = self.places(datas, found) if any(len(c[0]) for c in found) else [np.empty(0, int)] * len(texts)
         held, owner, found = [], [], []
         for i, ids in enumerate(rows):
@@ -260,8 +296,7 @@ class Scorer:
 def train(texts: list[str | None], toxic: list[int]) -> Model:
     """Learn from documents' labels: a document's windows share its label, and the scale is set afterwards."""
     rng = np.random.default_rng(SEED)
-    datas = [lowered(x) for x in texts]
-    found = [coded(d, ALNUM) for d in datas]
+    datas, found = zip(*map(words_of, texts), strict=True) if texts else ((), ())
     y = np.array(toxic, np.float32)
     if not len(y) or y.min() == y.max() or not sum(len(c[0]) for c in found):
         mean = float(y.mean()) if len(y) else 0.0

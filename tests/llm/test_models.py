@@ -351,6 +351,20 @@ def test_toxicity_learns_from_whole_texts():
     assert right >= 95
 
 
+def test_long_runs_are_read_whole():
+    rng = random.Random(9)
+    run = "".join(rng.choice("日本語文字列中国泰") for _ in range(400)) + "x" * 100
+    data, (codes, starts, ends) = toxicity.words_of("Short é " + run)
+    found = [data[a:b].decode() for a, b in zip(starts, ends)]
+    assert found[:2] == ["short", "é"] and len(codes) > 60 and max(map(len, found)) <= toxicity.LONGEST
+    raw, grams = run.encode(), {g for w in found for k in toxicity.GRAMS for g in (w.encode()[j : j + k] for j in range(len(w.encode()) - k + 1))}
+    assert all(raw[j : j + k] in grams for k in toxicity.GRAMS for j in range(len(raw) - k + 1))
+    assert toxicity.words_of("ab " * 40)[0] == b"ab " * 40 and len(toxicity.words_of("y" * toxicity.LONGEST)[1][0]) == 1
+    model = toxicity.Model(toxicity.Network(1), np.empty(0, np.uint64), np.array([0.5, 0.5, 0.0, 0.0]))
+    scores = toxicity.Scorer(model).scores([run, run[:300] + "毒悪罵" * 9 + run[300:], "z" * 100, "z" * 90 + "毒悪罵"])
+    assert len(set(scores)) == 4  # what comes after the first 64 bytes counts
+
+
 def test_gradients_are_those_of_the_loss():
     network = toxicity.Network(3)
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
