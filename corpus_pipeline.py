@@ -16,6 +16,8 @@ from rtflow.llm.sharding import with_shard
 from rtflow.llm.toxicity import without_toxic
 
 SHARDS = 24
+#: Near copies: words of a shingle, and hundredths of Jaccard from which on documents link.
+SHINGLE, PERCENT = 5, 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays."""
-    return without_near_copies(docs)
+    return without_near_copies(docs, SHINGLE, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Exact Jaccard join of documents on their 4-word shingles, as a join in the Jaccard metric space.
+"""Exact Jaccard join of documents on their shingles, as a join in the Jaccard metric space.
 
-Two documents link when their distance is 0.15 or less. Nearly all documents are at distance 1 from
+Two documents link when their distance is at most a bound: for op9 0.15 on shingles of 4 words. Nearly all documents are at distance 1 from
 nearly all others, so whole documents as first pivots would tell nothing apart. The first pivots are
 single shingles: a document lies in the regions of its first shingles in an order that puts frequent
 ones last, as many as make it certain that two linked documents meet in one (a document of n
-shingles is replicated to n - ceil(0.85 n) + 1 regions). Regions go on inside with documents as
+shingles is replicated to n - ceil(0.85 n) + 1 regions at 0.15). Regions go on inside with documents as
 pivots and with parity bitmaps, an embedding that never lengthens the size of a set difference:
 what the bitmaps' distance rules out can't link, and what they leave is compared by whole sets.
 
@@ -27,9 +27,8 @@ from pyspark.sql.types import BooleanType
 from rtflow.llm.common import kept, released
 from rtflow.llm.pywords import NONSPACE, coded, lowered, windows
 
-SHINGLE = 4
-#: Linked when ``100 * intersection >= 85 * union``.
-PERCENT = 85
+#: What op9 asks for: words of a shingle; linked when ``100 * intersection >= PERCENT * union``.
+SHINGLE, PERCENT = 4, 85
 #: log2 of the counters that tell frequent shingles; fixed, whatever the input.
 COUNTERS = 17
 #: Documents of a region that are compared in one task; larger regions are cut in blocks of them.
@@ -43,13 +42,13 @@ _LOW = np.uint64((1 << 58) - 1)
 _INT = np.int64
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The distinct shingles of a text, sorted; of a text of fewer words, the whole sequence as one."""
     codes, _, _ = coded(lowered(text), NONSPACE)
     n = len(codes)
     if n == 0:
         return np.empty(0, np.uint64)
-    h = windows(codes, SHINGLE) if n >= SHINGLE else windows(codes, n) + np.uint64(n * 0x9E3779B97F4A7C15 & (2**64 - 1))
+    h = windows(codes, size) if n >= size else windows(codes, n) + np.uint64(n * 0x9E3779B97F4A7C15 & (2**64 - 1))
     return np.unique(h >> np.uint64(6))
 
 
@@ -59,8 +58,8 @@ def set_key(found: np.ndarray) -> tuple[int, int]:
     return int(digest[0]), int(digest[1])
 
 
-def least_overlap(n: int) -> int:
-    return -(-PERCENT * n // 100)
+def least_overlap(n: int, percent: int = PERCENT) -> int:
+    return -(-percent * n // 100)
 
 
 def parity_bits(found: np.ndarray) -> bytes:
@@ -78,12 +77,12 @@ def _slots(found: list[np.ndarray]) -> np.ndarray:
     return np.bincount(slots.astype(_INT), minlength=1 << COUNTERS)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << COUNTERS, _INT)
     for batch in batches:
         held, size = [], 0
         for text in batch.column(0):
-            held.append(shingles(text.as_py()))
+            held.append(shingles(text.as_py(), shingle))
             size += len(held[-1])
             if size > 1 << 18:
                 counts += _slots(held)
@@ -94,9 +93,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
 
 
-def frequency_levels(docs: DataFrame) -> np.ndarray:
+def frequency_levels(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """For each counter how far beyond the usual its shingles are, 0 to 40, over all documents."""
-    parts = docs.select("text").mapInArrow(_count, "slot int, n bigint")
+    parts = docs.select("text").mapInArrow(lambda batches: _count(batches, shingle), "slot int, n bigint")
     totals = np.zeros(1 << COUNTERS, np.float64)
     for slot, n in parts.groupBy("slot").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
         totals[slot] = n
@@ -108,7 +107,7 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
 _PROFILE = "doc_id {id}, k1 bigint, k2 bigint, n bigint, prefix array<bigint>, bits binary"
 
 
-def _profiles(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+def _profiles(docs: DataFrame, levels: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """A row per document; within a task only the first of equal sets has its prefix and bits."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
@@ -119,7 +118,7 @@ def _profiles(docs: DataFrame, levels: np.ndarray) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                found = shingles(text.as_py())
+                found = shingles(text.as_py(), shingle)
                 n, key = len(found), set_key(found)
                 if n == 0 or key in seen:
                     rows.append((*key, n, None, None))
@@ -127,7 +126,7 @@ def _profiles(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 if len(seen) < 200_000:
                     seen.add(key)
                 order = found | (levels[(found & mask).astype(_INT)] << np.uint64(58))
-                keep = n - least_overlap(n) + 1
+                keep = n - least_overlap(n, percent) + 1
                 prefix = np.sort(np.partition(order, keep - 1)[:keep]).view(_INT)
                 rows.append((*key, n, prefix, parity_bits(found)))
             columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema]
@@ -140,7 +139,8 @@ def _profiles(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 class _Set:
     """The documents of a region: sizes, bitmaps by their number of bits, and distances between them."""
 
-    def __init__(self, n: np.ndarray, bits: list[bytes]):
+    def __init__(self, n: np.ndarray, bits: list[bytes], percent: int = PERCENT):
+        self.most, self.of = 100 - percent, 100 + percent
         self.n, self.m = n, np.array([8 * len(b) for b in bits])
         self.rows: dict[int, np.ndarray] = {}  # by number of bits: of all documents with so many or more
         for m in np.unique(self.m).tolist():
@@ -155,13 +155,13 @@ class _Set:
     def near(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of ``others`` whose distance from document i isn't ruled out."""
         s = self.n[others] + self.n[i]
-        # |A xor B| <= 15 / 185 * (|A| + |B|) is the same as Jaccard >= 0.85; sizes alone bound it first
-        others = others[185 * np.abs(self.n[others] - self.n[i]) <= 15 * s]
+        # |A xor B| <= most / of * (|A| + |B|), 15 / 185 for 0.85, is the same as Jaccard >= percent / 100; sizes alone bound it first
+        others = others[self.of * np.abs(self.n[others] - self.n[i]) <= self.most * s]
         out = []
         for m in np.unique(np.minimum(self.m[others], self.m[i])).tolist():
             part = others[np.minimum(self.m[others], self.m[i]) == m]
             apart = np.bitwise_count(self.rows[m][part] ^ self.rows[m][i]).sum(1, dtype=_INT)
-            out.append(part[185 * apart <= 15 * (self.n[part] + self.n[i])])
+            out.append(part[self.of * apart <= self.most * (self.n[part] + self.n[i])])
         return np.concatenate(out) if out else others
 
 
@@ -199,14 +199,14 @@ def _between(region: _Set, component: np.ndarray) -> list[tuple[int, int]]:
 _PAIR = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
 
 
-def _near_pairs(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
+def _near_pairs(batches: Iterator[pa.RecordBatch], across: bool, percent: int) -> Iterator[pa.RecordBatch]:
     """Go through regions that come one after the other, each whole."""
 
     def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
         if len(rows) < 2:
             return None
         k1, k2, n, bits, component = zip(*rows, strict=True)
-        region = _Set(np.array(n, _INT), list(bits))
+        region = _Set(np.array(n, _INT), list(bits), percent)
         found = (_between if across else _forest)(region, np.array(component))
         if not found:
             return None
@@ -227,7 +227,7 @@ def _near_pairs(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.
         yield done
 
 
-def _candidates(cells: DataFrame, bits: DataFrame, across: bool) -> DataFrame:
+def _candidates(cells: DataFrame, bits: DataFrame, across: bool, percent: int) -> DataFrame:
     """Distinct near pairs from regions ``(pivot, k1, k2, n, c, component)``."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "k1"), blocks).cast("int")
@@ -235,10 +235,10 @@ def _candidates(cells: DataFrame, bits: DataFrame, across: bool) -> DataFrame:
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     rows = rows.join(bits, ["k1", "k2"]).select("pivot", "i", "j", "k1", "k2", "n", "bits", "component")
     rows = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "n", "k1", "k2")
-    return rows.mapInArrow(lambda batches: _near_pairs(batches, across), _PAIR).distinct()
+    return rows.mapInArrow(lambda batches: _near_pairs(batches, across, percent), _PAIR).distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``(k1, k2, codes)`` of the documents whose keys are wanted; a filter of fixed size sorts out the rest."""
     size = 1 << FILTER
     slots = wanted.select(F.pmod("k1", F.lit(size)).alias("slot")).groupBy((F.col("slot").bitwiseAND((1 << 14) - 1)).alias("x"))
@@ -252,7 +252,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(0):
-                found = shingles(text.as_py())
+                found = shingles(text.as_py(), shingle)
                 key = set_key(found)
                 if ones[key[0] % size] and key not in seen:
                     if len(seen) < 200_000:
@@ -266,22 +266,25 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
 
 
-@arrow_udf(BooleanType())
-def _links(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-    return pa.array(out, pa.bool_())
+def _links(percent: int):
+    @arrow_udf(BooleanType())
+    def links(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(100 * both >= percent * (len(x) + len(y) - both))
+        return pa.array(out, pa.bool_())
 
+    return links
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, as ``(u, v)`` of keys' first halves."""
     a = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("codes").alias("a"))
     b = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("codes").alias("b"))
     both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
-    return both.where(_links("a", "b")).select(F.col("a1").alias("u"), F.col("b1").alias("v"))
+    return both.where(_links(percent)("a", "b")).select(F.col("a1").alias("u"), F.col("b1").alias("v"))
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,16 +350,18 @@ def _several(cells: DataFrame, stars: DataFrame) -> DataFrame:
     return named.select("pivot", "k1", "k2", "n", "c", "component")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``.
 
+    Texts link whose sets of shingles of ``shingle`` words have a Jaccard of ``percent`` hundredths or more.
+
     ``component_id`` is the smallest ``doc_id`` that links reach, the row's own included. Texts with
     the same shingles are one node of the join. A null or empty text has no shingles, links with
     nothing and keeps its own id; a null id is passed over by the minimum, and the component of
     null ids alone is null. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    profiles = kept(_profiles(docs, frequency_levels(docs)))
+    profiles = kept(_profiles(docs, frequency_levels(docs, shingle), shingle, percent))
     whole = profiles.where("bits is not null")
     cells = whole.select(F.explode("prefix").alias("h"), "k1", "k2", "n").repartition("h").distinct()
     cells = cells.withColumn("c", F.expr("count(*) over (partition by h)"))
@@ -370,15 +375,15 @@ def near_components(docs: DataFrame) -> DataFrame:
     # Their pairs are not verified yet, which only decides what else is handed on to be verified.
     apart = F.col("k1").alias("component")
     home = cells.withColumn("home", F.expr("min(pivot) over (partition by k1, k2)")).where("pivot = home")
-    first = kept(_candidates(home.select("pivot", "k1", "k2", "n", "c", apart), bits, False))
+    first = kept(_candidates(home.select("pivot", "k1", "k2", "n", "c", apart), bits, False, percent))
     guessed = components(first.select(F.col("a1").alias("u"), F.col("b1").alias("v")))
-    second = _candidates(_several(cells, guessed), bits, False)
+    second = _candidates(_several(cells, guessed), bits, False, percent)
     pairs = kept(first.union(second).distinct())
     wanted = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
-    sets = kept(_sets(docs, wanted))
-    stars = components(_verified(pairs, sets))
+    sets = kept(_sets(docs, wanted, shingle))
+    stars = components(_verified(pairs, sets, percent))
     # Regions of several components may hold further pairs; their documents are in ``sets`` already.
-    more = _verified(_candidates(_several(cells, stars), bits, True), sets)
+    more = _verified(_candidates(_several(cells, stars), bits, True, percent), sets, percent)
     edges = more.union(stars.select("node", "root"))
     stars = components(edges)
     classes = profiles.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
@@ -395,13 +400,13 @@ def near_components(docs: DataFrame) -> DataFrame:
 MOST_BROADCAST = 500_000
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
+def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Of each component the document with the smallest id, with the columns they came with.
 
     Documents without shingles and rows with a null id stay. Rows that share an id count as one
     document. The ids that go are broadcast while they are few; beyond that the join shuffles.
     """
-    found = near_components(docs)
+    found = near_components(docs, shingle, percent)
     gone = kept(found.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct())
     few = gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

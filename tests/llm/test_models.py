@@ -11,6 +11,7 @@ import pytest
 from conftest_llm import ODD, SCHEMA, shingles
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rtflow.llm import decontamination, fingerprints, licenses, line_dedup, mixing, near_join, pii, secrets, sharding, toxicity
 from rtflow.llm.pywords import ALNUM, NONSPACE, coded, lowered
 
@@ -297,6 +298,31 @@ def test_near_components(spark, odd, none, monkeypatch):
     assert near_join.without_near_copies(none).columns == none.columns
 
 
+def test_pipeline_drops_near_copies_by_its_own_rule(spark):
+    rng = random.Random(12)
+    docs = []
+    for i in range(30):
+        text = [f"w{rng.randrange(9000)}" for _ in range(rng.randrange(40, 120))]
+        docs.append((i, " ".join(text)))
+        for k in range(rng.randrange(3)):
+            at = rng.randrange(len(text) - 6)  # a few words in a row change, which leaves a Jaccard around 0.8
+            changed = text[:at] + [f"v{rng.randrange(9000)}" for _ in range(rng.randrange(1, 7))] + text[at + 3 :]
+            docs.append((100 * (k + 1) + i, " ".join(changed)))
+    sets = [(i, frozenset(tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4))) for i, t in docs]
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    name, changes = dict((i, i) for i, _ in sets), True
+    while changes:
+        changes = False
+        for i, a in sets:
+            for j, b in sets:
+                if name[j] < name[i] and near(a, b):
+                    name[i], changes = name[j], True
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], SCHEMA)
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()}
+    assert got == {i for i, x in name.items() if i == x}
+    assert got != {r.doc_id for r in near_join.without_near_copies(df).collect()}
+
+
 def test_bitmaps_rule_out_no_link():
     rng = np.random.default_rng(5)
     for n in (5, 60, 65, 300):
