@@ -13,9 +13,10 @@ CONTEXT = 24
 _KIND = "array<struct<start:int,end:int,said:string,before:string,after:string>>"
 
 
-def matches(text: Column, pattern: str, needs: str | None = None) -> Column:
+def matches(text: Column, pattern: str, needs: str | None = None, across: bool = False) -> Column:
     """All leftmost matches without overlap: ``start``, ``end`` (code points, end exclusive), ``said``,
-    and up to ``CONTEXT`` characters ``before`` and ``after``.
+    and up to ``CONTEXT`` characters ``before`` and ``after``, which end at the next match; ``before``
+    goes on into the match before if ``across``.
 
     What stands between matches gives the places: a text is its pieces and matches in turn. Texts
     without ``needs`` (a plain string) have none and are not searched. ``pattern`` has no capturing
@@ -27,17 +28,19 @@ def matches(text: Column, pattern: str, needs: str | None = None) -> Column:
         def step(state: Column, i: Column) -> Column:
             piece, said = F.element_at(state["pieces"], i), F.element_at(found, i)
             start = state["at"] + F.length(piece)
+            before = F.right(F.concat(state["tail"], piece), F.lit(CONTEXT))
             one = F.struct(
                 start.alias("start"),
                 (start + F.length(said)).alias("end"),
                 said.alias("said"),
-                F.right(piece, F.lit(CONTEXT)).alias("before"),
+                before.alias("before"),
                 F.left(F.element_at(state["pieces"], i + 1), F.lit(CONTEXT)).alias("after"),
             )
             out = F.concat(state["out"], F.array(one))
-            return F.struct(state["pieces"].alias("pieces"), (start + F.length(said)).alias("at"), out.alias("out"))
+            tail = F.right(F.concat(before, said), F.lit(CONTEXT)) if across else F.lit("")
+            return F.struct(state["pieces"].alias("pieces"), (start + F.length(said)).alias("at"), tail.alias("tail"), out.alias("out"))
 
-        start = F.struct(F.split(text, pattern).alias("pieces"), F.lit(0).alias("at"), none.alias("out"))
+        start = F.struct(F.split(text, pattern).alias("pieces"), F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
         walk = F.aggregate(F.sequence(F.lit(1), F.size(found)), start, step, lambda s: s["out"])
         return F.when(F.size(found) > 0, walk).otherwise(none)
 

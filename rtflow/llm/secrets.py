@@ -2,7 +2,7 @@
 
 Candidates are long unbroken strings of the characters keys are made of. Findings that formats decide
 are the labelled ones: known key formats next to a word such as ``token`` are right; strings of plain
-words, paths and strings without variety are wrong. The forest learns from those and judges all.
+words, paths, names that a value is assigned to and strings without variety are wrong. The forest learns from those and judges all.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from rtflow.llm.candidates import count, matches, scored, share, trained
 from rtflow.llm.common import kept, text_of
 
-#: What a candidate looks like.
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}"
+#: What a candidate looks like: ``=`` ends one as padding, and stands before one as in ``NAME=value``.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}+(?![\"'`]?[A-Za-z0-9+/=_-]))?+"
 #: Published formats of keys, and words that stand before one.
 FORMATS = (
     "^(?:AKIA|ASIA)[0-9A-Z]{16}$",
@@ -37,7 +37,7 @@ DICTIONARY = (
 SAMPLE, THRESHOLD = 4000, 0.5
 FEATURES = [
     "n_chars", "digit_share", "upper_share", "lower_share", "other_share", "hex", "changes", "variety", "vowels",
-    "longest_word", "dictionary", "slashes", "after_path", "after_word", "quoted", "assigned",
+    "longest_word", "dictionary", "slashes", "after_path", "after_word", "quoted", "assigned", "named",
 ]
 
 
@@ -68,6 +68,8 @@ def _features(rows: DataFrame) -> DataFrame:
             "after_word": F.rlike(before, F.lit("|".join(NEIGHBOURS))).cast("double"),
             "quoted": F.rlike(before, F.lit("[\"'`]$")).cast("double"),
             "assigned": F.rlike(before, F.lit(r"[=:]\s*[\"'`]?$")).cast("double"),
+            # What a value is assigned to: an equals sign that pads a key is in the key.
+            "named": F.rlike("after", F.lit(r"^\s{0,3}=")).cast("double"),
         }
     )
 
@@ -77,7 +79,7 @@ def _label() -> Column:
     known = F.rlike("said", F.lit("|".join(FORMATS))) & (F.col("after_word") == 1)
     plain = (F.col("digit_share") == 0) & (F.col("changes") < 0.2)
     poor = F.col("variety") < 0.2
-    return F.when(known, 1).when(plain | poor | (F.col("after_path") == 1), 0)
+    return F.when(known, 1).when(plain | poor | (F.col("after_path") == 1) | (F.col("named") == 1), 0)
 
 
 def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -91,7 +93,7 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rid = F.monotonically_increasing_id().alias("rid_")
     others = [c for c in docs.columns if c != "text"]
     row = F.struct(*others) if others else F.lit(None)
-    table = kept(docs.select(rid, row.alias("row_"), matches(text_of(), CANDIDATE).alias("found")))
+    table = kept(docs.select(rid, row.alias("row_"), matches(text_of(), CANDIDATE, across=True).alias("found")))
     rows = kept(_features(table.select("rid_", F.inline("found"))).withColumn("label", _label()))
     model = trained(RandomForestClassifier(numTrees=20, maxDepth=6, seed=5), rows, FEATURES, SAMPLE)
     judged = scored(model, rows, FEATURES) if model else rows.withColumn("p", F.coalesce(F.col("label"), F.lit(0)).cast("double"))

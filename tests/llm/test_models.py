@@ -428,6 +428,31 @@ def test_secrets(spark, odd, none, clashing):
         assert secrets.find_secrets(df.drop("score")).count() == df.count()
 
 
+def test_secrets_assigned_without_quotes(spark):
+    rng = random.Random(5)
+    some = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    docs, want = [], {}
+    for i in range(40):
+        name, value = [
+            ("API_KEY=", "AKIA" + some(16, letters)),
+            ("x --token=", "ghp_" + some(36, letters + letters.lower())),
+            ("export MY_COMPANY_ACCESS_KEY=", "AKIA" + some(16, letters)),
+            ('MY_COMPANY_SECRET_TOKEN="', some(40, "0123456789abcdef")),
+        ][i % 4]
+        docs.append((i, f"{name}{value} and supercalifragilisticwords https://x.org/{'a' * 30}"))
+        want[i] = [(len(name), len(name) + len(value))]
+    docs.append((90, "data: YWJjZGVmZ2hpamtsbW5vcA== end"))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.secrets] for r in secrets.find_secrets(df).collect()}
+    assert {i: got[i] for i in want} == want
+    found = df.where("doc_id in (1, 2, 90)").select("doc_id", F.inline(secrets.matches(F.col("text"), secrets.CANDIDATE, across=True))).collect()
+    said = {(r.doc_id, r.said): r.before for r in found}
+    assert said[90, "YWJjZGVmZ2hpamtsbW5vcA=="] == "data: "
+    assert said[1, docs[1][1].split("=")[1].split()[0]] == "x --token="
+    assert said[2, docs[2][1].split("=")[1].split()[0]] == "export MY_COMPANY_ACCESS_KEY="[-24:]
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
