@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rtflow.llm.common import kept
+
 #: Characters kept before and after a candidate.
 CONTEXT = 24
 
@@ -58,18 +62,46 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def trained(estimator, rows: DataFrame, features: list[str], sample: int):
-    """A model of at most ``sample`` rows with a ``label`` of 0 or 1, those with the least hashes; None without both labels."""
-    rows = rows.where("label is not null").select(F.col("label").cast("double").alias("label"), *[F.col(f).cast("double") for f in features])
-    chosen = rows.orderBy(F.xxhash64(*features, "label"), *features, "label").limit(sample).cache()
-    try:
-        kinds = {r[0] for r in chosen.select("label").distinct().collect()}
-        if len(kinds) < 2:
-            return None
-        vectors = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(chosen)
-        return estimator.fit(vectors)
-    finally:
-        chosen.unpersist()
+#: A row of several equal candidates is given to an estimator so many times at most, with weights for the rest.
+COPIES = 8
+
+
+def _shares(sizes: dict, sample: int) -> dict:
+    """How many rows of each group to take: all of small groups, and the rest evenly of the others."""
+    out, left = {}, sample
+    for k, (group, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], str(x[0])))):
+        out[group] = min(n, left // (len(sizes) - k))
+        left -= out[group]
+    return out
+
+
+def trained(estimator, rows: DataFrame, features: list[str], sample: int, by: tuple[str, ...] = ()):
+    """A model of at most ``sample`` different rows with a ``label`` of 0 or 1; None if the table lacks a label.
+
+    Rows are drawn by label and the columns ``by`` (of few values), those with the least hashes. A row
+    weighs as many candidates as are equal to it, and a group's rows together as many as the group has.
+    """
+    rows = rows.where("label is not null").select(*[F.col(b).cast("double").alias(f"by_{b}") for b in by], F.col("label").cast("double").alias("label"), *[F.col(f).cast("double") for f in features])
+    groups = ["label", *[f"by_{b}" for b in by]]
+    different = kept(rows.groupBy(*groups, *features).agg(F.count(F.lit(1)).alias("copies")))
+    all_ = {tuple(r[g] for g in groups): (r["n"], r["total"]) for r in different.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("total")).collect()}
+    if len({g[0] for g in all_}) < 2:
+        return None
+    parts = []
+    for group, n in _shares({g: n for g, (n, _) in all_.items()}, sample).items():
+        mine = different
+        for name, value in zip(groups, group, strict=True):
+            mine = mine.where(F.col(name).eqNullSafe(F.lit(value)))
+        mine = mine.orderBy(F.xxhash64(*features), *features).limit(n)
+        parts.append(mine.withColumns({"group": F.lit(len(parts)), "of": F.lit(float(all_[group][1]))}))
+    chosen = kept(reduce(DataFrame.union, parts))
+    taken = chosen.groupBy("group").agg(F.sum("copies").alias("taken"))  # a row for each group
+    chosen = chosen.join(F.broadcast(taken), "group")
+    times = F.least("copies", F.lit(COPIES)).cast("int")
+    chosen = chosen.withColumn("weight", F.col("copies") * F.col("of") / F.col("taken") / times)
+    chosen = chosen.withColumn("time", F.explode(F.sequence(F.lit(1), times))).orderBy(F.xxhash64(*features, "label", "time"))
+    vectors = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(kept(chosen))
+    return estimator.setWeightCol("weight").fit(vectors)
 
 
 def scored(model, rows: DataFrame, features: list[str], name: str = "p") -> DataFrame:

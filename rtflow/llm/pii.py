@@ -129,7 +129,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     wrong = F.when(F.col("kind") == 1, F.col("in_range") == 0).when(F.col("kind") == 2, F.col("luhn") == 0)
     wrong = wrong.when(F.col("kind") == 3, ~F.col("n_digits").between(10, 15)).otherwise(False)
     labelled = rows.withColumn("label", F.when(F.col("based"), 1).when(wrong, 0))
-    model = trained(GBTClassifier(maxIter=8, maxDepth=3, seed=3), labelled, FEATURES, SAMPLE)
+    model = trained(GBTClassifier(maxIter=8, maxDepth=3, seed=3), labelled, FEATURES, SAMPLE, ("kind",))
     if model is None:
         return table.select("row_.*", "base", F.col("base").alias("spans"))
     judged = kept(scored(model, labelled, FEATURES).select("rid_", "kind", "start", "end", "based", "label", "p"))

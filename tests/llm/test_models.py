@@ -453,6 +453,17 @@ def test_secrets_assigned_without_quotes(spark):
     assert said[2, docs[2][1].split("=")[1].split()[0]] == "export MY_COMPANY_ACCESS_KEY="[-24:]
 
 
+def test_rare_labels_are_learnt(spark):
+    rng = random.Random(7)
+    words = [f"{w}-{v}-pages/{u}" for w in ("image", "upload", "content", "static") for v in ("release", "download", "a" * 9, "bcdefghij") for u in range(4)]
+    docs = [(i, "\n".join(f"{rng.choice(words)}{'z' * rng.randrange(12)} and {'q' * rng.randrange(3, 9)}longwordofletters" for _ in range(40))) for i in range(200)]
+    docs += [(900 + i, f'token = "{rng.randbytes(20).hex()}"') for i in range(4)]
+    docs.append((990, f'token = "{rng.randbytes(20).hex().upper()}"'))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: len(r.secrets) for r in secrets.find_secrets(df).collect()}
+    assert got[990] == 1 and all(got[900 + i] == 1 for i in range(4)) and not any(got[i] for i in range(200))
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
