@@ -83,3 +83,26 @@ def uniform(*cols: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
 
 
+#: Salts that rows of a hot key are dealt to when they look something up.
+SALTS = 60
+
+
+def salt_of(*names: str) -> Column:
+    """The salt of a row, from the values of its columns."""
+    return F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int")
+
+
+def salt_bits(salt: str) -> Column:
+    """Aggregate: which salts occur, a bit for each."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(salt)))
+
+
+def salted_lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """A left join of ``rows`` (with ``salt``) to ``table`` (one row per key, with ``salts``) by key and salt.
+
+    A row of ``table`` is repeated for those salts that rows with its key have, so a hot key is in
+    ``SALTS`` places and a rare one in as many as it has rows, at most.
+    """
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    found = F.filter(every, lambda s: F.expr("salts").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), s)) != 0)
+    return rows.join(table.withColumn("salt", F.explode(found)).drop("salts"), [key, "salt"], "left")

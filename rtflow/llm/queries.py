@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rtflow.llm import merkle
+from rtflow.llm.alignment import op13_tokenizer_alignment
 from rtflow.llm.decontamination import op4_decontamination
 from rtflow.llm.fingerprints import op5_fingerprints
 from rtflow.llm.line_dedup import op1_line_dedup
@@ -16,6 +18,7 @@ from rtflow.llm.pii import op10_pii
 from rtflow.llm.secrets import op6_secret_scans
 from rtflow.llm.sharding import op7_sharding
 from rtflow.llm.toxicity import op3_toxicity
+from rtflow.llm.vector_search import op11_vector_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +35,11 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_near_join": op9_near_join,
         "op10_pii": op10_pii,
+        "op11_vector_search": op11_vector_search,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_merkle_manifest": merkle.ORACLE_SQL}
