@@ -30,15 +30,31 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 BLOCK = RUN**3
 #: The number of the tree over the sources.
 TOP = -1
+#: Rows of a file of a table that is known to be small.
+FILE_ROWS = 50_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def digest(*values: Column) -> Column:
-    """The hash of a row's values: each ``-`` if null, else its UTF-8 length, ``:`` and itself."""
+    """The hash of a row's values: each ``-`` if null, else its UTF-8 length, ``:`` and itself; as bytes."""
     texts = [v.cast("string") for v in values]
     parts = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
-    return F.sha2(F.concat(*parts), 256)
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
+def _hex(column) -> Column:
+    return F.lower(F.hex(column))
+
+
+def _hash(digests: Column) -> Column:
+    """The hash of digests, which are hashed as text."""
+    return F.unhex(F.sha2(_hex(digests), 256))
+
+
+def _kept(df: DataFrame, rows: int) -> DataFrame:
+    """A table of about so many rows, in few files if it is small."""
+    return kept(df.coalesce(1 + rows // FILE_ROWS))
 
 
 def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
@@ -66,24 +82,26 @@ class Manifest:
     #: one row per source: ``tree``, ``n``, ``source``, ``subroot``
     sources: DataFrame
     #: the digest of everything; null without rows
-    root: str | None
+    root: bytes | None
 
     def release(self) -> None:
-        released(*self.written)
+        released(self.leaves, self.nodes, self.sources)
 
-    written: list[DataFrame]
 
+def _levels(level: DataFrame, most: int, total: int, trees: int) -> tuple[list[DataFrame], DataFrame]:
+    """The nodes above ``level`` (tree, i, n, digest), level by level, and each tree's root.
 
-def _levels(level: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
-    """The nodes above ``level`` (tree, i, n, digest), level by level, and each tree's root."""
+    There are ``total`` of them in ``trees`` trees, of which the largest has ``most``.
+    """
     roots = level.where("n = 1").select("tree", "digest")
     built, n, height = [], most, 0
     while n > 1:
         height += 1
+        total = total // RUN + trees
         runs = level.where("n > 1").groupBy("tree", F.expr(f"i div {RUN}").alias("i"), F.ceil(F.col("n") / RUN).alias("n"))
         run = F.array_sort(F.collect_list(F.struct(F.pmod("i", F.lit(RUN)).alias("place"), "digest")))
-        kids = F.array_join(F.transform(run, lambda x: x.digest), "")
-        level = kept(runs.agg(kids.alias("kids")).withColumn("digest", F.sha2("kids", 256)))
+        kids = F.unhex(F.array_join(F.transform(run, lambda x: F.hex(x.digest)), ""))
+        level = _kept(runs.agg(kids.alias("kids")).withColumn("digest", _hash(F.col("kids"))), total)
         built.append(level.withColumn("level", F.lit(height)))
         roots = roots.unionByName(level.where("n = 1").select("tree", "digest"))
         n = -(-n // RUN)
@@ -108,29 +126,32 @@ def build(docs: DataFrame, key: str, source: str, leaf: Column, carried: dict[st
     # A source's rows of one part are a run; runs are added up by source, so no key has more than its tasks.
     runs = rows.groupBy("source", "part").agg(F.count("*").alias("m"), F.min("at").alias("low"))
     sizes = kept(runs.groupBy("source").agg(F.sum("m").alias("n")))
-    named, parts = numbered(sizes, "source")
+    most, trees, total = sizes.agg(F.max("n"), F.count("*"), F.sum("n")).first()
+    ordered, parts = numbered(sizes, "source")
     before = F.coalesce(F.sum("n").over(_upto("part")), F.lit(0))
     parts = parts.select("part", before.alias("before"))
-    named = kept(named.join(parts, "part").select("source", "n", (F.col("before") + F.col("at")).alias("tree")))
+    named = _kept(ordered.join(parts, "part").select("source", "n", (F.col("before") + F.col("at")).alias("tree")), trees)
     r, t = runs.alias("r"), named.alias("t")
     runs = r.join(t, F.col("r.source").eqNullSafe(F.col("t.source"))).select(
         F.col("r.source").alias("run_source"), F.col("part").alias("run_part"), "tree", "n", "low",
         F.coalesce(F.sum("m").over(_upto("part", "tree")), F.lit(0)).alias("before"),
     )
+    runs = kept(runs)
     same = F.col("source").eqNullSafe(F.col("run_source")) & (F.col("part") == F.col("run_part"))
     leaves = kept(
-        rows.join(kept(runs), same).select(
+        rows.join(runs, same).select(
             "tree", (F.col("at") - F.col("low") + F.col("before")).alias("i"), "n", "digest", "key", *carried
         )
     )
-    most, trees = named.agg(F.max("n"), F.count("*")).first()
-    below, subroots = _levels(leaves.select("tree", "i", "n", "digest"), most or 0)
-    sources = kept(named.join(subroots.withColumnRenamed("digest", "subroot"), "tree"))
+    released(rows, sizes, ordered, runs)
+    below, subroots = _levels(leaves.select("tree", "i", "n", "digest"), most or 0, total or 0, trees)
+    sources = _kept(named.join(subroots.withColumnRenamed("digest", "subroot"), "tree"), trees)
     tops = sources.select(F.lit(TOP).cast("bigint").alias("tree"), F.col("tree").alias("i"), F.lit(trees).alias("n"), F.col("subroot").alias("digest"))
-    above, roots = _levels(tops, trees)
+    above, roots = _levels(tops, trees, trees, 1)
     root = roots.first()
-    nodes = _nodes(below, above, sources, trees)
-    return Manifest(leaves, nodes, sources, root.digest if root else None, [rows, sizes, named, leaves, sources, nodes, *below, *above])
+    nodes = _nodes(below, above, sources, trees, (total or 0) // BLOCK + (total or 0) // RUN + trees)
+    released(named, *below, *above)
+    return Manifest(leaves, nodes, sources, bytes(root.digest) if root else None)
 
 
 def _upto(order: str, *keys: str):
@@ -139,7 +160,7 @@ def _upto(order: str, *keys: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _nodes(below: list[DataFrame], above: list[DataFrame], sources: DataFrame, trees: int) -> DataFrame:
+def _nodes(below: list[DataFrame], above: list[DataFrame], sources: DataFrame, trees: int, about: int) -> DataFrame:
     """All nodes with their parents' names, once for each block of leaves below them."""
     sizes = sources.select(F.col("tree").alias("of"), F.col("n").alias("leaves"))
     out = None
@@ -152,7 +173,7 @@ def _nodes(below: list[DataFrame], above: list[DataFrame], sources: DataFrame, t
             F.lit(trees > 1), _name(TOP, 1, F.expr(f"tree div {RUN}"))
         )
         rows = df.join(sizes, F.col("tree") == F.col("of")).select(
-            _name(F.col("tree"), level, F.col("i")).alias("node"), F.unhex("kids").alias("kids"), up.alias("up"),
+            _name(F.col("tree"), level, F.col("i")).alias("node"), "kids", up.alias("up"),
             F.pmod(F.when(whole, F.col("tree")).otherwise(F.col("i")), F.lit(RUN)).cast("int").alias("place"),
             F.when(whole, F.col("digest")).alias("subroot"), F.col("tree").alias("of"),
             _sequence(F.expr(f"i * {width} div {BLOCK}"), F.floor(last / BLOCK)).alias("block"),
@@ -162,14 +183,14 @@ def _nodes(below: list[DataFrame], above: list[DataFrame], sources: DataFrame, t
         up = F.when(F.col("n") > 1, _name(TOP, level + 1, F.expr(f"i div {RUN}")))
         blocks = sizes.select("of", F.expr(f"of div {RUN**level}").alias("over"), _sequence(F.lit(0), F.expr(f"(leaves - 1) div {BLOCK}")).alias("block"))
         rows = df.join(blocks, F.col("i") == F.col("over")).select(
-            _name(TOP, level, F.col("i")).alias("node"), F.unhex("kids").alias("kids"), up.alias("up"),
-            F.pmod("i", F.lit(RUN)).cast("int").alias("place"), F.lit(None).cast("string").alias("subroot"), "of", "block",
+            _name(TOP, level, F.col("i")).alias("node"), "kids", up.alias("up"),
+            F.pmod("i", F.lit(RUN)).cast("int").alias("place"), F.lit(None).cast("binary").alias("subroot"), "of", "block",
         )
         out = rows if out is None else out.unionByName(rows)
     if out is None:
-        schema = "node string, kids binary, up string, place int, subroot string, of bigint, block bigint"
+        schema = "node string, kids binary, up string, place int, subroot binary, of bigint, block bigint"
         out = sources.sparkSession.createDataFrame([], schema)
-    return kept(out)
+    return _kept(out, about)
 
 
 #: A step: the parent's children are cut at the leaf's place into the siblings before and after it.
@@ -179,10 +200,10 @@ WITH RECURSIVE climb AS (
   FROM {leaves}
   UNION ALL
   SELECT c.leaf, c.of, c.block, n.up, n.place,
-    sha2(concat(lower(hex(substr(n.kids, 1, 32 * c.place))), c.folded, lower(hex(substr(n.kids, 32 * c.place + 33)))), 256),
+    unhex(sha2(lower(hex(concat(substr(n.kids, 1, 32 * c.place), c.folded, substr(n.kids, 32 * c.place + 33)))), 256)),
     c.depth + 1,
     concat(substr(n.kids, 1, 32 * c.place), substr(n.kids, 32 * c.place + 33)),
-    n.subroot, CAST(NULL AS {key_type}), CAST(NULL AS STRING)
+    n.subroot, CAST(NULL AS {key_type}), CAST(NULL AS BINARY)
   FROM climb c JOIN {nodes} n ON n.of = c.of AND n.block = c.block AND n.node = c.up
 )
 SELECT * FROM climb
@@ -192,8 +213,8 @@ SELECT * FROM climb
 def climb(manifest: Manifest, now: Column) -> DataFrame:
     """For each leaf the way from ``now``, its digest today, to the root.
 
-    Returns ``key``, ``digest``, ``subroot``, ``proof`` (the siblings' digests, from the leaf up) and
-    ``folded`` (what is reached at the top), written.
+    Returns ``key``, ``digest``, ``subroot``, ``proof`` (the hash of the siblings' digests from the leaf up)
+    and ``folded`` (what is reached at the top), written.
     """
     spark = manifest.leaves.sparkSession
     trees = manifest.sources.count()
@@ -204,23 +225,26 @@ def climb(manifest: Manifest, now: Column) -> DataFrame:
         F.pmod(F.when(alone, F.col("tree")).otherwise(F.col("i")), F.lit(RUN)).cast("int").alias("place"),
         now.alias("folded"), F.when(alone, F.col("digest")).alias("subroot"), "key", "digest",
     )
-    # The query is bounded by the manifest's height. Spark's guard against endless recursion counts rows.
-    guard = "spark.sql.cteRecursionRowLimit"
-    rows = spark.conf.get(guard)
-    spark.conf.set(guard, -1)
+    # The query is bounded by the manifest's height; Spark's guard against endless recursion counts rows. All
+    # steps' rows are read in as many tasks as the last step has, which AQE would make few, as it is empty.
+    own = {"spark.sql.cteRecursionRowLimit": -1, "spark.sql.adaptive.coalescePartitions.enabled": False}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         query = _CLIMB.replace("{key_type}", leaves.schema["key"].dataType.simpleString())
         steps = spark.sql(query, leaves=leaves, nodes=manifest.nodes)
         way = F.array_sort(F.collect_list(F.when(F.col("depth") > 0, F.struct("depth", "siblings"))))
-        proof = F.array_join(F.transform(way, lambda x: F.lower(F.hex(x.siblings))), "")
+        proof = F.lower(F.array_join(F.transform(way, lambda x: F.hex(x.siblings)), ""))
         return kept(
             steps.groupBy("leaf").agg(
                 F.max("key").alias("key"), F.max("digest").alias("digest"), F.max("subroot").alias("subroot"),
-                F.max_by("folded", "depth").alias("folded"), proof.alias("proof"),
-            ).withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof", "leaf")
+                F.max_by("folded", "depth").alias("folded"), F.unhex(F.sha2(proof, 256)).alias("proof"),
+            ).drop("leaf")
         )
     finally:
-        spark.conf.set(guard, rows)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def verified(docs: DataFrame, tampered: Column) -> DataFrame:
@@ -236,10 +260,10 @@ def verified(docs: DataFrame, tampered: Column) -> DataFrame:
     manifest = build(docs, "doc_id", "source", digest(*fields), {"now": F.when(tampered.isNotNull(), changed)})
     ways = climb(manifest, F.coalesce("now", "digest"))
     manifest.release()
-    root = F.lit(manifest.root).cast("string")
+    root = F.lit(manifest.root).cast("binary")
     return ways.select(
-        F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", root.alias("root"), "proof_sha256",
-        F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"),
+        F.col("key").alias("doc_id"), _hex("digest").alias("leaf"), _hex("subroot").alias("subroot"), _hex(root).alias("root"),
+        _hex("proof").alias("proof_sha256"), _hex("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"),
     )
 
 
