@@ -22,7 +22,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--tables", required=True, help="JSON file: a list of table specs")
     parser.add_argument("--jobs", required=True, help="JSON file: a job or a list of jobs")
     parser.add_argument("--directory", required=True, help="shared folder for checkpoints and written tables")
-    parser.add_argument("--mode", choices=("fused", "materialised", "batch"), default="fused")
+    parser.add_argument("--mode", choices=("fused", "shared", "materialised", "batch"), default="fused")
     parser.add_argument("--available-now", action="store_true", help="stop at the end of the present input")
     parser.add_argument("--null-fill", choices=("sql", "text"), default="text")
     parser.add_argument("--join-salt", type=int, default=1)
@@ -38,13 +38,16 @@ def main(arguments: list[str] | None = None) -> None:
     specs = [{**spec, "options": {**shared, **(spec.get("options") or {})}} for spec in specs]
     jobs = load_jobs(spark, args.jobs)
     tables = load_tables(spark, specs, args.watermark, streaming=args.mode != "batch")
+    stored = {"storages": True, "options": shared}
     common = {"null_fill": args.null_fill, "join_salt": args.join_salt, "offset_hours": args.offset_hours}
     if args.mode == "batch":
-        run_batch(spark, tables, jobs, args.directory, **common)
+        run_batch(spark, tables, jobs, args.directory, **common, **stored)
         return
-    if args.mode == "materialised":
+    if args.mode in ("materialised", "shared"):
+        written = "shared" if args.mode == "shared" else "all"
         queries = start_materialised(
-            spark, tables, jobs, args.directory, args.available_now, delay=args.watermark, **common
+            spark, tables, jobs, args.directory, args.available_now, delay=args.watermark, written=written,
+            **common, **stored,
         )
     else:
         sinks = configured_sinks(jobs, shared, args.offset_hours)

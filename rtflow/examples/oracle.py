@@ -212,6 +212,20 @@ def oracle_sql() -> dict[str, str]:
             ),
         }
     )
+    strong_mark = _watermark("events WHERE value > 30")
+    flow_1_closed = _union(
+        {
+            "strong": (strong, {"user_id": "BIGINT", "event_type": "VARCHAR", "value": "DOUBLE"}),
+            "strong_samples": (
+                _closed(_slide("event_type, max(value) AS max_value", 3600, 5400, "event_type", strong_rows), strong_mark),
+                {"event_type": "VARCHAR", "max_value": "DOUBLE"},
+            ),
+            "strong_sums": (
+                _closed(_tumble("event_type, round(sum(value), 6) AS sum_value", 3600, "event_type", strong_rows), strong_mark),
+                {"event_type": "VARCHAR", "sum_value": "DOUBLE"},
+            ),
+        }
+    )
     kind_tops = _tumble("event_type, max(value) AS max_value", 3600, "event_type")
     kind_counts = _tumble("count(*) AS my_count", 3600, source=f"({kind_tops})")
     tops_columns = {"event_type": "VARCHAR", "max_value": "DOUBLE"}
@@ -405,6 +419,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_chain_tumble_slide_tumble": _closed(daily),
         "stream_chain_join_tumble": _closed(join_tops, _JOIN_WATERMARK),
         "stream_chain_session_tumble": _closed(session_hours),
+        "stream_dataflow_01_shared": flow_1_closed,
         "stream_dataflow_03_materialised": _union(
             {
                 "kind_tops": (_closed(kind_tops), tops_columns),

@@ -12,6 +12,7 @@ from rtflow.plans import Job, build, load_jobs
 from rtflow.schema import EVENT_TIME, to_struct
 from rtflow.sources import decode_json, load, stream_files, with_event_time
 from rtflow.streaming import (
+    build_once,
     configure,
     encode_json,
     run_available,
@@ -94,7 +95,8 @@ def _union(outputs: dict[str, DataFrame]) -> DataFrame:
 def _dataflow(config: list[dict], names: list[str]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _session(spark)
-        outputs = build(spark, _tables(spark, sf_dir, config, False), load_jobs(spark, config), null_fill="text")
+        tables, jobs = _tables(spark, sf_dir, config, False), load_jobs(spark, config)
+        outputs = build_once(spark, tables, jobs, scratch_dir(spark), names, null_fill="text")
         return _union({name: outputs[name].output for name in names})
 
     return query
@@ -112,14 +114,14 @@ def _dataflow_written(config: list[dict], names: list[str]) -> Query:
     return query
 
 
-def _dataflow_materialised(config: list[dict], names: list[str]) -> Query:
-    """The same as streams, one query per job, that follow each other's tables."""
+def _dataflow_materialised(config: list[dict], names: list[str], written: str = "all") -> Query:
+    """The same as streams, one query per job (or per table with several readers), that follow each other's tables."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _session(spark)
         root = scratch_dir(spark)
         tables = _tables(spark, sf_dir, config, True)
-        start_materialised(spark, tables, load_jobs(spark, config), root, available_now=True)
+        start_materialised(spark, tables, load_jobs(spark, config), root, available_now=True, written=written)
         return _union({name: spark.read.parquet(f"{root}/tables/{name}") for name in names})
 
     return query
@@ -310,6 +312,7 @@ def queries() -> dict[str, Query]:
         "stream_chain_tumble_slide_tumble": _flow(flows.CHAIN_TUMBLE_SLIDE_TUMBLE, stream=True),
         "stream_chain_join_tumble": _flow(flows.CHAIN_JOIN_TUMBLE, stream=True),
         "stream_chain_session_tumble": _flow(flows.CHAIN_SESSION_TUMBLE, stream=True),
+        "stream_dataflow_01_shared": _dataflow_materialised(flows.DATAFLOW_1, ["strong", "strong_samples", "strong_sums"], "shared"),
         "stream_dataflow_03_materialised": _dataflow_materialised(flows.DATAFLOW_3, ["kind_tops", "kind_counts"]),
     }
     return {**batch, **streams}

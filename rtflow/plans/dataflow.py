@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections import Counter
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,16 @@ def job_order(jobs: Iterable[Job], tables: Iterable[str]) -> list[Job]:
         raise ValueError(f"the jobs form a cycle: {' -> '.join(error.args[1])}") from error
 
 
+def shared_tables(order: Sequence[Job], outputs: Iterable[str] | None = None) -> set[str]:
+    """The tables that have several readers: jobs, and whoever asks for the ``outputs`` (by default all)."""
+    written = [job.output for job in order]
+    wanted = set(written if outputs is None else outputs)
+    if unknown := wanted.difference(written):
+        raise ValueError(f"no job writes {sorted(unknown)}")
+    readers = Counter(name for job in order for name in set(job.inputs))
+    return {name for name in written if readers[name] + (name in wanted) > 1 and readers[name]}
+
+
 def apply_job(
     job: Job, tables: Mapping[str, FlowTable], null_fill: str = "sql", join_salt: int = 1, offset_hours: int = 0
 ) -> FlowTable:
@@ -80,15 +91,23 @@ def build(
     null_fill: str = "sql",
     join_salt: int = 1,
     offset_hours: int = 0,
+    outputs: Iterable[str] | None = None,
+    once: Callable[[str, FlowTable], FlowTable] | None = None,
 ) -> dict[str, FlowTable]:
     """Compose all jobs over the input tables. Nothing runs; the outputs come by table name.
 
     The same jobs work on batch and on streaming tables. ``null_fill="text"`` writes the text
     ``NULL`` and the number 0 where an outer join found no match, instead of nulls.
+
+    A composed table is computed anew by each of its readers. ``once`` is called with every table that
+    has several, as :func:`shared_tables` finds them, and returns what they read instead of it;
+    ``rtflow.streaming.build_once`` writes such tables in batch.
     """
     register_functions(spark, offset_hours)
     known = {name: FlowTable.of(table) for name, table in tables.items()}
     order = job_order(jobs, known)
+    shared = shared_tables(order, outputs) if once else set()
     for job in order:
-        known[job.output] = apply_job(job, known, null_fill, join_salt, offset_hours)
+        result = apply_job(job, known, null_fill, join_salt, offset_hours)
+        known[job.output] = once(job.output, result) if job.output in shared else result
     return {job.output: known[job.output] for job in order}

@@ -1,4 +1,5 @@
 from rtflow.streaming.runner import (
+    build_once,
     configure,
     configured_sinks,
     run_available,
@@ -7,12 +8,15 @@ from rtflow.streaming.runner import (
     start,
     start_materialised,
 )
-from rtflow.streaming.sinks import encode_json, file_writer, storage_writer, topic_writer, write_topic
+from rtflow.streaming.sinks import Folder, encode_json, fan_out, file_writer, storage_writer, topic_writer, write_topic
 
 __all__ = [
+    "Folder",
+    "build_once",
     "configure",
     "configured_sinks",
     "encode_json",
+    "fan_out",
     "file_writer",
     "run_available",
     "run_batch",
