@@ -188,6 +188,25 @@ SLIDE_DECIMAL = [
         **slide(9000, 1800),
     ),
 ]
+#: Decimals that are products of whole numbers, so that engines agree on their digits.
+_PRICE_4 = "cast(cast(event_id as decimal(14,0)) * cast('0.0137' as decimal(6,4)) as decimal(20,4))"
+_PRICE_18 = "cast(cast(event_id as decimal(18,0)) * cast('1.000000000000001371' as decimal(19,18)) as decimal(38,18))"
+_AVERAGES = f"cast(avg({_PRICE_4}) as string) as mean_4, cast(avg({_PRICE_18}) as string) as mean_18"
+SLIDE_AVG_DECIMAL = [
+    job("mean_prices", ["events"], f"select event_type, cast(avg({_PRICE_4}) as string) as mean_4 from events group by event_type", **slide(9000, 1800))
+]
+SLIDE_AVG_WIDE = [job("wide_prices", ["events"], f"select event_type, {_AVERAGES} from events group by event_type", **slide(9000, 1800))]
+SESSION_AVG_DECIMAL = [
+    job("session_prices", ["events"], f"select user_id, cast(avg({_PRICE_4}) as string) as mean_4 from events group by user_id", **session(1800))
+]
+SESSION_AVG_WIDE = [job("wide_sessions", ["events"], f"select user_id, {_AVERAGES} from events group by user_id", **session(1800))]
+_MOMENTS = (
+    "var_samp(ln(value + 1)) as variance, stddev_pop(value) as deviation, covar_pop(ln(value + 1), user_id / 700) as together, "
+    "min_by(value, event_id) as first_value, max_by(value, event_id) as last_value, size(collect_set(user_id)) as users, "
+    "bool_or(value > 100) as high, count_if(value > 50) as n_high"
+)
+SLIDE_MOMENTS = [job("moments", ["events"], f"select event_type, {_MOMENTS} from events group by event_type", **slide(9000, 1800))]
+SESSION_MOMENTS = [job("session_moments", ["events"], f"select event_type, {_MOMENTS} from events group by event_type", **session(1800))]
 SESSION_HAVING = [
     job(
         "long_sessions",

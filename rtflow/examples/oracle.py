@@ -134,6 +134,14 @@ def _sum(column: str, name: str) -> str:
     return f"CAST(sum({column}) AS BIGINT) AS {name}"
 
 
+def _exact_average(units: str, scale: int, name: str) -> str:
+    """The average of ``event_id`` times so many units, as text; the units are 10,000 of the last digit."""
+    total = f"sum(CAST(event_id AS HUGEINT) * {units})"
+    last = f"(({total} * 20000 + count(*)) // (2 * count(*)))"
+    one = f"CAST('1{'0' * scale}' AS HUGEINT)"
+    return f"({last} // {one})::VARCHAR || '.' || lpad(({last} % {one})::VARCHAR, {scale}, '0') AS {name}"
+
+
 def _union(parts: dict[str, tuple[str, dict[str, str]]]) -> str:
     """Outputs of several jobs; ``columns`` of each name what it has, in one common order."""
     every: dict[str, str] = {}
@@ -178,6 +186,16 @@ def oracle_sql() -> dict[str, str]:
     price_sums = _slide(
         "event_type, CAST(sum(price) AS VARCHAR) AS total, CAST(max(price) AS VARCHAR) AS top", 9000, 1800, "event_type", whole_prices
     )
+    mean_4, mean_18 = _exact_average("137", 8, "mean_4"), _exact_average("1000000000000001371", 22, "mean_18")
+    slide_prices = [_slide(f"event_type, {c}", 9000, 1800, "event_type") for c in (mean_4, f"{mean_4}, {mean_18}")]
+    session_prices = [_session(f"user_id, {c}", 1800, "user_id") for c in (mean_4, f"{mean_4}, {mean_18}")]
+    moments = (
+        "event_type, round(var_samp(ln(value + 1)), 6) AS variance, round(stddev_pop(value), 6) AS deviation, "
+        "round(covar_pop(ln(value + 1), user_id / 700.0), 6) AS together, round(arg_min(value, event_id), 6) AS first_value, "
+        "round(arg_max(value, event_id), 6) AS last_value, CAST(count(DISTINCT user_id) AS INTEGER) AS users, "
+        "bool_or(value > 100) AS high, count(*) FILTER (value > 50) AS n_high"
+    )
+    slide_moments, session_moments = _slide(moments, 9000, 1800, "event_type"), _session(moments, 1800, "event_type")
     many_users = _tumble(
         "event_type, count(DISTINCT user_id) AS users", 21600, "event_type", having="count(DISTINCT user_id) > 3"
     )
@@ -355,6 +373,12 @@ def oracle_sql() -> dict[str, str]:
         "session_global": bursts,
         "slide_having": busy,
         "slide_decimal": price_sums,
+        "slide_avg_decimal": slide_prices[0],
+        "slide_avg_wide": slide_prices[1],
+        "session_avg_decimal": session_prices[0],
+        "session_avg_wide": session_prices[1],
+        "slide_moments": slide_moments,
+        "session_moments": session_moments,
         "session_having": _session(f"user_id, {mean}", 1800, "user_id", "count(*) > 1"),
         "session_global_distinct": _session(f"count(DISTINCT user_id) AS users, {spread}", 300, having="count(*) > 1"),
         "ss_join_inner": _stream_join("inner"),
@@ -406,6 +430,10 @@ def oracle_sql() -> dict[str, str]:
         "stream_slide_having": _closed(busy),
         "stream_slide_max": _closed(slide_max),
         "stream_slide_panes": _closed(panes),
+        "stream_slide_avg_wide": _closed(slide_prices[1]),
+        "stream_session_avg_wide": _closed(session_prices[1]),
+        "stream_slide_moments": _closed(slide_moments),
+        "stream_session_moments": _closed(session_moments),
         "stream_slide_gap_max": _closed(gapped),
         "stream_session_count": _closed(sessions),
         "stream_session_global": _closed(bursts),

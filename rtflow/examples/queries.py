@@ -264,6 +264,12 @@ def queries() -> dict[str, Query]:
         "session_global": _flow(flows.SESSION_GLOBAL),
         "slide_having": _flow(flows.SLIDE_HAVING),
         "slide_decimal": _flow(flows.SLIDE_DECIMAL),
+        "slide_avg_decimal": _flow(flows.SLIDE_AVG_DECIMAL),
+        "slide_avg_wide": _flow(flows.SLIDE_AVG_WIDE),
+        "session_avg_decimal": _flow(flows.SESSION_AVG_DECIMAL),
+        "session_avg_wide": _flow(flows.SESSION_AVG_WIDE),
+        "slide_moments": _flow(flows.SLIDE_MOMENTS),
+        "session_moments": _flow(flows.SESSION_MOMENTS),
         "session_having": _flow(flows.SESSION_HAVING),
         "session_global_distinct": _flow(flows.SESSION_GLOBAL_DISTINCT),
         "ss_join_inner": _flow(flows.stream_join("inner")),
@@ -299,6 +305,10 @@ def queries() -> dict[str, Query]:
         "stream_slide_having": _flow(flows.SLIDE_HAVING, stream=True),
         "stream_slide_max": _flow(flows.SLIDE_MAX, stream=True),
         "stream_slide_panes": _flow(flows.SLIDE_PANES, stream=True),
+        "stream_slide_avg_wide": _flow(flows.SLIDE_AVG_WIDE, stream=True),
+        "stream_session_avg_wide": _flow(flows.SESSION_AVG_WIDE, stream=True),
+        "stream_slide_moments": _flow(flows.SLIDE_MOMENTS, stream=True),
+        "stream_session_moments": _flow(flows.SESSION_MOMENTS, stream=True),
         "stream_slide_gap_max": _flow(flows.SLIDE_GAP_MAX, stream=True),
         "stream_session_count": _flow(flows.SESSION_COUNT, stream=True),
         "stream_session_global": _flow(flows.SESSION_GLOBAL, stream=True),

@@ -29,6 +29,7 @@ def oracle():
 
 
 KINDS = {
+    "boolean": "BOOLEAN",
     "bigint": "BIGINT",
     "int": "INTEGER",
     "double": "DOUBLE",
