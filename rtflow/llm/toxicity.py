@@ -4,12 +4,13 @@ A word's input is a vector of its own (of words that training has met) joined wi
 vectors of its character n-grams. Texts are read in overlapping windows; a window's states are
 pooled by attention into a logit. A text's score is the calibrated greatest logit of its windows.
 
-The network learns from at most ``SAMPLE`` labelled documents, on the driver; scoring runs where the
-documents are.
+The network learns from at most ``SAMPLE`` labelled documents, in one task that sends back the weights;
+scoring runs where the documents are.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ WIDTH, STATE, BUCKETS = 8, 8, 14
 GRAMS = (3, 4, 5, 6)
 #: Runs of more bytes than this are words of pieces of so many bytes, neighbours sharing so many.
 LONGEST, PIECE, SHARED = 64, 24, GRAMS[-1] - 1
+#: Words whose n-grams are made together, so that this takes bounded memory.
+WORDS_AT_ONCE = 50_000
 #: Labelled documents to learn from at most, each with its whole text, and passes.
 SAMPLE, EPOCHS = 2500, 3
 THRESHOLD = 0.3
@@ -43,6 +46,10 @@ def held_out(doc_id: Column) -> Column:
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of all words, word by word, and where each word's begin."""
+    if len(words) > WORDS_AT_ONCE:
+        parts = [grams_of(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        before = np.cumsum([0, *[len(ids) for ids, _ in parts[:-1]]])
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([at + n for (_, at), n in zip(parts, before)])
     marked = [b"\x02" + w + b"\x03" for w in words]
     sizes = np.array([len(w) for w in marked])
     ends = np.repeat(np.cumsum(sizes), sizes)
@@ -56,7 +63,7 @@ def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(size):
             h = h * np.uint64(257) + raw[k : k + n]
         within = at[:n] + size <= ends[:n]
-        ids.append((mixed(h[within]) >> np.uint64(64 - BUCKETS)).astype(np.int64))
+        ids.append((mixed(h[within]) >> np.uint64(64 - BUCKETS)).astype(np.int32))
         of.append(word[:n][within])
     ids, of = np.concatenate(ids), np.concatenate(of)
     order = np.argsort(of, kind="stable")
@@ -317,7 +324,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
         grams.append(datas[doc][found[doc][1][i] : found[doc][2][i]])
     gram_ids, gram_at = grams_of(grams)
     gram_ends = np.append(gram_at[1:], len(gram_ids))
-    docs = np.split(inverse, ends[:-1])
+    docs = np.split(inverse.astype(np.int32), ends[:-1])
     windows_, owner = [], []
     for i, ids in enumerate(docs):
         for start in starts_of(len(ids)):
@@ -382,15 +389,31 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` labelled documents, those with the least hashes, none held out.
 
-    Rows with a null label or a null id are passed over. Without labels of both kinds, the model
-    gives every text the share of toxic labels.
+    Rows with a null label or a null id are passed over; of rows that share ids, at most twice as many are
+    read. Without labels of both kinds, the model gives every text the share of toxic labels. The texts go
+    to one task, whose size the sample bounds, and only the model comes to the driver.
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     # At most ``sample`` rows, so the broadcast is bounded.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(2 * sample).collect()
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(2 * sample)
+    rows = rows.select("text", "toxic").coalesce(1)
+    learnt = rows.mapInArrow(_learn, "model binary").first()
+    if learnt is None:
+        return train([], [])
+    model = Model.__new__(Model)
+    model.__setstate__(pickle.loads(learnt.model))
+    return model
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, toxic = [], []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        toxic += batch.column("toxic").to_pylist()
+    if texts:
+        yield pa.record_batch([pa.array([pickle.dumps(train(texts, toxic).__getstate__())], pa.binary())], ["model"])
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
