@@ -19,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType
 
-from rtflow.llm.common import kept, released
+from rtflow.llm.common import free_name, kept, released
 from rtflow.llm.pywords import NONSPACE, coded, lowered, windows
 
 #: What op9 asks for: words of a shingle; linked when ``100 * intersection >= PERCENT * union``.
@@ -403,13 +403,33 @@ MOST_BROADCAST = 500_000
 def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Of each component the document with the smallest id, with the columns they came with.
 
-    Documents without shingles and rows with a null id stay. Rows that share an id count as one
-    document. The ids that go are broadcast while they are few; beyond that the join shuffles.
+    Documents without shingles stay. Null ids come after all others. Rows that share an id, or have none,
+    are told apart by a hash of their texts: the smallest stays, and the others of its component go, while
+    other texts of that id stay. Of rows with equal ids and texts one stays. What goes is broadcast while it
+    is little; beyond that the join shuffles.
     """
-    found = near_components(docs, shingle, percent)
-    gone = kept(found.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct())
+    columns = docs.columns
+    unclear = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if unclear.isEmpty():
+        return _without(docs, "doc_id", near_components(docs, shingle, percent)).select(*columns)
+    rid, rank = free_name(docs, "rid", "rank")
+    text = F.coalesce("text", F.lit(""))
+    named = docs.withColumn(rid, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")))
+    found = kept(near_components(named.select(F.col(rid).alias("doc_id"), "text"), shingle, percent))
+    rest = _without(named, rid, found)
+    again = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(rid))
+    again = kept(again)
+    # Rows that are equal may differ in other columns, of which the least stay.
+    least = Window.partitionBy(rid).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    one = rest.join(again, rid, "left_semi").withColumn(rank, F.row_number().over(least)).where(F.col(rank) == 1).drop(rank)
+    return rest.join(again, rid, "left_anti").select(*columns).unionByName(one.select(*columns))
+
+
+def _without(docs: DataFrame, name: str, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id, in the column ``name``, is not that of a copy by ``found``."""
+    gone = kept(found.where("n_shingles > 0 and doc_id != component_id").select(F.col("doc_id").alias(name)).distinct())
     few = gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, name, "left_anti")
 
 
 def op9_near_join(spark, sf_dir: str) -> DataFrame:
