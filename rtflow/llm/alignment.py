@@ -73,9 +73,10 @@ class Encoder:
         ]
         self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
-        # An id with what follows it in the text form of groups.
-        self.a_text = [np.array([f"{i}{end}" for i in range(size)], object) for end in ",|"]
-        self.b_text = [np.array([f"{i}{end}" for i in range(len(pieces))], object) for end in ",;"]
+        # An id with what follows it in the text form of groups: by tokenizer, within and at the end of a group.
+        sides = [(size, ","), (size, "|"), (len(pieces), ","), (len(pieces), ";")]
+        self.text = np.array([f"{i}{end}" for n, end in sides for i in range(n)], object)
+        self.a_bytes, self.b_bytes = np.array(self.a_bytes, object), np.array(self.b_bytes, object)
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         spaced = [" " + x for x in texts]
@@ -88,13 +89,13 @@ class Encoder:
         data = text.encode("utf-8", "surrogatepass")
         if not len(data) == self.a_length[a].sum() == self.b_length[b].sum():
             return False
-        return b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
+        return b"".join(self.a_bytes[a].tolist()) == data == b"".join(self.b_bytes[b].tolist())
 
 
 @dataclass
 class Aligned:
     n_groups: int
-    #: link by link the ids that overlap
+    #: the ids of each link, in no order
     a: np.ndarray
     b: np.ndarray
     #: ``a1,a2|b1;a3|b2,b3``
@@ -106,20 +107,22 @@ def align(encoder: Encoder, a: np.ndarray, b: np.ndarray) -> Aligned:
     if not len(a):
         return Aligned(0, a, b, "")
     ends_a, ends_b = np.cumsum(encoder.a_length[a]), np.cumsum(encoder.b_length[b])
-    ends = np.union1d(ends_a, ends_b)
-    last_a = np.isin(ends_a, ends_b, assume_unique=True)
-    last_b = np.isin(ends_b, ends_a, assume_unique=True)
+    # The first token of the other side that ends no earlier; all tokens of both end at the text's end.
+    beside_a, beside_b = np.searchsorted(ends_b, ends_a), np.searchsorted(ends_a, ends_b)
+    last_a, last_b = ends_b[beside_a] == ends_a, ends_a[beside_b] == ends_b
+    # A link ends where a token of either side does: those of a, and those of b that end inside one of a.
+    inside = ~last_b
+    ids_a = np.concatenate([a, a[beside_b[inside]]])
+    ids_b = np.concatenate([b[beside_a], b[inside]])
     # Tokens in the order of groups, those of the first tokenizer first: each after all before it.
     shared_a, shared_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
-    group_a = np.cumsum(last_a) - last_a
-    group_b = np.cumsum(last_b) - last_b
-    out = np.empty(len(a) + len(b), object)
-    at_a = np.arange(len(a)) + np.concatenate([[0], shared_b + 1])[group_a]
-    at_b = np.arange(len(b)) + (shared_a + 1)[group_b]
-    out[at_a] = np.where(last_a, encoder.a_text[1][a], encoder.a_text[0][a])
-    out[at_b] = np.where(last_b, encoder.b_text[1][b], encoder.b_text[0][b])
-    groups = "".join(out.tolist())[:-1]
-    return Aligned(len(shared_a), a[np.searchsorted(ends_a, ends)], b[np.searchsorted(ends_b, ends)], groups)
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    size_a, size_b = len(encoder.a_length), len(encoder.b_length)
+    out = np.empty(len(a) + len(b), np.int64)
+    out[np.arange(len(a)) + np.concatenate([[0], shared_b + 1])[group_a]] = a + size_a * last_a
+    out[np.arange(len(b)) + (shared_a + 1)[group_b]] = 2 * size_a + b + size_b * last_b
+    groups = "".join(encoder.text[out].tolist())[:-1]
+    return Aligned(len(shared_a), ids_a, ids_b, groups)
 
 
 _TEXTS = "key binary, salts bigint, n bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, a array<int>, b array<int>, times array<int>"
