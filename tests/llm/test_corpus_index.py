@@ -147,6 +147,19 @@ def test_alignment(spark, encoder):
         assert rows(alignment.alignments(docs, most_pairs=most)) == want
 
 
+def test_both_ways_to_merge_agree(encoder):
+    rng = random.Random(9)
+    every = [chr(i) for i in range(0x800)]
+    texts = [" " + "".join(rng.choices(every, k=80)) for _ in range(1500)]
+    texts += [" " + "".join(rng.choices("ab .'s\u0301é1\u00a0\u0085\t\n\x1c've", k=60)) for _ in range(1500)]
+    texts += [" " + x for x in TEXTS if x]
+    fast = sum(alignment._SLOW.search(x) is None for x in texts)
+    assert encoder.fast is not None and 3000 <= fast < len(texts)
+    want = [x.ids for x in encoder.a.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder._byte_level(texts)] == want
+    assert alignment.Encoder(alignment.Tokenizers(*[getattr(alignment.Tokenizers.public(), f) for f in ("byte_level", "pieces")])).fast is None
+
+
 def test_alignment_odd(spark, odd, none, clashing):
     plain = rows(alignment.alignments(odd))
     assert sum(plain.values()) == len(ODD) and plain[(2, 0, 0, 0, 0, 0, 0, "")] == 1
