@@ -113,7 +113,7 @@ def abc(spark):
 
 @pytest.mark.parametrize(
     "expression",
-    ["sum(distinct a)", "stddev(a)", "count(a, b)", "max(a) filter (where b)", "upper(c)", "max(a) + a", "max(a) + stddev(a)", "sum(a) over ()"],
+    ["sum(distinct a)", "stddev(distinct a)", "median(a)", "count(a, b)", "max(a) filter (where b)", "upper(c)", "max(a) + a", "max(a) + median(a)", "sum(a) over ()"],
 )
 def test_what_cannot_be_split(abc, expression):
     assert split_aggregates(abc, [("count(*)", "n"), (expression, "x")]) is None
@@ -124,7 +124,7 @@ def test_what_can_be_split(abc):
     split = split_aggregates(abc, [("COUNT(*)", "n"), ("sum((a + 1) * e)", "s"), ("avg(a)", "m"), ("count(distinct c)", "d")])
     assert split.distinct == "c" and len(split.final) == 4
     assert split_aggregates(abc, [("count(distinct c)", "d"), ("count(distinct e)", "f")]) is None
-    for expression in ("sum(a) + sum(e)", "max(')')", "count(if(c = 'sum(', 1, null)) / count(*)", "2"):
+    for expression in ("stddev(a)", "max(a) + stddev(a)", "sum(a) + sum(e)", "max(')')", "count(if(c = 'sum(', 1, null)) / count(*)", "2"):
         assert split_aggregates(abc, [(expression, "x")]) is not None
     # the same call twice is one aggregate; text is left alone, keys are renamed
     split = split_aggregates(abc, [("sum(a)", "x"), ("sum(a) + 1", "y")], "sum(a) > 1 and c <> 'c, (c)'", [("c", "__k0")])

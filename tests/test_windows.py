@@ -137,12 +137,24 @@ def test_distinct_counts_on_streams(spark, tmp_path):
     for window, select in (
         (WindowSpec("session", gap=3), ["count(distinct v) as n"]),
         (WindowSpec("tumble", size=3), ["count(distinct v) as n", "count(distinct k) as m"]),
-        (WindowSpec("tumble", size=3), ["count(distinct v) as n", "collect_set(k) as ks"]),
+        (WindowSpec("tumble", size=3), ["count(distinct v) as n", "collect_list(k) as ks"]),
     ):
         with pytest.raises(ValueError, match="approx_count_distinct"):
             window_aggregate(stream, window, select)
 
 
+def test_distinct_counts_next_to_merged_states_on_streams(spark, tmp_path):
+    rows = random_rows(6, span=40, keys=("a", "b", "c"))
+    df = helpers.table(spark, [row for row in rows if row[0] is None or row[0] >= 0], COLUMNS)
+    select = ["count(distinct v) as n", "sort_array(collect_set(k)) as ks", "round(stddev(v), 6) as d", "max_by(k, v) as top"]
+    window = WindowSpec("tumble", size=6)
+    batch = helpers.result(window_aggregate(FlowTable(df), window, select[:3]).df, "n", "ks", "d")
+    stream = FlowTable(helpers.as_stream(spark, df, tmp_path / "in"))
+    got = run_available(window_aggregate(stream, window, select).df, str(tmp_path / "run"))
+    found = helpers.result(got, "n", "ks", "d")
+    assert len(found) > 3 and all(row in batch for row in found)
+
+
 def test_distinct_counts_with_having_on_streams(spark, tmp_path):
     rows = random_rows(5, span=60, keys=("a", "b", "c"))
     df = helpers.table(spark, [row for row in rows if row[0] is None or row[0] >= 0], COLUMNS)
