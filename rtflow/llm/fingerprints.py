@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of a text's paragraphs.
 
-A paragraph (what stands between line feeds) is hashed to a wide vector of 16-bit lanes; a text's
-fingerprint is the sum of its paragraphs' vectors modulo 2**16. The order of paragraphs does not
+A paragraph (what stands between line feeds) is hashed to a wide vector of 32-bit lanes; a text's
+fingerprint is the sum of its paragraphs' vectors modulo 2**32. The order of paragraphs does not
 matter, and adding or subtracting a vector inserts or deletes a paragraph without reading the rest.
 
 The first ``EXACT`` lanes come from BLAKE2b of the paragraph and tell texts apart. The other ``SENSE``
@@ -13,17 +13,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rtflow.llm.common import text_of
 from rtflow.llm.pywords import mixed
 
-EXACT, SENSE = 32, 256
+EXACT, SENSE = 16, 256
 GRAM = 16
 #: Bytes that are hashed at a time, so that a very long text takes bounded memory.
 CHUNK = 1 << 20
@@ -32,27 +34,30 @@ _NEWLINE = 10
 
 
 def fingerprint(text: str) -> np.ndarray:
-    """The ``EXACT + SENSE`` lanes of a text, as unsigned 16-bit numbers."""
+    """The ``EXACT + SENSE`` lanes of a text, as unsigned 32-bit numbers.
+
+    A sketch lane holds a count, which no text is long enough to bring beyond 31 bits.
+    """
     data = text.encode("utf-8", "surrogatepass")
     exact = np.zeros(EXACT, np.uint64)
     short = []
     digests = []
     for paragraph in data.split(b"\n"):
-        digest = hashlib.blake2b(paragraph, digest_size=2 * EXACT).digest()
+        digest = hashlib.blake2b(paragraph, digest_size=4 * EXACT).digest()
         digests.append(digest)
         if 0 < len(paragraph) < GRAM:
             short.append(digest[:8])
         if len(digests) >= 4096:
-            exact += np.frombuffer(b"".join(digests), np.uint16).reshape(-1, EXACT).sum(0, np.uint64)
+            exact += np.frombuffer(b"".join(digests), np.uint32).reshape(-1, EXACT).sum(0, np.uint64)
             digests = []
     if digests:
-        exact += np.frombuffer(b"".join(digests), np.uint16).reshape(-1, EXACT).sum(0, np.uint64)
+        exact += np.frombuffer(b"".join(digests), np.uint32).reshape(-1, EXACT).sum(0, np.uint64)
     counts = np.bincount(np.frombuffer(b"".join(short), np.uint64).astype(np.int64) & 511, minlength=512)
     raw = np.frombuffer(data, np.uint8)
     for at in range(0, max(0, len(raw) - GRAM + 1), CHUNK):
         counts += _grams(raw[at : at + CHUNK + GRAM - 1])
     sense = counts[0::2] - counts[1::2]
-    return np.concatenate([(exact & np.uint64(0xFFFF)).astype(np.uint16), sense.astype(np.int64).astype(np.uint16)])
+    return np.concatenate([exact.astype(np.uint32), sense.astype(np.int64).astype(np.uint32)])
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -77,13 +82,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """1 for equal fingerprints, else the cosine of the sketches, 0 at least."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = a[EXACT:].view(np.int16).astype(np.float64), b[EXACT:].view(np.int16).astype(np.float64)
+    x, y = a[EXACT:].view(np.int32).astype(np.float64), b[EXACT:].view(np.int32).astype(np.float64)
     norm = float(np.sqrt((x @ x) * (y @ y)))
     return min(1.0, max(0.0, float(x @ y) / norm)) if norm else 0.0
 
 
 def as_text(lanes: np.ndarray) -> str:
-    return base64.b64encode(lanes.astype("<u2").tobytes()).decode()
+    return base64.b64encode(lanes.astype("<u4").tobytes()).decode()
 
 
 def edited(text: str, following: str) -> str:
@@ -95,66 +100,60 @@ def edited(text: str, following: str) -> str:
 #: Fixed value: rows a bucket has on average, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 20_000
 
-_OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows ``(bucket, extra, key, tie, text)``: buckets hold successive ranges of the key.
+def _rank(key, tie: int) -> tuple:
+    """What Python compares as Spark orders a key and a tie: nulls first, not-a-number last."""
+    if key is None:
+        return (0, 0, tie)
+    return (2, 0, tie) if key != key else (1, key, tie)
 
-    A bucket's ``extra`` rows are those that follow its last row: the first key of the next bucket,
-    or after the last bucket the first key of all. So each row's successor is in its own bucket and
-    one shuffle of the texts does. The ranges start at quantiles, which are keys that occur; their
-    number is bounded, and only they come to the driver. Nulls sort first; ties by a hash of the text.
+
+def in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows ``(bucket, extra, key, tie, text)``: buckets hold successive ranges of key and tie.
+
+    A bucket's ``extra`` rows are those that follow its last row: the first of the next bucket, or
+    after the last bucket the first of all. So each row's successor is in its own bucket and one
+    shuffle of the texts does. The ranges are those Spark deals keys and ties to, without the texts;
+    only their first rows' keys and ties come to the driver, ``MOST_BUCKETS`` at most. The key may
+    be of any type that Spark sorts and Python compares. Nulls sort first; the tie is a hash of the
+    text, so rows that share an id are dealt to several buckets unless their texts are equal too.
     """
-    k = F.col(key)
-    n, low, nulls = docs.agg(F.count(F.lit(1)), F.min(k), F.count_if(k.isNull())).first()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    starts: list = []
-    if low is not None and buckets > 1:
-        at = [i / buckets for i in range(1, buckets)]
-        quantiles = docs.agg(F.percentile_approx(k, F.lit(at), F.lit(20 * buckets))).first()[0]
-        starts = sorted({q for q in quantiles if q > low})
-    if nulls and low is not None:
-        starts = [low, *starts]  # bucket 0 has the nulls
-    rows = docs.select(k.alias("key"), text_of().alias("text")).withColumn("tie", F.xxhash64("text"))
-    # The ranges' starts, as a table of fixed bound, joined by a search in a sorted literal array.
-    if starts:
-        shared = docs.sparkSession.sparkContext.broadcast(np.array(starts))
-
-        @F.pandas_udf("array<int>")
-        def places(keys):
-            import pandas as pd
-
-            starts, out = shared.value, []
-            for x in keys.tolist():
-                if x is None or x != x:
-                    out.append([0] if low is not None else [0, -1 - len(starts)])
-                    continue
-                b = int(np.searchsorted(starts, x, "right"))
-                out.append([b, -b] if b and starts[b - 1] == x else [b])
-            return pd.Series(out)
-
-        # A key that starts bucket b also follows bucket b - 1, which -b stands for.
-        at = F.explode(places(F.col("key")))
-    else:
-        at = F.explode(F.array(F.lit(0)))
-    first = F.col("key").isNull() if nulls else F.col("key") == F.lit(low)
-    last = len(starts)
-    dealt = rows.withColumn("at", at)
+    rows = docs.select(F.col(key).alias("key"), text_of().alias("text")).withColumn("tie", F.xxhash64("text"))
+    buckets = max(1, min(MOST_BUCKETS, rows.count() // BUCKET_ROWS))
+    slim = rows.select("key", "tie").repartitionByRange(buckets, "key", "tie")
+    firsts = slim.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "tie")).alias("first"))
+    starts = sorted({_rank(*r["first"]) for r in firsts.collect()})
+    shared = docs.sparkSession.sparkContext.broadcast(starts)
+
+    @F.arrow_udf("array<int>")
+    def places(keys: pa.Array, ties: pa.Array) -> pa.Array:
+        starts, out = shared.value, []
+        for row in zip(keys.to_pylist(), ties.to_pylist(), strict=True):
+            rank = _rank(*row)
+            b = bisect_right(starts, rank) - 1
+            # A row that starts bucket b also follows bucket b - 1, or the last one: -b, or -n, says so.
+            out.append([b, -(b or len(starts))] if bisect_left(starts, rank) == b else [b])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    dealt = rows.withColumn("at", F.explode(places("key", "tie")))
     dealt = dealt.withColumn("bucket", F.when(F.col("at") < 0, -F.col("at") - 1).otherwise(F.col("at")))
-    dealt = dealt.withColumn("extra", (F.col("at") < 0).cast("int")).drop("at")
-    wrap = rows.where(first).withColumn("bucket", F.lit(last)).withColumn("extra", F.lit(1))
-    return dealt.unionByName(wrap)
+    return dealt.withColumn("extra", (F.col("at") < 0).cast("int")).drop("at")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Go through the rows of successive buckets, each row meeting the one after it."""
-    names = [x.split(" ")[0] for x in _OUT.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
+    names = ["doc_id", *(x.split(" ")[0] for x in _OUT.split(", "))]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     out: list[tuple] = []
     bucket = held = None
 
+    def done() -> pa.RecordBatch:
+        columns = list(map(pa.array, zip(*out, strict=True), kinds))
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def meet(one: tuple, two: tuple) -> None:
         key, text, lanes = one
         new = edited(text, two[1])
@@ -164,6 +163,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.append((key, len(text), sha, as_text(lanes), as_text(new_lanes), *near))
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        kinds = [batch.schema.field("key").type, *kinds[-6:]]
         at = {name: batch.column(name) for name in ("bucket", "key", "text")}
         for i in range(batch.num_rows):
             b = at["bucket"][i].as_py()
@@ -178,21 +180,21 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 meet(held, row)
             held = None if extra else row
             if len(out) >= 512:
-                yield pa.record_batch(list(map(pa.array, zip(*out, strict=True), kinds)), schema)
-                out.clear()
+                yield done()
     if out:
-        yield pa.record_batch(list(map(pa.array, zip(*out, strict=True), kinds)), schema)
+        yield done()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, and how like it is its edited text's and the next document's.
 
     A null text is empty. Rows with equal ids follow each other in the order of a hash of their
-    texts, null ids come first, and the only row of a table follows itself. Other columns of
-    ``docs`` are neither needed nor returned.
+    texts, null ids come first, and the only row of a table follows itself. ``doc_id`` keeps its type.
+    Other columns of ``docs`` are neither needed nor returned.
     """
     rows = in_order(docs).repartition("bucket").sortWithinPartitions("bucket", "extra", "key", "tie")
-    return rows.select("bucket", "extra", "key", "text").mapInArrow(_compared, _OUT)
+    out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(_OUT).fields])
+    return rows.select("bucket", "extra", "key", "text").mapInArrow(_compared, out)
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
