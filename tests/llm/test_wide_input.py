@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from rtflow.llm import fingerprints
+from rtflow.llm import fingerprints, line_dedup
 
 BIG = 1 << 60
 
@@ -63,3 +63,43 @@ def test_likeness_of_long_texts():
     for one, two in [("a" * 40_000, "a" * 20_000 + "b" * 20_000), ("".join(words), "".join(words[:3000]) + "x" * 15_000), ("a" * 70_000, "c" * 70_000)]:
         near = fingerprints.likeness(fingerprints.fingerprint(one), fingerprints.fingerprint(two))
         assert abs(near - cosine(counts(one), counts(two))) < 0.15
+
+
+def _few_lines(rng, words):
+    return "\n".join(" ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n)) for n in words)
+
+
+def test_equal_rows_are_one_document(spark):
+    shared = _few_lines(random.Random(0), (22, 18))
+    docs = [(1, shared), (2, shared)]
+    schema = "doc_id bigint, text string"
+    for times in (1, 2):
+        out = line_dedup.without_repeated_lines(spark.createDataFrame(docs * times, schema))
+        assert [list(r.gone_lines) for r in out.collect()] == [[], []] * times
+    long = _few_lines(random.Random(1), (30, 21, 2))
+    docs = [(1, long), (2, long + "\nmore"), (3, "own\n" + long), (None, "null id\n" + shared), (5, None), (6, "")]
+    seen = set()
+    for times in (1, 3):
+        df = spark.createDataFrame(docs * times, schema).repartition(5).withColumn("n_lines", F.lit("x"))
+        got = sorted(((r.doc_id or 0, r.text or "", tuple(r.gone_lines)) for r in line_dedup.without_repeated_lines(df).collect()))
+        assert len(got) == len(docs) * times
+        seen.add(tuple(sorted(set(got))))
+        assert set(got) >= {(1, long, ()), (2, "more", (0, 1, 2)), (3, "own", (1, 2, 3)), (5, "", ())}
+    assert len(seen) == 1
+
+
+def test_texts_of_many_lines(spark):
+    text = "\n".join(f"line {i} of many" for i in range(40_000))
+    out = line_dedup.without_repeated_lines(spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id bigint, text string"))
+    start = time.time()
+    got = {r.doc_id: (r.n_lines, len(r.gone_lines), r.text) for r in out.collect()}
+    assert got == {1: (40_000, 0, text), 2: (40_001, 40_000, "end")} and time.time() - start < 20
+
+
+def test_marks_hold_all_keys(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k1"))
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("k"), "id")
+    marked = line_dedup._marked(rows, keys, "k", "mark")
+    assert marked.where("id < 5000 and mark").count() == 5000
+    assert marked.where("id >= 5000 and mark").count() < 1000
+    assert not line_dedup._marked(rows, keys.limit(0), "k", "mark").where("mark").count()
