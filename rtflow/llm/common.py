@@ -78,6 +78,11 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def names_besides(columns: list[str], results: tuple[str, ...]) -> list[str]:
+    """The columns that are not called like results, which replace them, whatever the case."""
+    return [c for c in columns if c.lower() not in results]
+
+
 def uniform(*cols: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the columns' values and the seed alone."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))

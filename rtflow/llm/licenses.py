@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rtflow.llm.common import NO_WORD, NO_WORD_ANY_CASE, free_name, kept, text_of, words_between
+from rtflow.llm.common import NO_WORD, NO_WORD_ANY_CASE, free_name, kept, names_besides, text_of, words_between
 
 #: Phrases whose every place counts, and their labels.
 BASE = (
@@ -50,13 +50,13 @@ def lowered(text: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """``(code, template, at)``: each pair of words in each template; a table of fixed, small size."""
+    """``(code, template, at, said)``: each pair of words in each template; a table of fixed, small size."""
     rows = []
     for number, (phrase, _) in enumerate(BASE + NOTICES):
         said = phrase.split()
         rows += [(number, at, said[at], said[at + 1]) for at in range(len(said) - 1)]
     table = spark.createDataFrame(rows, "template int, at int, one string, two string")
-    return table.select(F.xxhash64("one", "two").alias("code"), "template", "at")
+    return table.select(F.xxhash64("one", "two").alias("code"), "template", "at", F.struct("one", "two").alias("said"))
 
 
 def _facts(spark: SparkSession) -> DataFrame:
@@ -73,9 +73,12 @@ def license_spans(docs: DataFrame, key: list[str]) -> DataFrame:
     """
     spark = docs.sparkSession
     words = docs.select(*key, words_between(lowered(text_of()), NO_WORD).alias("words"))
-    codes = F.transform("words", lambda x, i: F.xxhash64(x, F.get("words", i + 1)))
-    pairs = words.select(*key, F.posexplode(codes).alias("place", "code"))
-    hits = pairs.join(F.broadcast(templates(spark)), "code")
+    two = F.transform("words", lambda x, i: F.struct(x.alias("one"), F.get("words", i + 1).alias("two")))
+    pairs = words.select(*key, F.posexplode(two).alias("place", "pair"))
+    pairs = pairs.withColumn("code", F.xxhash64("pair.one", "pair.two"))
+    # Codes find the places, and the words themselves verify them.
+    same = (F.col("pair.one") == F.col("said.one")) & (F.col("pair.two") == F.col("said.two"))
+    hits = pairs.join(F.broadcast(templates(spark)), "code").where(same)
     by = [*key, "template"]
     votes = hits.groupBy(*by, (F.col("place") - F.col("at")).alias("diagonal")).agg(
         F.count_distinct("at").alias("votes"), F.min("place").alias("first"), (F.max("place") + 1).alias("last"), F.collect_set("at").alias("ats")
@@ -96,7 +99,7 @@ def license_spans(docs: DataFrame, key: list[str]) -> DataFrame:
 
 
 def license_report(docs: DataFrame, *keep: str) -> DataFrame:
-    """Each row's columns ``keep`` with what ``license_spans`` finds in its text.
+    """Each row's columns ``keep`` with what ``license_spans`` finds in its text, in place of columns so called.
 
     ``n_words``; ``n_base``, ``first_word``, ``last_word`` (places of base phrases, null if none);
     ``base_labels`` and ``labels`` (distinct, sorted, joined by commas, empty if none); ``score``, the
@@ -118,7 +121,8 @@ def license_report(docs: DataFrame, *keep: str) -> DataFrame:
         F.max("cover").alias("score"),
         F.sort_array(F.collect_list(F.when(stands, F.struct("first", "last", "label")))).alias("spans"),
     )
-    counted = keyed.select(*keep, k1, k2, F.size(words_between(text_of(), NO_WORD_ANY_CASE)).cast("bigint").alias("n_words"))
+    results = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+    counted = keyed.select(*names_besides(list(keep), results), k1, k2, F.size(words_between(text_of(), NO_WORD_ANY_CASE)).cast("bigint").alias("n_words"))
     out = counted.join(kept(found), [k1, k2], "left").drop(k1, k2)
     return out.fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0})
 
