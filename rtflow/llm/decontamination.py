@@ -21,8 +21,8 @@ from rtflow.llm.common import free_name
 from rtflow.llm.pywords import ALNUM, coded, lowered, said, windows
 
 WINDOW = 13
-#: Windows that are broadcast at most, about 250 bytes each on an executor.
-MOST_WINDOWS = 1_000_000
+#: Windows that are broadcast at most, about 760 bytes each in each Python worker (190 MB in all).
+MOST_WINDOWS = 250_000
 #: log2 of the bits of the bitmap that stands for a larger benchmark: 16 MB.
 BITMAP_BITS = 27
 
