@@ -16,40 +16,72 @@ CONTEXT = 24
 
 _KIND = "array<struct<start:int,end:int,said:string,before:string,after:string>>"
 
+#: Numbers that are added up in a row before their sums are.
+BLOCK = 256
+
+
+def _once(value: Column, then) -> Column:
+    """``then(value)``: as an element of an array a value is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _running(numbers: Column) -> Column:
+    """The running sums of an array. Appending copies an array, so it is done within blocks."""
+
+    def sums(values: Column) -> Column:
+        step = lambda out, x: F.concat(out, F.array(F.coalesce(F.get(out, F.size(out) - 1), F.lit(0)) + x))
+        return F.aggregate(values, F.array().cast("array<int>"), step)
+
+    def shifted(blocks: Column) -> Column:
+        ends = sums(F.transform(blocks, lambda block: F.get(block, F.size(block) - 1)))
+        moved = lambda block, i, at: F.transform(block, lambda x: x + F.coalesce(F.get(at, i - 1), F.lit(0)))
+        return _once(ends, lambda at: F.flatten(F.transform(blocks, lambda block, i: moved(block, i, at))))
+
+    def blocked(values: Column) -> Column:
+        n = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), n), lambda b: sums(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
+
+    return _once(numbers, lambda values: _once(blocked(values), shifted))
+
 
 def matches(text: Column, pattern: str, needs: str | None = None, across: bool = False) -> Column:
     """All leftmost matches without overlap: ``start``, ``end`` (code points, end exclusive), ``said``,
     and up to ``CONTEXT`` characters ``before`` and ``after``, which end at the next match; ``before``
-    goes on into the match before if ``across``.
+    goes on into the match before if ``across``, for which matches have ``CONTEXT / 2`` characters or more.
 
-    What stands between matches gives the places: a text is its pieces and matches in turn. Texts
-    without ``needs`` (a plain string) have none and are not searched. ``pattern`` has no capturing
-    groups and matches no empty string.
+    What stands between matches gives the places: a text is its pieces and matches in turn, and where
+    one ends is a running sum. Texts without ``needs`` (a plain string) have none and are not searched.
+    ``pattern`` has no capturing groups and matches no empty string.
     """
     none = F.array().cast(_KIND)
 
-    def placed(found: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            piece, said = F.element_at(state["pieces"], i), F.element_at(found, i)
-            start = state["at"] + F.length(piece)
-            before = F.right(F.concat(state["tail"], piece), F.lit(CONTEXT))
-            one = F.struct(
-                start.alias("start"),
-                (start + F.length(said)).alias("end"),
+    def placed(all_: Column) -> Column:
+        found, pieces, ends = all_["found"], all_["pieces"], all_["ends"]
+
+        def one(said: Column, i: Column) -> Column:
+            before = F.get(pieces, i)
+            if across:
+                near = [F.get(found, i - 2), F.get(pieces, i - 1), F.get(found, i - 1)]
+                before = F.concat(*[F.coalesce(x, F.lit("")) for x in near], before)
+            return F.struct(
+                (F.get(ends, i) - F.length(said)).alias("start"),
+                F.get(ends, i).alias("end"),
                 said.alias("said"),
-                before.alias("before"),
-                F.left(F.element_at(state["pieces"], i + 1), F.lit(CONTEXT)).alias("after"),
+                F.right(before, F.lit(CONTEXT)).alias("before"),
+                F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("after"),
             )
-            out = F.concat(state["out"], F.array(one))
-            tail = F.right(F.concat(before, said), F.lit(CONTEXT)) if across else F.lit("")
-            return F.struct(state["pieces"].alias("pieces"), (start + F.length(said)).alias("at"), tail.alias("tail"), out.alias("out"))
 
-        start = F.struct(F.split(text, pattern).alias("pieces"), F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
-        walk = F.aggregate(F.sequence(F.lit(1), F.size(found)), start, step, lambda s: s["out"])
-        return F.when(F.size(found) > 0, walk).otherwise(none)
+        return F.transform(found, one)
+
+    def ended(two: Column) -> Column:
+        lengths = F.zip_with(two["found"], F.slice(two["pieces"], F.lit(1), F.size(two["found"])), lambda x, y: F.length(x) + F.length(y))
+        return F.struct(two["found"].alias("found"), two["pieces"].alias("pieces"), _running(lengths).alias("ends"))
+
+    def searched(found: Column) -> Column:
+        two = F.struct(found.alias("found"), F.split(text, pattern).alias("pieces"))
+        return F.when(F.size(found) > 0, _once(two, lambda x: _once(ended(x), placed))).otherwise(none)
 
-    # As an element of an array the matches are searched once, however often they are used.
-    some = F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed), 1)
+    some = _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), searched)
     return some if needs is None else F.when(F.contains(text, F.lit(needs)), some).otherwise(none)
 
 

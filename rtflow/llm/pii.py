@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rtflow.llm.candidates import count, matches, scored, share, trained
-from rtflow.llm.common import kept, text_of
+from rtflow.llm.common import kept, names_besides, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, written so that each text is read in linear time: a match begins where no run of
@@ -112,16 +112,19 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` without ``text`` but with ``base`` and ``spans``, arrays of ``{start, kind, end}``.
+    """``docs`` without ``text`` but with ``base`` and ``spans``, arrays of ``{start, kind, end}``, in
+    place of columns so called.
 
     Places are in code points, ends exclusive; ``kind`` is a place in ``KINDS``; arrays are sorted by
     start, kind, end. A null or empty text has none. Repeated rows have their own results. Without
     labelled candidates of both labels nothing is learnt, and ``spans`` are the base.
     """
     rid = F.monotonically_increasing_id().alias("rid_")
-    others = [c for c in docs.columns if c != "text"]
+    others = names_besides(docs.columns, ("text", "base", "spans"))
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
+    mine = [F.col(f"row_.`{c}`") for c in others]
     # The texts are read once; the table holds each row's number, so that later steps agree on it.
-    table = kept(docs.select(rid, F.struct(*others).alias("row_") if others else F.lit(None).alias("row_"), base_spans(text_of()).alias("base"), proposals(text_of()).alias("proposed")))
+    table = kept(docs.select(rid, row.alias("row_"), base_spans(text_of()).alias("base"), proposals(text_of()).alias("proposed")))
     hold = F.filter("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
     rows = table.select("rid_", "base", F.explode("proposed").alias("c"))
     rows = rows.withColumn("based", F.size(hold) > 0).select("rid_", "based", "c.*").distinct()
@@ -131,7 +134,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     labelled = rows.withColumn("label", F.when(F.col("based"), 1).when(wrong, 0))
     model = trained(GBTClassifier(maxIter=8, maxDepth=3, seed=3), labelled, FEATURES, SAMPLE, ("kind",))
     if model is None:
-        return table.select("row_.*", "base", F.col("base").alias("spans"))
+        return table.select(*mine, "base", F.col("base").alias("spans"))
     judged = kept(scored(model, labelled, FEATURES).select("rid_", "kind", "start", "end", "based", "label", "p"))
     places = F.least(F.floor(F.col("p") * CLASSES), F.lit(CLASSES - 1))
     counts = judged.where("label is not null").groupBy("kind", places.alias("at")).agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n"))
@@ -148,8 +151,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     # What overlaps a base span of its kind says nothing new.
     chosen = judged.where(passes & ~F.col("based")).groupBy("rid_").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
     whole = table.join(chosen, "rid_", "left")
-    spans = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    return whole.select("row_.*", "base", spans.alias("spans"))
+    # Neither has a span twice, and what is chosen overlaps no base span of its kind.
+    spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    return whole.select(*mine, "base", spans.alias("spans"))
 
 
 def written(spans: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rtflow.llm.candidates import count, matches, scored, share, trained
-from rtflow.llm.common import kept, text_of
+from rtflow.llm.common import kept, names_besides, text_of
 
 #: What a candidate looks like: ``=`` ends one as padding, and stands before one as in ``NAME=value``.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:={1,2}+(?![\"'`]?[A-Za-z0-9+/=_-]))?+"
@@ -83,7 +83,7 @@ def _label() -> Column:
 
 
 def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without ``text``, with ``n_candidates``, ``secrets`` and ``score``.
+    """``docs`` without ``text``, with ``n_candidates``, ``secrets`` and ``score`` in place of columns so called.
 
     ``secrets`` are ``{start, end, p}`` in code points, end exclusive, sorted; ``score`` is the
     greatest probability of a candidate, 0 if there is none. A null or empty text has no candidates.
@@ -91,8 +91,8 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stand, with probability 1.
     """
     rid = F.monotonically_increasing_id().alias("rid_")
-    others = [c for c in docs.columns if c != "text"]
-    row = F.struct(*others) if others else F.lit(None)
+    others = names_besides(docs.columns, ("text", "n_candidates", "secrets", "score"))
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
     table = kept(docs.select(rid, row.alias("row_"), matches(text_of(), CANDIDATE, across=True).alias("found")))
     rows = kept(_features(table.select("rid_", F.inline("found"))).withColumn("label", _label()))
     model = trained(RandomForestClassifier(numTrees=20, maxDepth=6, seed=5), rows, FEATURES, SAMPLE)
@@ -103,7 +103,7 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     whole = table.select("rid_", "row_", F.size("found").cast("bigint").alias("n_candidates")).join(by, "rid_", "left")
     none = F.array().cast("array<struct<start:int,end:int,p:double>>")
-    return whole.select("row_.*", "n_candidates", F.coalesce("secrets", none).alias("secrets"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return whole.select(*[F.col(f"row_.`{c}`") for c in others], "n_candidates", F.coalesce("secrets", none).alias("secrets"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def op6_secret_scans(spark, sf_dir: str) -> DataFrame:

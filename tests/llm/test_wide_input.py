@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import re
 import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from rtflow.llm import fingerprints, line_dedup
+from rtflow.llm import fingerprints, licenses, line_dedup, pii, secrets
+from rtflow.llm.candidates import matches
 
 BIG = 1 << 60
 
@@ -103,3 +105,53 @@ def test_marks_hold_all_keys(spark):
     assert marked.where("id < 5000 and mark").count() == 5000
     assert marked.where("id >= 5000 and mark").count() < 1000
     assert not line_dedup._marked(rows, keys.limit(0), "k", "mark").where("mark").count()
+
+
+def _plain(text, pattern, across):
+    """Matches of a pattern without possessive parts, by Python's own search."""
+    out, last = [], 0
+    found = list(re.finditer(pattern, text))
+    for i, m in enumerate(found):
+        after = text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)]
+        out.append((m.start(), m.end(), m.group(), text[0 if across else last : m.start()][-24:], after[:24]))
+        last = m.end()
+    return out
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_matches_are_placed(spark, across):
+    pattern = "[0-9a-f]{16,}" if across else "[0-9]+"
+    rng = random.Random(2)
+    texts = ["", "no", "7" * 30, None] + ["".join(rng.choice(["é😀", "x y ", "123", "9" * 17, " ", "long words between them all "]) for _ in range(n)) for n in (1, 5, 60, 3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = df.select("id", matches(F.coalesce("text", F.lit("")), pattern, across=across).alias("m")).collect()
+    for r in got:
+        assert [tuple(m) for m in r.m] == _plain(texts[r.id] or "", pattern, across)
+
+
+def test_time_of_one_text_of_many_numbers(spark):
+    text = " ".join(str(i % 9973) for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "a 1")], "id int, text string")
+    df.select(F.size(pii.base_spans(F.col("text")))).collect()
+    start = time.time()
+    got = dict(df.select("id", F.size(matches(F.col("text"), "[0-9]+"))).collect())
+    df.select(F.size(pii.base_spans(F.col("text")))).collect()
+    assert got == {1: 100_000, 2: 1} and time.time() - start < 10
+
+
+def test_results_replace_columns_of_their_names(spark):
+    text = "MIT License. mail a.b@example.org token: ghp_" + "a1B2" * 9
+    df = spark.createDataFrame([(1, text, "x")], "doc_id bigint, text string, score string")
+    for name in ("Spans", "base", "n_candidates", "secrets", "labels", "N_WORDS", "row_", "a.b"):
+        df = df.withColumn(name, F.lit("old"))
+    found = secrets.find_secrets(df)
+    assert found.columns == ["doc_id", "Spans", "base", "labels", "N_WORDS", "row_", "a.b", "n_candidates", "secrets", "score"]
+    assert found.first()["n_candidates"] == 1
+    found = pii.find_pii(df)
+    assert found.columns == ["doc_id", "score", "n_candidates", "secrets", "labels", "N_WORDS", "row_", "a.b", "base", "spans"]
+    assert len(found.first()["base"]) == 1
+    found = licenses.license_report(df, "doc_id", "score", "Spans", "N_WORDS", "row_")
+    row = found.first()
+    assert len(found.columns) == len({c.lower() for c in found.columns}) and (row["labels"], row["row_"], row["score"]) == ("mit", "old", 1.0)
+    only = df.select("text")
+    assert [secrets.find_secrets(only).count(), pii.find_pii(only).count(), licenses.license_report(only).count()] == [1, 1, 1]
