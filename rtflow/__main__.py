@@ -28,6 +28,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--join-salt", type=int, default=1)
     parser.add_argument("--offset-hours", type=int, default=0, help="move times written as text by these hours")
     parser.add_argument("--watermark", default=WATERMARK_DELAY)
+    parser.add_argument("--idle", metavar="INTERVAL", help="let the watermark of silent inputs follow the clock so far behind")
     parser.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="for tables and topics")
     args = parser.parse_args(arguments)
 
@@ -37,7 +38,7 @@ def main(arguments: list[str] | None = None) -> None:
     specs = json.loads(Path(args.tables).read_text(encoding="utf-8"))
     specs = [{**spec, "options": {**shared, **(spec.get("options") or {})}} for spec in specs]
     jobs = load_jobs(spark, args.jobs)
-    tables = load_tables(spark, specs, args.watermark, streaming=args.mode != "batch")
+    tables = load_tables(spark, specs, args.watermark, streaming=args.mode != "batch", idle=args.idle)
     stored = {"storages": True, "options": shared}
     common = {"null_fill": args.null_fill, "join_salt": args.join_salt, "offset_hours": args.offset_hours}
     if args.mode == "batch":

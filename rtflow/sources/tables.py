@@ -46,15 +46,33 @@ class TableSpec:
         return spec
 
 
-def with_event_time(df: DataFrame, time_column: str = EVENT_TIME, delay: str = WATERMARK_DELAY) -> DataFrame:
+def with_event_time(
+    df: DataFrame, time_column: str = EVENT_TIME, delay: str = WATERMARK_DELAY, idle: str | None = None
+) -> DataFrame:
     """Put the event time first, as ``event_time TIMESTAMP``, and set the watermark on it.
 
     A zone-less timestamp is read in the session time zone, as ``withWatermark`` needs an instant.
     On a batch DataFrame the watermark has no effect and Spark drops it.
+
+    Spark's watermark is the least of all inputs', so a silent input holds back what it is joined with.
+    With ``idle`` (an interval such as ``10 seconds``) a stream's watermark follows the clock at least
+    that far behind, and the delay, whether or not events come. It is for inputs whose event times follow
+    the clock: events older than ``idle`` and the delay are late, so a replay of the past needs none.
     """
     rest = [F.col(f"`{c}`") for c in df.columns if c not in (time_column, EVENT_TIME)]
     timed = df.select(F.col(f"`{time_column}`").cast("timestamp").alias(EVENT_TIME), *rest)
-    return timed.withWatermark(EVENT_TIME, delay)
+    if idle is None or not df.isStreaming:
+        return timed.withWatermark(EVENT_TIME, delay)
+    # Heartbeats of one row a second pass the watermark and are left out above it. Spark pushes conditions
+    # below a watermark, where they would take the heartbeats away, unless they depend on the event time:
+    # so all columns do.
+    clock = df.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    beats = clock.select((F.col("timestamp") - F.expr(f"INTERVAL {idle}")).alias(EVENT_TIME))
+    known = timed.withColumn("__real", F.col(EVENT_TIME))
+    both = known.unionByName(beats, allowMissingColumns=True).withWatermark(EVENT_TIME, delay)
+    real = F.col("__real").eqNullSafe(F.col(EVENT_TIME))
+    columns = [F.when(real, F.col(f"`{c}`")).alias(c) for c in timed.columns if c != EVENT_TIME]
+    return both.where(real).select(EVENT_TIME, *columns)
 
 
 def stream_topic(
@@ -64,6 +82,7 @@ def stream_topic(
     options: Mapping,
     delay: str = WATERMARK_DELAY,
     streaming: bool = True,
+    idle: str | None = None,
 ) -> DataFrame:
     """Read JSON records of a Kafka topic, from the earliest offset unless ``options`` say otherwise.
 
@@ -74,7 +93,7 @@ def stream_topic(
         raise ValueError(f"topic {topic!r}: option kafka.bootstrap.servers is missing")
     reader = (spark.readStream if streaming else spark.read).format("kafka")
     records = reader.option("startingOffsets", "earliest").options(**options).option("subscribe", topic).load()
-    return with_event_time(decode_json(records.select(F.col("value").cast("string")), struct), delay=delay)
+    return with_event_time(decode_json(records.select(F.col("value").cast("string")), struct), delay=delay, idle=idle)
 
 
 def stream_files(
@@ -85,6 +104,7 @@ def stream_files(
     options: Mapping | None = None,
     time_column: str = EVENT_TIME,
     delay: str = WATERMARK_DELAY,
+    idle: str | None = None,
 ) -> DataFrame:
     """Follow a directory of files: ``json`` lines are decoded like topic records, other formats as typed.
 
@@ -96,7 +116,7 @@ def stream_files(
         df = decode_json(reader.format("text").load(path), schema)
     else:
         df = reader.format(fmt).schema(to_struct(schema)).load(path)
-    return with_event_time(df, time_column, delay)
+    return with_event_time(df, time_column, delay, idle)
 
 
 def read_files(
@@ -144,12 +164,19 @@ def _as_declared(df: DataFrame, struct: T.StructType) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in struct.fields])
 
 
-def load(spark: SparkSession, spec: TableSpec | Mapping, delay: str = WATERMARK_DELAY, streaming: bool = True) -> DataFrame:
+def load(
+    spark: SparkSession,
+    spec: TableSpec | Mapping,
+    delay: str = WATERMARK_DELAY,
+    streaming: bool = True,
+    idle: str | None = None,
+) -> DataFrame:
     """Load a table as its spec says.
 
     ``storages`` has one of ``{"kafka": {"topic": T}}`` for streams, ``{"mysql": {"table": T}}`` or
     ``{"jdbc": {"table": T}}`` for static tables, or ``{"files": {"path": P, "format": F}}`` for
-    either. With ``streaming=False`` a stream is read once, as a batch.
+    either. With ``streaming=False`` a stream is read once, as a batch. ``idle`` is as in
+    :func:`with_event_time`.
     """
     spec = spec if isinstance(spec, TableSpec) else TableSpec.from_dict(spec)
     files = spec.storages.get("files")
@@ -162,16 +189,20 @@ def load(spark: SparkSession, spec: TableSpec | Mapping, delay: str = WATERMARK_
     elif files:
         fmt = files.get("format", "json")
         if streaming:
-            return stream_files(spark, files["path"], spec.schema, fmt, spec.options, delay=delay)
+            return stream_files(spark, files["path"], spec.schema, fmt, spec.options, delay=delay, idle=idle)
         return with_event_time(read_files(spark, files["path"], fmt, spec.schema, spec.options), delay=delay)
     elif "kafka" in spec.storages:
         topic = spec.storages["kafka"]["topic"]
-        return stream_topic(spark, topic, spec.schema, spec.options, delay, streaming)
+        return stream_topic(spark, topic, spec.schema, spec.options, delay, streaming, idle)
     raise ValueError(f"table {spec.table_id!r}: no usable storage in {sorted(spec.storages)} for a {spec.table_type} table")
 
 
 def load_tables(
-    spark: SparkSession, specs: Iterable[TableSpec | Mapping], delay: str = WATERMARK_DELAY, streaming: bool = True
+    spark: SparkSession,
+    specs: Iterable[TableSpec | Mapping],
+    delay: str = WATERMARK_DELAY,
+    streaming: bool = True,
+    idle: str | None = None,
 ) -> dict[str, FlowTable]:
     """Load every table once, by its id."""
     tables: dict[str, FlowTable] = {}
@@ -179,5 +210,5 @@ def load_tables(
         spec = record if isinstance(record, TableSpec) else TableSpec.from_dict(record)
         if spec.table_id in tables:
             raise ValueError(f"table {spec.table_id!r} is declared twice")
-        tables[spec.table_id] = FlowTable(load(spark, spec, delay, streaming), static=spec.table_type == STATIC)
+        tables[spec.table_id] = FlowTable(load(spark, spec, delay, streaming, idle), static=spec.table_type == STATIC)
     return tables
