@@ -254,6 +254,26 @@ def stream_join(how: str, size: int = 21600, where: str = "") -> list[dict]:
     ]
 
 
+#: Every second user is unknown.
+KNOWN = "case when user_id % 2 = 0 then user_id end as user_id"
+
+
+def null_keys(how: str) -> list[dict]:
+    """A join of purchases, half of them without a key, with clicks."""
+    known = f"select {KNOWN}, event_id, value from events where event_type = 'purchase'"
+    return [job("purchases", ["events"], known), SIDES[1], stream_join(how)[-1]]
+
+
+def static_null_keys(how: str) -> list[dict]:
+    """Look customers up by a key that half of the events lack."""
+    found = (
+        "select e.event_id, e.user_id, e.value, c.c_name, c.c_nationkey "
+        f"from known e {how} join customer c on e.user_id = c.c_custkey"
+    )
+    known = job("known", ["events"], f"select event_id, {KNOWN}, value from events")
+    return [known, job("looked_up", ["known", "customer"], found)]
+
+
 def static_join(how: str, where: str = "") -> list[dict]:
     """Look up customers; the left join does so by a key of which only some are customers."""
     key = "event_id" if how == "left" else "user_id"

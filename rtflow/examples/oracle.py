@@ -78,19 +78,25 @@ def _session(columns: str, gap: int, key: str = "", having: str = "TRUE") -> str
     )
 
 
-def _side(kind: str, size: int) -> str:
+#: Fixed value: the key of joins that half of the rows lack.
+_KNOWN = "CASE WHEN user_id % 2 = 0 THEN user_id END"
+
+
+def _side(kind: str, size: int, key: str = "user_id") -> str:
     return (
-        f"(SELECT user_id, event_id, value, props, {_bucket('ts', size)} AS w FROM events WHERE event_type = '{kind}')"
+        f"(SELECT {key} AS user_id, event_id, value, props, {_bucket('ts', size)} AS w FROM events WHERE event_type = '{kind}')"
     )
 
 
-def _stream_join(how: str, size: int = 21600, where: str = "TRUE", click_user: str = "b.user_id") -> str:
+def _stream_join(
+    how: str, size: int = 21600, where: str = "TRUE", click_user: str = "b.user_id", key: str = "user_id"
+) -> str:
     left = how != "right"
     side = "a" if left else "b"
     return (
         f"SELECT {_times(f'{side}.w', f'({side}.w + INTERVAL {size} SECOND)')}, "
         f"a.user_id, a.event_id AS purchase_id, a.value, {click_user} AS click_user, b.event_id AS click_id "
-        f"FROM {_side('purchase', size)} AS a {how} JOIN {_side('click', size)} AS b "
+        f"FROM {_side('purchase', size, key)} AS a {how} JOIN {_side('click', size)} AS b "
         f"ON a.w = b.w AND a.user_id = b.user_id WHERE {where}"
     )
 
@@ -102,11 +108,11 @@ _JOIN_WATERMARK = (
 )
 
 
-def _closed_join(how: str) -> str:
+def _closed_join(how: str, key: str = "user_id") -> str:
     """Matches are written at once, misses when their window closes."""
     missing = "click_id" if how == "left" else "purchase_id"
     return (
-        f"SELECT * FROM ({_stream_join(how)}) AS j "
+        f"SELECT * FROM ({_stream_join(how, key=key)}) AS j "
         f"WHERE {missing} IS NOT NULL OR event_time <= {_JOIN_WATERMARK}"
     )
 
@@ -130,6 +136,15 @@ def _static_join(how: str, fill: bool = False) -> str:
     )
 
 
+def _static_null_keys() -> str:
+    events = f"(SELECT event_time, event_id, {_KNOWN} AS user_id, value FROM {EVENTS} AS x)"
+    return (
+        f"SELECT {_times('e.event_time', 'e.event_time', 'e.event_time')}, e.event_id, e.user_id, "
+        f"round(e.value, 6) AS value, c.c_name, c.c_nationkey FROM {events} AS e LEFT JOIN customer AS c "
+        "ON e.user_id = c.c_custkey"
+    )
+
+
 def _sum(column: str, name: str) -> str:
     return f"CAST(sum({column}) AS BIGINT) AS {name}"
 
@@ -386,6 +401,9 @@ def oracle_sql() -> dict[str, str]:
         "ss_join_right": _stream_join("right"),
         "ss_join_salted": _stream_join("left"),
         "ss_join_where": _stream_join("left", where="a.value > 20 AND b.event_id IS NULL"),
+        "ss_join_null_keys": _stream_join("left", key=_KNOWN),
+        "ss_join_null_keys_right": _stream_join("right", key=_KNOWN),
+        "static_join_null_keys": _static_null_keys(),
         "static_join_inner": _static_join("INNER"),
         "static_join_left": _static_join("LEFT"),
         "static_join_many": _tumble(
@@ -441,6 +459,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_join_left": _closed_join("left"),
         "stream_join_right": _closed_join("right"),
         "stream_join_salted": _closed_join("right"),
+        "stream_join_null_keys": _closed_join("left", _KNOWN),
+        "stream_static_join_null_keys": _static_null_keys(),
         "stream_static_join_inner": _static_join("INNER"),
         "stream_static_join_left": _static_join("LEFT", fill=True),
         "stream_chain_tumble_tumble": _closed(two_hours),

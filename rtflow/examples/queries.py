@@ -277,6 +277,9 @@ def queries() -> dict[str, Query]:
         "ss_join_right": _flow(flows.stream_join("right")),
         "ss_join_salted": _flow(flows.stream_join("left"), join_salt=4),
         "ss_join_where": _flow(flows.stream_join("left", where="where a.value > 20 and b.event_id is null")),
+        "ss_join_null_keys": _flow(flows.null_keys("left")),
+        "ss_join_null_keys_right": _flow(flows.null_keys("right")),
+        "static_join_null_keys": _flow(flows.static_null_keys("left")),
         "static_join_inner": _flow(flows.static_join("inner")),
         "static_join_left": _flow(flows.static_join("left")),
         "static_join_many": _flow(flows.STATIC_MANY),
@@ -316,6 +319,8 @@ def queries() -> dict[str, Query]:
         "stream_join_left": _flow(flows.stream_join("left"), stream=True),
         "stream_join_right": _flow(flows.stream_join("right"), stream=True),
         "stream_join_salted": _flow(flows.stream_join("right"), stream=True, join_salt=4),
+        "stream_join_null_keys": _flow(flows.null_keys("left"), stream=True),
+        "stream_static_join_null_keys": _flow(flows.static_null_keys("left"), stream=True),
         "stream_static_join_inner": _flow(flows.static_join("inner"), stream=True),
         "stream_static_join_left": _flow(flows.static_join("left"), stream=True, null_fill="text"),
         "stream_chain_tumble_tumble": _flow(flows.CHAIN_TUMBLE_TUMBLE, stream=True),

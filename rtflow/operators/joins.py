@@ -17,6 +17,9 @@ INNER, LEFT, RIGHT = "inner", "left", "right"
 _HOW = (INNER, LEFT, RIGHT)
 _FILLS = ("sql", "text")
 
+#: Tasks' worth of state that kept rows with a null key are spread over, as they meet no other row.
+NULL_SPREAD = 1024
+
 #: Fixed value: the text that stands for a missing match with ``null_fill="text"``.
 NULL_TEXT = "NULL"
 
@@ -61,7 +64,8 @@ def join_windowed(
     The window is part of the join key, so even one dominating key is spread over its windows. In
     batch, AQE splits what skew is left. Stateful streaming joins are out of AQE's reach: ``salt``
     splits every key of a window over that many tasks, at the price of keeping the other side's
-    rows ``salt`` times.
+    rows ``salt`` times. Rows with a null key that an outer join keeps are always spread, in batch and in
+    streams: they match nothing, so nothing is repeated for them.
     """
     if left.static or right.static:
         raise ValueError("a windowed join needs two streams")
@@ -87,6 +91,9 @@ def join_windowed(
         sides.append(df.withColumn(f"__{tag}m", F.lit(True)))
     lhs, rhs = sides
     on = (F.col("__lw") == F.col("__rw")) & (F.col("__lk") == F.col("__rk"))
+    if spec.how != INNER:
+        lhs, rhs = _nulls_spread(lhs, rhs, spec, select)
+        on = on & (F.col("__ln") == F.col("__rn"))
     if salt > 1:
         lhs, rhs = _salted(lhs, rhs, salt, spec, select)
         on = on & (F.col("__ls") == F.col("__rs"))
@@ -136,6 +143,9 @@ def join_static(
     left_key, right_key = _keys(stream.df, static.df, spec)
     on = left_key == right_key
     _check_salt(salt)
+    if spec.how == LEFT and stream.streaming:  # in batch AQE splits them, or nothing is shuffled
+        lhs, rhs = _nulls_spread(lhs.withColumn("__lk", left_key), rhs.withColumn("__rk", right_key), spec, select)
+        on = on & (F.col("__ln") == F.col("__rn"))
     if salt > 1:
         lhs, rhs = _salted(lhs, rhs, salt, spec, select)
         on = on & (F.col("__ls") == F.col("__rs"))
@@ -176,6 +186,29 @@ def _check_salt(salt: int) -> None:
         raise ValueError("salt must be at least 1")
 
 
+def _content(df: DataFrame, name: str, key: str, select: Iterable[str | Item]) -> list[Column]:
+    """The event time, the key and the columns that the join reads anyway, so a hash of them costs no reading."""
+    wanted = {key, EVENT_TIME, *((plain_column(expression) or (None, ""))[1] for expression, _ in select_items(select))}
+    return [F.col(_quoted(name, c)) for c in df.columns if c in wanted]
+
+
+def _nulls_spread(
+    lhs: DataFrame, rhs: DataFrame, spec: JoinSpec, select: Iterable[str | Item]
+) -> tuple[DataFrame, DataFrame]:
+    """Add ``__ln`` and ``__rn`` to the join key: 0, but for rows of the kept side whose key is null.
+
+    Those would all meet in one task of a window. The other side's 0 is written so that Spark does not
+    know it as a constant, which it would put into the condition instead of the column.
+    """
+    kept = {LEFT: ("l", lhs, spec.names[0], spec.left_key), RIGHT: ("r", rhs, spec.names[1], spec.right_key)}[spec.how]
+    tag, df, name, key = kept
+    place = F.pmod(F.xxhash64(*_content(df, name, key, select)), F.lit(NULL_SPREAD)).cast("int")
+    spread = df.withColumn(f"__{tag}n", F.when(F.col(f"__{tag}k").isNull(), place).otherwise(F.lit(0)))
+    if tag == "l":
+        return spread, rhs.withColumn("__rn", F.pmod(F.hash("__rk"), F.lit(1)))
+    return lhs.withColumn("__ln", F.pmod(F.hash("__lk"), F.lit(1))), spread
+
+
 def _salted(
     lhs: DataFrame, rhs: DataFrame, salt: int, spec: JoinSpec, select: Iterable[str | Item]
 ) -> tuple[DataFrame, DataFrame]:
@@ -187,13 +220,10 @@ def _salted(
     it; rows that are equal in all of those stay together.
     """
     how = spec.how
-    chosen = {(plain_column(expression) or (None, ""))[1] for expression, _ in select_items(select)}
 
     def spread(df: DataFrame, tag: str) -> DataFrame:
         name, key = (spec.names[1], spec.right_key) if how == RIGHT else (spec.names[0], spec.left_key)
-        wanted = {*chosen, key, EVENT_TIME}
-        content = [F.col(_quoted(name, c)) for c in df.columns if c in wanted]
-        return df.withColumn(tag, F.pmod(F.xxhash64(*content), F.lit(salt)).cast("int"))
+        return df.withColumn(tag, F.pmod(F.xxhash64(*_content(df, name, key, select)), F.lit(salt)).cast("int"))
 
     def repeated(df: DataFrame, tag: str) -> DataFrame:
         return df.withColumn(tag, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))

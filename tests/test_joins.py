@@ -189,3 +189,40 @@ def test_a_table_is_not_read_over_jdbc_in_one_task_unasked(spark):
     for options in ({}, {"numPartitions": "8"}):
         with pytest.raises(ValueError, match="partitionColumn"):
             read_jdbc(spark, "t", None, {"url": "jdbc:mysql://nowhere/x", **options})
+
+
+@pytest.mark.parametrize("how", ["left", "right"])
+@pytest.mark.parametrize("streaming", [False, True])
+def test_null_keys_are_spread(spark, tmp_path, how, streaming):
+    """Kept rows with a null key are in many partitions of the join, and the others where they were."""
+    rows = [(i % 10, None if i % 2 else "p", i) for i in range(400)]
+    a, b = helpers.table(spark, rows, LEFT), helpers.table(spark, [(1, "p", "P", 1.0)], RIGHT)
+    if streaming:
+        a, b = helpers.as_stream(spark, a, tmp_path / "a"), helpers.as_stream(spark, b, tmp_path / "b")
+    tables, join = (FlowTable(a), FlowTable(b)), JoinSpec("ta", "tb", "k", "key", "left", "a", "b")
+    if how == "right":
+        tables, join = tables[::-1], JoinSpec("tb", "ta", "key", "k", "right", "b", "a")
+    out = join_windowed(*tables, join, ["a.v", "a.k", "b.w"], 10).df
+    if streaming:
+        later = helpers.table(spark, [(100, "z", -1)], LEFT), helpers.table(spark, [(100, "y", "Y", 0.0)], RIGHT)
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert "__ln" in plan and "__rn" in plan
+        assert run_available(out, str(tmp_path / "run")).where("k is null").count() == 0  # the window is open
+        for df, name in zip(later, "ab"):
+            df.write.mode("append").parquet(str(tmp_path / name))
+        out = run_available(out, str(tmp_path / "run"))
+        got = [(r.v, r.k, r.w) for r in out.collect()]
+    else:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", False)
+        try:
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            got = [(r.v, r.k, r.w) for r in out.collect()]
+            parts = out.where("k is null").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        assert "__ln" in plan and "__rn" in plan
+        assert sum(parts) == 200 and max(parts) < 120
+    want = [(i, None if i % 2 else "p", None if i % 2 else "P") for i in range(400)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
