@@ -9,7 +9,9 @@ pivots and with parity bitmaps, an embedding that never lengthens the size of a
 what the bitmaps' distance rules out can't link, and what they leave is compared by whole sets.
 
 Only components are asked for, so a region hands on a spanning forest of its near pairs, never all of
-them. When those are verified, pairs between different components are looked for once more.
+them. When those are verified, regions are searched once more for documents that are near one of
+another component. The whole sets of those go into their regions, where pairs are verified at once, and
+a spanning forest of the links is handed on.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType
@@ -33,6 +35,10 @@ SHINGLE, PERCENT = 4, 85
 COUNTERS = 17
 #: Documents of a region that are compared in one task; larger regions are cut in blocks of them.
 BLOCK = 2048
+#: Bytes of whole sets that a block holds on average, where sets go into regions.
+BLOCK_BYTES = 1 << 25
+#: Bits for a shingle, at least, in bitmaps that go into regions, and in those of whole sets inside one.
+BITS, FINE = 2, 32
 #: log2 of the bits of the filter for documents whose sets are asked for; fixed as well.
 FILTER = 24
 #: Links, or a batch more, that a task contracts at a time.
@@ -62,12 +68,13 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def parity_bits(found: np.ndarray) -> bytes:
+def parity_bits(found: np.ndarray, each: int = BITS) -> bytes:
     """A bit for each class of codes: whether an odd number of the set is in it.
 
-    There are four bits for a shingle at least, so that few classes hold two that differ.
+    There are ``each`` bits for a shingle at least. Of two sets near the bound few classes hold two
+    codes that differ: at 0.85 and two bits, what is below 0.83 is mostly ruled out.
     """
-    m = max(64, 1 << (4 * len(found) - 1).bit_length())
+    m = max(64, 1 << (each * len(found) - 1).bit_length())
     odd = np.bincount((found & np.uint64(m - 1)).astype(_INT), minlength=m) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -184,58 +191,119 @@ def _forest(region: _Set, component: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _between(region: _Set, component: np.ndarray) -> list[tuple[int, int]]:
-    """All near pairs between different components."""
+def _apart(region: _Set, component: np.ndarray) -> np.ndarray:
+    """The documents that are near one of another component."""
     names, sizes = np.unique(component, return_counts=True)
-    out = []
+    marked = np.zeros(len(component), bool)
     if len(names) > 1:
         everyone, largest = np.arange(len(component)), names[np.argmax(sizes)]
         for i in np.flatnonzero(component != largest).tolist():
             others = everyone[(component != component[i]) & ((component == largest) | (everyone > i))]
-            out += [(i, int(j)) for j in region.near(i, others)]
+            got = region.near(i, others)
+            if len(got):
+                marked[i] = marked[got] = True
+    return np.flatnonzero(marked)
+
+
+def _linked(found: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect whatever components links of these sets connect, each verified."""
+    region = _Set(np.array([len(x) for x in found], _INT), [parity_bits(x, FINE) for x in found], percent)
+    everyone, out = np.arange(len(found)), []
+    for i in everyone[:-1].tolist():
+        others = everyone[i + 1 :]
+        for j in region.near(i, others[component[others] != component[i]]).tolist():
+            if component[j] != component[i] and _links_to(found[i], found[j], percent):
+                component[component == component[j]] = component[i]
+                out.append((i, j))
     return out
 
 
 _PAIR = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
 
 
-def _near_pairs(batches: Iterator[pa.RecordBatch], across: bool, percent: int) -> Iterator[pa.RecordBatch]:
-    """Go through regions that come one after the other, each whole."""
-
-    def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
-        if len(rows) < 2:
-            return None
-        k1, k2, n, bits, component = zip(*rows, strict=True)
-        region = _Set(np.array(n, _INT), list(bits), percent)
-        found = (_between if across else _forest)(region, np.array(component))
-        if not found:
-            return None
-        ends = [sorted([(k1[i], k2[i]), (k1[j], k2[j])]) for i, j in found]
-        columns = [[e[x][y] for e in ends] for x in (0, 1) for y in (0, 1)]
-        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["a1", "a2", "b1", "b2"])
-
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Regions ``(pivot, i, j)`` of two documents or more that come one after the other, each whole."""
     at, rows = None, []
     for batch in batches:
         names = batch.schema.names
         for row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
             if row[:3] != at:
-                if (done := pairs(rows)) is not None:
-                    yield done
+                if len(rows) > 1:
+                    yield at, rows
                 at, rows = row[:3], []
             rows.append(row[3:])
-    if (done := pairs(rows)) is not None:
-        yield done
+    if len(rows) > 1:
+        yield at, rows
+
+
+def _near_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Each region's forest of near pairs."""
+    for _, rows in _regions(batches):
+        k1, k2, n, bits, component = zip(*rows, strict=True)
+        found = _forest(_Set(np.array(n, _INT), list(bits), percent), np.array(component))
+        if found:
+            ends = [sorted([(k1[i], k2[i]), (k1[j], k2[j])]) for i, j in found]
+            columns = [[e[x][y] for e in ends] for x in (0, 1) for y in (0, 1)]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["a1", "a2", "b1", "b2"])
+
+
+_MEMBER = "pivot bigint, k1 bigint, k2 bigint, n bigint, component bigint"
+
+
+def _near_others(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Each region's documents that are near one of another component."""
+    for (pivot, _, _), rows in _regions(batches):
+        k1, k2, n, bits, component = [np.array(x, _INT) if k != 3 else x for k, x in enumerate(zip(*rows, strict=True))]
+        found = _apart(_Set(n, list(bits), percent), component)
+        if len(found):
+            columns = [np.full(len(found), pivot), k1[found], k2[found], n[found], component[found]]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["pivot", "k1", "k2", "n", "component"])
+
+
+def _links_inside(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Each region's forest of links, from whole sets."""
+    for _, rows in _regions(batches):
+        k1, codes, component = zip(*rows, strict=True)
+        found = _linked([np.frombuffer(c, np.uint64) for c in codes], np.array(component), percent)
+        if found:
+            columns = [[k1[pair[x]] for pair in found] for x in (0, 1)]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["u", "v"])
 
 
-def _candidates(cells: DataFrame, bits: DataFrame, across: bool, percent: int) -> DataFrame:
-    """Distinct near pairs from regions ``(pivot, k1, k2, n, c, component)``."""
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+def _blocked(cells: DataFrame, blocks: Column, held: DataFrame) -> DataFrame:
+    """Regions in pairs ``i, j`` of their blocks, with what ``held`` has by document; not sorted yet."""
     own = F.pmod(F.xxhash64(F.lit(5), "k1"), blocks).cast("int")
     rows = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    rows = rows.join(bits, ["k1", "k2"]).select("pivot", "i", "j", "k1", "k2", "n", "bits", "component")
-    rows = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "n", "k1", "k2")
-    return rows.mapInArrow(lambda batches: _near_pairs(batches, across, percent), _PAIR).distinct()
+    return rows.join(held, ["k1", "k2"])
+
+
+def _in_regions(cells: DataFrame, bits: DataFrame) -> DataFrame:
+    """Regions ``(pivot, k1, k2, n, c, component)`` with bitmaps, each in one task, in blocks of some ``BLOCK`` documents."""
+    rows = _blocked(cells, F.ceil(F.col("c") / BLOCK).cast("int"), bits)
+    rows = rows.select("pivot", "i", "j", "k1", "k2", "n", "bits", "component")
+    return rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "n", "k1", "k2")
+
+
+def _candidates(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Distinct near pairs, a forest of each region."""
+    return _in_regions(cells, bits).mapInArrow(lambda batches: _near_pairs(batches, percent), _PAIR).distinct()
+
+
+def _links_between(cells: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(u, v)`` that connect different components, a forest of each region.
+
+    Only documents near one of another component take their sets along, in blocks of bounded bytes.
+    """
+    near = kept(_in_regions(cells, bits).mapInArrow(lambda batches: _near_others(batches, percent), _MEMBER).distinct())
+    sizes = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("codes"))
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("codes") * 8 / BLOCK_BYTES)).cast("int")
+    rows = _blocked(near.join(sizes.select("pivot", blocks.alias("blocks")), "pivot"), F.col("blocks"), sets)
+    rows = rows.select("pivot", "i", "j", "k1", "codes", "component")
+    rows = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "component", "k1")
+    links = kept(rows.mapInArrow(lambda batches: _links_inside(batches, percent), "u bigint, v bigint"))
+    released(near)
+    return links
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -266,15 +334,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return found.join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
 
 
+def _links_to(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _links(percent: int):
     @arrow_udf(BooleanType())
     def links(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
+        sets = zip(a, b, strict=True)
+        return pa.array([_links_to(*[np.frombuffer(x.as_py(), np.uint64) for x in two], percent) for two in sets], pa.bool_())
 
     return links
 
@@ -361,31 +430,33 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     null ids alone is null. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    profiles = kept(_profiles(docs, frequency_levels(docs, shingle), shingle, percent))
-    whole = profiles.where("bits is not null")
-    cells = whole.select(F.explode("prefix").alias("h"), "k1", "k2", "n").repartition("h").distinct()
+    whole = kept(_profiles(docs, frequency_levels(docs, shingle), shingle, percent))
+    profiles = kept(whole.select("doc_id", "k1", "k2", "n"))
+    first = whole.where("bits is not null")
+    cells = first.select(F.explode("prefix").alias("h"), "k1", "k2", "n").repartition("h").distinct()
     cells = cells.withColumn("c", F.expr("count(*) over (partition by h)"))
     cells = cells.withColumn("pivot", F.expr("min(k1) over (partition by h)")).where("c > 1")
     # Shingles whose documents have the same least one make one region, around that document.
-    cells = kept(cells.select("pivot", "k1", "k2", "n").distinct())
-    cells = kept(cells.join(cells.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")), "pivot"))
+    members = kept(cells.select("pivot", "k1", "k2", "n").distinct())
+    cells = kept(members.join(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")), "pivot"))
     inside = cells.select("k1", "k2").distinct()
-    bits = kept(whole.select("k1", "k2", "bits").join(inside, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    bits = kept(first.select("k1", "k2", "bits").join(inside, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    released(whole, members)
     # First the region of each document's least pivot, then all regions for what that has left apart.
     # Their pairs are not verified yet, which only decides what else is handed on to be verified.
     apart = F.col("k1").alias("component")
     home = cells.withColumn("home", F.expr("min(pivot) over (partition by k1, k2)")).where("pivot = home")
-    first = kept(_candidates(home.select("pivot", "k1", "k2", "n", "c", apart), bits, False, percent))
-    guessed = components(first.select(F.col("a1").alias("u"), F.col("b1").alias("v")))
-    second = _candidates(_several(cells, guessed), bits, False, percent)
-    pairs = kept(first.union(second).distinct())
+    least = kept(_candidates(home.select("pivot", "k1", "k2", "n", "c", apart), bits, percent))
+    guessed = components(least.select(F.col("a1").alias("u"), F.col("b1").alias("v")))
+    pairs = kept(least.union(_candidates(_several(cells, guessed), bits, percent)).distinct())
+    released(least)
     wanted = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
     sets = kept(_sets(docs, wanted, shingle))
     stars = components(_verified(pairs, sets, percent))
-    # Regions of several components may hold further pairs; their documents are in ``sets`` already.
-    more = _verified(_candidates(_several(cells, stars), bits, True, percent), sets, percent)
-    edges = more.union(stars.select("node", "root"))
-    stars = components(edges)
+    # Regions of several components may hold further links; their documents are in ``sets`` already.
+    more = _links_between(_several(cells, stars), bits, sets, percent)
+    released(cells, bits, sets, pairs)
+    stars = components(more.union(stars.select("node", "root")))
     classes = profiles.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
     classes = classes.join(stars, (F.col("k1") == F.col("node")) & (F.col("n") > 0), "left")
     classes = classes.select("k1", "k2", "least", F.coalesce("root", "k1").alias("root"), "n")

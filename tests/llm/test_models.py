@@ -293,11 +293,36 @@ def test_near_components(spark, odd, none, monkeypatch):
     get = lambda: Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_join.near_components(df).collect())
     assert get() == want
     monkeypatch.setattr(near_join, "BLOCK", 7)  # regions in blocks
+    monkeypatch.setattr(near_join, "BLOCK_BYTES", 5000)
     assert get() == want
     assert near_join.near_components(none).count() == 0
     assert near_join.without_near_copies(none).columns == none.columns
 
 
+def test_copies_around_the_bound(spark):
+    """Copies of one text whose Jaccard is little below or above the bound: bitmaps can't tell all of them apart."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    docs = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(4 if i % 3 else 3):  # each changed word changes four of 397 shingles
+            at = rng.randrange(4, 390)
+            text[at : at + 3] = [f"v{rng.randrange(10**6)}" for _ in range(3)]
+        docs.append((i, " ".join(text)))
+    want = components(docs)
+    assert 20 < len({root for _, _, root in want}) < 150
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_join.near_components(df).collect())
+    assert got == want
+    # Near pairs grow with the square of the copies; what is handed on doesn't.
+    found = [near_join.shingles(t) for _, t in docs]
+    region = near_join._Set(np.array([len(x) for x in found]), [near_join.parity_bits(x) for x in found])
+    near = sum(len(region.near(i, np.arange(i))) for i in range(150))
+    assert near > 1000 and len(near_join._linked(found, np.arange(150), 85)) == 150 - len({root for _, _, root in want})
+    assert len(near_join._apart(region, np.arange(150))) <= 150
+
+
 def test_pipeline_drops_near_copies_by_its_own_rule(spark):
     rng = random.Random(12)
     docs = []
