@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from rtflow.plans import build, load_jobs
 from rtflow.sources import WATERMARK_DELAY, load_tables
-from rtflow.streaming import configure, configured_sinks, run_batch, start, start_materialised
+from rtflow.streaming import StaticTables, configure, configured_sinks, run_batch, start, start_materialised
 
 
 def _options(pairs: list[str]) -> dict[str, str]:
@@ -29,6 +29,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--offset-hours", type=int, default=0, help="move times written as text by these hours")
     parser.add_argument("--watermark", default=WATERMARK_DELAY)
     parser.add_argument("--idle", metavar="INTERVAL", help="let the watermark of silent inputs follow the clock so far behind")
+    parser.add_argument("--refresh-static", type=float, metavar="SECONDS", help="read static tables anew so often (default: once)")
     parser.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="for tables and topics")
     args = parser.parse_args(arguments)
 
@@ -44,6 +45,11 @@ def main(arguments: list[str] | None = None) -> None:
     if args.mode == "batch":
         run_batch(spark, tables, jobs, args.directory, **common, **stored)
         return
+    with StaticTables(spark, tables, specs, args.refresh_static):
+        _run_streams(spark, tables, jobs, args, common, stored)
+
+
+def _run_streams(spark: SparkSession, tables: dict, jobs: list, args: argparse.Namespace, common: dict, stored: dict) -> None:
     if args.mode in ("materialised", "shared"):
         written = "shared" if args.mode == "shared" else "all"
         queries = start_materialised(
@@ -51,7 +57,7 @@ def main(arguments: list[str] | None = None) -> None:
             **common, **stored,
         )
     else:
-        sinks = configured_sinks(jobs, shared, args.offset_hours)
+        sinks = configured_sinks(jobs, stored["options"], args.offset_hours)
         queries = start(build(spark, tables, jobs, **common), sinks, f"{args.directory}/checkpoints", args.available_now)
     if args.available_now:
         for query in queries.values():

@@ -38,8 +38,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     table = spark.read.parquet(path)
-    sample = table.select("_metadata.file_path").first()
-    if sample is not None and sample.file_path.endswith("/events.parquet"):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         # One file: a stream follows its directory.
         path, options = sf_dir, {"pathGlobFilter": "events.parquet"}
     else:

@@ -9,9 +9,11 @@ from rtflow.streaming.runner import (
     start_materialised,
 )
 from rtflow.streaming.sinks import Folder, encode_json, fan_out, file_writer, storage_writer, topic_writer, write_topic
+from rtflow.streaming.statics import StaticTables
 
 __all__ = [
     "Folder",
+    "StaticTables",
     "build_once",
     "configure",
     "configured_sinks",
