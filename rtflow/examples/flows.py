@@ -132,6 +132,16 @@ SLIDE_PANES = [
         **slide(9000, 1800),
     )
 ]
+#: Windows that overlap 86 times, and end inside a slide.
+SLIDE_FINE = [
+    job(
+        "fine",
+        ["events"],
+        "select event_type, sum(value) as total, avg(value) as mean, count(*) as n, max(value) - min(value) as spread, "
+        "stddev_samp(value) as deviation from events where value > 1 group by event_type having count(*) > 2",
+        **slide(36000, 420),
+    )
+]
 SLIDE_GAP_MAX = [
     job(
         "samples",

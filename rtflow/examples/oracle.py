@@ -191,6 +191,11 @@ def oracle_sql() -> dict[str, str]:
         "event_type, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, count(*) AS n, min(value) AS low"
     )
     panes = _slide(moving, 9000, 1800, "event_type")
+    fine = _slide(
+        "event_type, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, count(*) AS n, "
+        "round(max(value) - min(value), 6) AS spread, round(stddev_samp(value), 6) AS deviation",
+        36000, 420, "event_type", f"(SELECT * FROM {EVENTS} AS v WHERE value > 1)",
+    ) + " HAVING count(*) > 2"
     gapped = _slide(top, 3600, 5400, "event_type")
     spread = "round(max(value) - min(value), 6) AS spread"
     mean = "round(sum(value) / count(*), 6) AS mean"
@@ -372,6 +377,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "slide_max": slide_max,
         "slide_panes": panes,
+        "slide_fine": fine,
         "slide_gap_max": gapped,
         "session_count": sessions,
         "session_small_keys": _session(
@@ -462,6 +468,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_join_null_keys": _closed_join("left", _KNOWN),
         "stream_static_join_null_keys": _static_null_keys(),
         "stream_static_join_inner": _static_join("INNER"),
+        "stream_static_join_kept": _static_join("INNER"),
         "stream_static_join_left": _static_join("LEFT", fill=True),
         "stream_chain_tumble_tumble": _closed(two_hours),
         "stream_chain_tumble_slide_tumble": _closed(daily),

@@ -12,6 +12,7 @@ from rtflow.plans import Job, build, load_jobs
 from rtflow.schema import EVENT_TIME, to_struct
 from rtflow.sources import decode_json, load, stream_files, with_event_time
 from rtflow.streaming import (
+    StaticTables,
     build_once,
     configure,
     encode_json,
@@ -83,6 +84,15 @@ def _flow(config: list[dict], stream: bool = False, **options) -> Query:
     return query
 
 
+def stream_static_join_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream joined with a static table that all its micro-batches read once."""
+    _session(spark)
+    config = flows.static_join("inner")
+    tables = _tables(spark, sf_dir, config, True)
+    with StaticTables(spark, tables):
+        return comparable(run_available(build(spark, tables, load_jobs(spark, config))[config[-1]["output_table"]].df))
+
+
 def _union(outputs: dict[str, DataFrame]) -> DataFrame:
     """Outputs of several jobs in one table, told apart by the column ``job``."""
     result = None
@@ -257,6 +267,7 @@ def queries() -> dict[str, Query]:
         "tumble_expression_key": _flow(flows.TUMBLE_EXPRESSION_KEY),
         "slide_max": _flow(flows.SLIDE_MAX),
         "slide_panes": _flow(flows.SLIDE_PANES),
+        "slide_fine": _flow(flows.SLIDE_FINE),
         "slide_gap_max": _flow(flows.SLIDE_GAP_MAX),
         "session_count": _flow(flows.SESSION_COUNT),
         "session_small_keys": _flow(flows.SESSION_SMALL_KEYS),
@@ -322,6 +333,7 @@ def queries() -> dict[str, Query]:
         "stream_join_null_keys": _flow(flows.null_keys("left"), stream=True),
         "stream_static_join_null_keys": _flow(flows.static_null_keys("left"), stream=True),
         "stream_static_join_inner": _flow(flows.static_join("inner"), stream=True),
+        "stream_static_join_kept": stream_static_join_kept,
         "stream_static_join_left": _flow(flows.static_join("left"), stream=True, null_fill="text"),
         "stream_chain_tumble_tumble": _flow(flows.CHAIN_TUMBLE_TUMBLE, stream=True),
         "stream_chain_tumble_slide_tumble": _flow(flows.CHAIN_TUMBLE_SLIDE_TUMBLE, stream=True),

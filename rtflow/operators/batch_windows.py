@@ -8,11 +8,12 @@ streams need the struct, because their watermark hangs on it.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rtflow.operators.grouping import Grouping
+from rtflow.operators.grouping import Grouping, or_count
 from rtflow.schema import EVENT_TIME
 
 if TYPE_CHECKING:
@@ -22,6 +23,9 @@ MICROS = 1_000_000
 START, LAST = "__s", "__e"
 PANE = "__p"
 
+#: Panes that one pane of the next level holds, where windows overlap many times.
+RADIX = 8
+
 #: How many gap-long panes a block has in which sessions are merged first.
 SESSION_BLOCK = 1024
 
@@ -63,15 +67,56 @@ def _overlapping(df: DataFrame, window: WindowSpec, grouping: Grouping) -> DataF
     """Reduce rows to panes, then copy panes, not rows, into the windows that hold them.
 
     A pane is as long as the greatest common divisor of size and slide, so no window starts or
-    ends inside one. Aggregates that cannot be combined have their rows copied.
+    ends inside one. Aggregates that cannot be combined have their rows copied. Windows of more than
+    twice ``RADIX`` slides are put together from longer and longer panes instead.
     """
     if not grouping.splits:
         rows = df.where(F.col(EVENT_TIME).isNotNull())
         return grouping.in_one_phase(_copied(rows, F.unix_micros(EVENT_TIME), window), START)
+    if window.size > 2 * RADIX * window.slide:
+        return _from_levels(df, window, grouping)
     panes = grouping.first_phase(with_start(df, math.gcd(window.size, window.slide), PANE), PANE)
     return grouping.last_phase(_copied(panes, F.col(PANE), window), START)
 
 
+def _from_levels(df: DataFrame, window: WindowSpec, grouping: Grouping) -> DataFrame:
+    """Put windows together from panes of 1, ``RADIX``, ``RADIX`` squared... slides, one at each slide.
+
+    A window is some slides long, and the head of one more. A level's panes are merged from ``RADIX`` panes
+    each of the level below, so a pane is copied ``RADIX`` times for a level and at most that often into
+    windows: for a window of 500 slides about 40 copies in all instead of 500. Every step is an aggregation
+    by pane and key with a map-side part, so a hot key is spread over its panes.
+    """
+    slide = window.slide * MICROS
+    slides, rest = divmod(window.size, window.slide)
+    rows = with_start(df, window.slide, PANE)
+    merge = or_count(grouping.split.merge)
+    pieces = []
+    if rest:
+        head = F.unix_micros(EVENT_TIME) - F.col(PANE) < F.lit(rest * MICROS)
+        parts = grouping.first_phase(rows.withColumn("__head", head), PANE, "__head")
+        pieces.append(parts.where("__head").drop("__head").withColumn(START, F.col(PANE) - F.lit(slides * slide)))
+        level = parts.groupBy(PANE, *grouping.keys).agg(*merge)
+    else:
+        level = grouping.first_phase(rows, PANE)
+
+    def before(first: int, number: int, length: int) -> Column:
+        """The starts so many slides before a pane: ``first``, and ``number - 1`` more that are ``length`` apart."""
+        last = F.col(PANE) - F.lit(first * slide)
+        return F.explode(F.sequence(last - F.lit((number - 1) * length * slide), last, F.lit(length * slide)))
+
+    covered, length = 0, 1
+    while covered < slides:
+        number = slides // length % RADIX
+        if number:
+            pieces.append(level.withColumn(START, before(covered, number, length)))
+            covered += number * length
+        if covered < slides:
+            level = level.withColumn(PANE, before(0, RADIX, length)).groupBy(PANE, *grouping.keys).agg(*merge)
+            length *= RADIX
+    return grouping.last_phase(reduce(DataFrame.unionByName, pieces), START)
+
+
 def _copied(df: DataFrame, micros: Column, window: WindowSpec) -> DataFrame:
     """One copy per window that holds the time, with the start of that window."""
     slide, size = window.slide * MICROS, window.size * MICROS

@@ -11,7 +11,7 @@ import threading
 from collections.abc import Iterable, Mapping
 
 from pyspark.errors import PySparkException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
 
 from rtflow.sources.tables import TableSpec
@@ -32,14 +32,15 @@ class StaticTables:
     def __init__(
         self,
         spark: SparkSession,
-        tables: Mapping[str, FlowTable],
+        tables: Mapping[str, FlowTable | DataFrame],
         specs: Iterable[TableSpec | Mapping] = (),
         refresh: float | None = None,
     ):
         if refresh is not None and refresh <= 0:
             raise ValueError("refresh must be a positive number of seconds")
         self._spark, self._every = spark, refresh
-        self._kept = {name: table.df for name, table in tables.items() if table.static}
+        known = {name: FlowTable.of(table) for name, table in tables.items()}
+        self._kept = {name: table.df for name, table in known.items() if table.static}
         records = [s if isinstance(s, TableSpec) else TableSpec.from_dict(s) for s in specs]
         self._paths = {s.table_id: s.storages["files"]["path"] for s in records if s.storages.get("files")}
         self._end, self._thread = threading.Event(), None

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -35,7 +36,7 @@ def expected(windows, size, model):
     )
 
 
-@pytest.mark.parametrize("size,step", [(10, 10), (10, 5), (10, 3), (12, 8), (10, 15), (7, 20), (9, 1)])
+@pytest.mark.parametrize("size,step", [(10, 10), (10, 5), (10, 3), (12, 8), (10, 15), (7, 20), (9, 1), (50, 1), (64, 1), (100, 3), (144, 1), (700, 9)])
 @pytest.mark.parametrize("select,model", [(PLAIN, MODEL), (OTHER, OTHER_MODEL)])
 def test_windows_against_model(spark, size, step, select, model):
     rows = random_rows(size * 31 + step)
@@ -170,6 +171,7 @@ def test_distinct_counts_with_having_on_streams(spark, tmp_path):
 WINDOWS = [
     WindowSpec("tumble", size=10),
     WindowSpec("slide", size=12, slide=4),
+    WindowSpec("slide", size=100, slide=3),
     WindowSpec("slide", size=5, slide=9),
     WindowSpec("session", gap=7),
 ]
@@ -207,6 +209,24 @@ def test_having_keeps_panes(spark):
     assert plan.rindex("Aggregate [") > plan.index("Generate explode") > plan.index("Aggregate [")
 
 
+def test_panes_of_many_windows_are_copied_a_few_times(spark, tmp_path):
+    """A row a second: levels hold a pane at each slide, and none is copied more than ``RADIX`` times."""
+    rows = [(float(t), "a", t % 10) for t in range(4000)]
+    helpers.table(spark, rows, COLUMNS).write.parquet(str(tmp_path / "t"))
+    table = FlowTable(spark.read.parquet(str(tmp_path / "t")))
+    out = window_aggregate(table, WindowSpec("slide", size=514, slide=1), ["k", "sum(v) as v", "count(*) as n"], ["k"]).df
+    got = {r.window_end: (r.v, r.n) for r in out.collect()}
+    assert len(got) == 4513
+    for end in (1, 8, 513, 514, 2000, 4000, 4513):
+        inside = [r[2] for r in rows if end - 514 <= r[0] < end]
+        assert got[helpers.utc_text(end)] == (sum(inside), len(inside))
+    steps = re.findall(r"Generate explode\(sequence\((.*)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert steps and len(steps) < 20
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
+
+
 @pytest.mark.parametrize(
     "kind,sizes",
     [
