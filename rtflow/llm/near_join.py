@@ -391,10 +391,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn until nothing changes; each step is an aggregation and a
     join on nodes, so no component meets in one task. Before each, tasks contract what they read,
-    which shortens long chains of links; on stars that changes nothing.
+    which shortens long chains of links; on stars that changes nothing. Links are written before that,
+    as they may come from Python: a task that ran both would hold two Python workers, which stay.
     """
     pair = "u bigint, v bigint"
-    now = kept(edges.select("u", "v").mapInArrow(_contracted, pair))
+    now = kept(edges.select("u", "v"))
     state = None
     while True:
         links = now.mapInArrow(_contracted, pair)

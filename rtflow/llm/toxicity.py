@@ -231,8 +231,9 @@ class Scorer:
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.projected = {s: np.empty((0, 3 * STATE), np.float32) for s in "fb"}
+        self.known, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)
+        # Rows are appended; pages of them that have not been written yet take no memory.
+        self.projected = {s: np.empty((2 * self.MOST_WORDS, 3 * STATE), np.float32) for s in "fb"}
 
     def places(self, datas: list[bytes], coded_: list[tuple]) -> list[np.ndarray]:
         """Rows of the projected inputs for the words of each text."""
@@ -251,12 +252,16 @@ class Scorer:
             words = np.searchsorted(self.model.codes, distinct[new])
             words = np.minimum(words, len(self.model.codes) - 1)
             ids = np.where(self.model.codes[words] == distinct[new], words + 1, 0) if len(self.model.codes) else np.zeros(int(new.sum()), int)
-            rows = self.model.network.table(*grams_of(grams), ids)
-            order = np.argsort(all_ := np.concatenate([self.known, distinct[new]]))
-            self.known = all_[order]
+            parts = [slice(i, i + self.BATCH) for i in range(0, len(grams), self.BATCH)]
+            rows = np.concatenate([self.model.network.table(*grams_of(grams[x]), ids[x]) for x in parts])
+            n, end = len(self.known), len(self.known) + len(rows)
             for s in "fb":
-                self.projected[s] = np.concatenate([self.projected[s], rows @ self.model.network.p[f"W{s}"]])[order]
-        rows = np.searchsorted(self.known, distinct)[inverse]
+                if end > len(self.projected[s]):
+                    self.projected[s] = np.concatenate([self.projected[s][:n], np.empty((end - n, 3 * STATE), np.float32)])
+                self.projected[s][n:end] = rows @ self.model.network.p[f"W{s}"]
+            order = np.argsort(all_ := np.concatenate([self.known, distinct[new]]))
+            self.known, self.at = all_[order], np.concatenate([self.at, np.arange(n, end)])[order]
+        rows = self.at[np.searchsorted(self.known, distinct)][inverse]
         return np.split(rows, np.cumsum([len(c[0]) for c in coded_])[:-1])
 
     def scores(self, texts: list[str | None]) -> list[float]:

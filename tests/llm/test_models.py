@@ -545,3 +545,46 @@ def test_components_of_long_chains(spark, monkeypatch):
     df = spark.createDataFrame(links, "u bigint, v bigint").repartition(4)
     got = {tuple(r) for r in near_join.components(df).collect()}
     assert got == {(i, 0) for i in range(1, 41)} | {(101, 100), (103, 100)} | {(50 + i, 50) for i in range(1, 9)}
+
+
+def python_operators(plan):
+    """The most Python operators that a task runs at once: in this node's stage, and in any stage below."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return python_operators(plan.executedPlan())
+    children = plan.children()
+    below = [python_operators(children.apply(i)) for i in range(children.size())]
+    here, most = sum(x for x, _ in below) + name.startswith(("MapInArrow", "ArrowEvalPython")), max([x for _, x in below], default=0)
+    return (0 if name.endswith("Exchange") else here), max(here, most)
+
+
+def test_near_copies_take_one_python_worker_a_task(spark, monkeypatch):
+    found, keep = [], near_join.kept
+
+    def spied(df):
+        found.append(python_operators(df._jdf.queryExecution().executedPlan())[1])
+        return keep(df)
+
+    monkeypatch.setattr(near_join, "kept", spied)
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "another text that is like none of them")], "doc_id bigint, text string")
+    assert {r.doc_id for r in near_join.without_near_copies(df).collect()} == {1, 3}
+    assert max(found) == 1, found
+
+
+def test_scorer_remembers_words_in_one_copy(monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}é" for _ in range(4000)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(300)]
+    model = toxicity.train(texts[:40], [i % 2 for i in range(40)])
+    want = toxicity.Scorer(model).scores(texts)
+    monkeypatch.setattr(toxicity.Scorer, "BATCH", 512)
+    monkeypatch.setattr(toxicity.Scorer, "MOST_WORDS", 700)  # forgets, and grows beyond what is set aside
+    scorer = toxicity.Scorer(model)
+    assert np.allclose([s for i in range(0, 300, 10) for s in scorer.scores(texts[i : i + 10])], want, atol=1e-6)
+    assert np.allclose(scorer.scores(texts), want, atol=1e-6)
+    scorer.forget()
+    held = scorer.projected["f"]
+    scorer.scores(texts[:1])
+    scorer.scores(texts[1:2])
+    assert scorer.projected["f"] is held and len(set(scorer.at.tolist())) == len(scorer.known)
