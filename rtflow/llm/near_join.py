@@ -404,7 +404,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        then = kept(small.union(low.select("u", "m")).distinct())
+        then = small.union(low.select("u", "m")).distinct()
+        # Few links make few files: each that is written has Hadoop's local file system start programs.
+        then = kept(then.coalesce(-(-state[0] // CHUNK)) if state else then)
         new = then.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         released(now)
         if new == state or not new[0]:

@@ -588,3 +588,21 @@ def test_scorer_remembers_words_in_one_copy(monkeypatch):
     scorer.scores(texts[:1])
     scorer.scores(texts[1:2])
     assert scorer.projected["f"] is held and len(set(scorer.at.tolist())) == len(scorer.known)
+
+
+def test_components_write_few_files_for_few_links(spark, monkeypatch):
+    written, keep = [], near_join.kept
+
+    def spied(df):
+        out = keep(df)
+        written.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_join, "kept", spied)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(40)], "u bigint, v bigint").repartition(4)
+        assert {tuple(r) for r in near_join.components(links).collect()} == {(i, 0) for i in range(1, 41)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(written) > 2 and set(written[2:]) == {1}, written
