@@ -58,6 +58,10 @@ def is_distinct(expression: str) -> bool:
     return bool(re.search(r"\(\s*distinct\b", expression, re.IGNORECASE))
 
 
+def collects_set(expression: str) -> bool:
+    return bool(re.search(r"(?<![\w.`])collect_set\s*\(", expression, re.IGNORECASE))
+
+
 def _end_of_call(text: str, start: int) -> tuple[int, list[str]] | None:
     """The place of the bracket that closes a call whose arguments begin at ``start``, and the arguments."""
     depth, quote, at, begin, arguments = 0, "", start, start, []

@@ -136,7 +136,7 @@ def _copied(df: DataFrame, micros: Column, window: WindowSpec) -> DataFrame:
 # then only sessions on the edges of blocks are left to be merged with each other.
 
 
-def _span(gap: int) -> Column:
+def span(gap: int) -> Column:
     """The session window of rows known to belong together: from the first to a gap after the last."""
     width = F.unix_micros("__last") - F.unix_micros("__first") + F.lit(gap * MICROS)
     seconds = (width.cast("decimal(18,0)") * F.expr("0.000001BD")).cast("decimal(18,6)")
@@ -146,7 +146,7 @@ def _span(gap: int) -> Column:
 
 def _sessions_from_panes(df: DataFrame, gap: int, grouping: Grouping) -> DataFrame:
     panes = grouping.first_phase(with_start(df, gap, PANE), PANE, extra=_extent(EVENT_TIME, EVENT_TIME))
-    return grouping.last_phase(_merged_in_blocks(panes, gap, list(grouping.keys), grouping.split.merge), _span(gap), "__b")
+    return grouping.last_phase(_merged_in_blocks(panes, gap, list(grouping.keys), grouping.split.merge), span(gap), "__b")
 
 
 def _extent(first: str, last: str) -> tuple[Column, Column]:
@@ -160,7 +160,7 @@ def _merged_in_blocks(panes: DataFrame, gap: int, keys: list[str], merge: list[C
     key of the final merge. The others, at most two per key and block, are merged there under one.
     """
     length = SESSION_BLOCK * gap * MICROS
-    blocks = panes.withColumn("__b", aligned(F.col(PANE), length)).groupBy(_span(gap), "__b", *keys)
+    blocks = panes.withColumn("__b", aligned(F.col(PANE), length)).groupBy(span(gap), "__b", *keys)
     sessions = blocks.agg(*_extent("__first", "__last"), *merge).drop("__w")
     first, last = F.unix_micros("__first"), F.unix_micros("__last")
     margin = F.lit(gap * MICROS)
@@ -178,7 +178,7 @@ def _sessions_of_rows(df: DataFrame, gap: int, grouping: Grouping) -> DataFrame:
     keys = list(grouping.keys)
     rows = with_start(df, gap, PANE).select("*", *grouping.key_columns())
     panes = rows.groupBy(PANE, *keys).agg(*_extent(EVENT_TIME, EVENT_TIME))
-    sessions = _merged_in_blocks(panes, gap, keys, []).groupBy(_span(gap), "__b", *keys).agg(*_extent("__first", "__last"))
+    sessions = _merged_in_blocks(panes, gap, keys, []).groupBy(span(gap), "__b", *keys).agg(*_extent("__first", "__last"))
     first, last, step = F.unix_micros("__first"), F.unix_micros("__last"), gap * MICROS
     covered = F.sequence(aligned(first, step), aligned(last, step), F.lit(step).cast("bigint"))
     panes = sessions.select(first.alias(START), F.explode(covered).alias("__q"), *[F.col(key).alias(f"{key}q") for key in keys])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rtflow.functions.aggregates import DISTINCT_KEY, is_distinct
 from rtflow.operators.grouping import Grouping, or_count
+from rtflow.operators.stream_sessions import found_in_chunks, with_sessions
 from rtflow.schema import EVENT_TIME, WINDOW
 
 if TYPE_CHECKING:
@@ -49,6 +50,8 @@ def aggregate(
         grouping = Grouping({"__g": "__g"}, grouping.aggregates, grouping.having, grouping.split)
     if any(is_distinct(expression) for expression in (*(e for e, _ in grouping.aggregates), grouping.having or "")):
         grouped = _distinct(df, time, window, depth, grouping)
+    elif window.kind == "session" and found_in_chunks(df, grouping):
+        grouped = grouping.in_one_phase(with_sessions(df, "__t" if depth else EVENT_TIME, window.gap, grouping), WINDOW)
     else:
         # Rows, not panes of rows, meet the watermark: a late row counts in those of its windows that
         # are still open, which its pane would not tell. The map side adds up each window first.
